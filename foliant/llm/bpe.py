@@ -10,9 +10,6 @@ from __future__ import annotations
 import os
 import re
 from functools import cached_property
-
-from .common import Memo
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: How byte-level vocabularies write the 256 bytes as characters.
@@ -25,7 +22,9 @@ LIMIT = 64  # longer pieces are not memoised by prefix
 
 def mapped(text: str) -> str:
     """A text's UTF-8 bytes as the vocabulary writes them."""
-    return text.translate(BYTES) if text.isascii() else text.encode().decode("latin1").translate(BYTES)
+    if text.isascii():
+        return text if text.isprintable() and " " not in text else text.translate(BYTES)
+    return text.encode().decode("latin1").translate(BYTES)
 
 
 class Vocabulary:
@@ -33,6 +32,7 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model  # asked for once: each access makes a new object
         self.specials = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else re.compile(r"(?!)")
 
@@ -46,4 +46,4 @@ class Vocabulary:
 
     def tokens(self, piece: str) -> list[str]:
         """The model's own encoding of a piece."""
-        return [t.value for t in self.tokenizer.model.tokenize(piece)]
+        return [t.value for t in self.model.tokenize(piece)]

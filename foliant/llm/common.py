@@ -47,22 +47,26 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Memo(dict):
-    """A dictionary that computes missing values.
+    """A dictionary that computes missing values and holds between `cap` and twice as many.
 
-    `trim` empties it once it holds over `cap` entries; callers trim between
-    texts, so that what one text has looked up stays while it is in use.
+    `trim` sets the entries aside once there are over `cap`; those asked for again come back, and the rest go with the next
+    trim. Callers trim between texts, so that what one text has looked up stays while it is in use.
     """
 
     def __init__(self, compute: Callable, cap: int):
         super().__init__()
-        self.compute, self.cap = compute, cap
+        self.compute, self.cap, self.old = compute, cap, {}
 
     def __missing__(self, key):
-        value = self[key] = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.cap:
+            self.old = dict(self)
             self.clear()
 
 

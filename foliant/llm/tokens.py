@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import LIMIT, NEIGHBOURS, UNUSUAL, Vocabulary, mapped
+from .bpe import BYTES, LIMIT, NEIGHBOURS, UNUSUAL, Vocabulary, mapped
 from .common import Memo, map_batches
 
+SPACE = BYTES[32]
+
 
 class PrefixCounter:
     """Counts for a byte-level vocabulary whose pieces the public pattern `PATTERN` separates."""
@@ -34,40 +36,53 @@ class PrefixCounter:
         self.v, self.cap = Vocabulary(path), cap
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         self.ids, self.longest = self.v.ids, self.v.longest
-        self.pairs: Memo = Memo(lambda p: self.v.tokens(p[0] + p[1]) == [p[0], p[1]], 4 * cap)
-        self.alone: Memo = Memo(lambda t: self.v.tokens(t) == [t], 4 * cap)
+        #: What tokens end with, and the token itself where it is one.
+        self.ends = {t[i:]: "" for t in self.ids for i in range(1, len(t))} | {t: t for t in self.ids}
+        self.pairs: Memo = Memo(lambda p: self.v.tokens(p[0] + p[1]) == [t for t in p if t], cap)
         self.prefixes: dict[str, tuple[int, str]] = {"": (0, "")}
-        self.spaced: Memo = Memo(lambda c: self.count_chunk(" " + c), cap)
+        self.spaced: Memo = Memo(lambda c: self.count_piece(SPACE + mapped(c)) if c.isalpha() else self.count_chunk(" " + c), cap)
         self.first: Memo = Memo(self.count_chunk, cap)
 
-    def end(self, prefix: str, nodes) -> tuple[int, str]:
-        """(count, last token) of a prefix, from the nodes of shorter ones: nodes(length)."""
-        n = len(prefix)
-        for x in range(min(n, self.longest), 0, -1):
-            token = prefix[n - x :]
-            if token in self.ids:
-                count, last = nodes(n - x)
-                if self.pairs[last, token] if last else self.alone[token]:
-                    return count + 1, token
-        raise ValueError("the vocabulary lacks a byte")
+    def grow(self, piece: str, known: dict[str, tuple[int, str]]) -> tuple[int, str]:
+        """Fill in known[prefix] = (count, last token) for each prefix of a piece that lacks it; the piece's own is returned."""
+        k, ends, pairs = len(piece) - 1, self.ends, self.pairs
+        while piece[:k] not in known:
+            k -= 1
+        for j in range(k + 1, len(piece) + 1):
+            prefix = piece[:j]
+            found, i = [], j - 1
+            while i >= 0 and (token := ends.get(prefix[i:])) is not None:
+                if token:
+                    found.append(token)
+                i -= 1
+            while True:  # exactly one of the tokens that end here is right
+                token = found.pop()
+                count, last = known[prefix[: j - len(token)]]
+                if pairs[last, token]:
+                    break
+            known[prefix] = (count + 1, token)
+        return known[piece]
 
     def table(self, piece: str) -> list[int]:
         """Token counts at each prefix of a piece (written as the vocabulary writes bytes), from none to all."""
-        nodes = [(0, "")]
+        if len(piece) <= LIMIT:
+            self.grow(piece, self.prefixes)
+            return [self.prefixes[piece[:j]][0] for j in range(len(piece) + 1)]
+        # a window of prefixes is enough, and prefixes of a long piece are not kept
+        counts, lasts, ids, pairs = [0], [""], self.ids, self.pairs
         for j in range(1, len(piece) + 1):
-            nodes.append(self.end(piece[max(0, j - self.longest) : j], lambda k, j=j: nodes[max(0, j - self.longest) + k]))
-        return [n for n, _ in nodes]
+            for i in range(max(0, j - self.longest), j):
+                if (token := piece[i:j]) in ids and pairs[lasts[i], token]:
+                    counts.append(counts[i] + 1)
+                    lasts.append(token)
+                    break
+        return counts
 
     def count_piece(self, piece: str) -> int:
-        if len(piece) > LIMIT:
-            return self.table(piece)[-1]
-        known, k = self.prefixes, len(piece)
-        while piece[:k] not in known:
-            k -= 1
-        for j in range(k + 1, len(piece) + 1):
-            prefix = piece[:j]
-            known[prefix] = self.end(prefix, lambda i, p=prefix: known[p[:i]])
-        return known[piece][0]
+        node = self.prefixes.get(piece)
+        if node:
+            return node[0]
+        return self.grow(piece, self.prefixes)[0] if len(piece) <= LIMIT else self.table(piece)[-1]
 
     def count_chunk(self, chunk: str) -> int:
         return sum(self.count_piece(mapped(p)) for p in self.pieces.findall(chunk))
@@ -97,9 +112,9 @@ class PrefixCounter:
         else:
             chunks = text.split(" ")
             total = self.first[chunks[0]] + sum(map(self.spaced.__getitem__, chunks[1:]))
-        for memo in (self.spaced, self.first, self.pairs, self.alone):
+        for memo in (self.spaced, self.first, self.pairs):
             memo.trim()
-        if len(self.prefixes) > 2 * self.cap:
+        if len(self.prefixes) > 3 * self.cap:
             self.prefixes = {"": (0, "")}
         return total
 

@@ -37,17 +37,25 @@ class WordEncoder:
         self.v = Vocabulary(path)
         #: Fixed value: the pattern of the vocabulary's file.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.bytes = [struct.pack("<I", i) for i in range(self.v.tokenizer.get_vocab_size())]
         self.chunks: Memo = Memo(self._chunk, cap)
-        self.memo: Memo = Memo(lambda p: b"".join(struct.pack("<I", t.id) for t in self.v.tokenizer.model.tokenize(mapped(p))), cap)
+        self.memo: Memo = Memo(self._piece, cap)
+
+    def _piece(self, piece: str) -> bytes:
+        table = self.bytes
+        return b"".join([table[t.id] for t in self.v.model.tokenize(mapped(piece))])
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, self.pieces.findall(chunk.lower())))
+        if chunk.isalpha():
+            return self.memo[chunk]
+        memo = self.memo
+        return b"".join([memo[p] for p in self.pieces.findall(chunk)])
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or UNUSUAL.search(text):
             ids = self.v.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
-        out = b"".join(map(self.chunks.__getitem__, text.split()))
+        out = b"".join(map(self.chunks.__getitem__, text.lower().split()))
         self.chunks.trim()
         self.memo.trim()
         return out

@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         before = now
         # large star: a node's larger neighbours link to its smallest
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written, so that the join has two plain sides and Spark can split a node with very many links
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # small star: a node and its smaller neighbours link to the smallest of them

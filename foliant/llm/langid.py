@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import Memo, map_batches
 
 WORDS = re.compile(r"[^\W\d_]+")
+LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 MARK = "▁"
 SPLIT = 30  # longer words are scored in log space, without the prefix memo
 
@@ -39,10 +40,6 @@ class LangModel:
     pieces: dict[str, tuple[float, ...]]
     floor: tuple[float, ...]
 
-    @property
-    def longest(self) -> int:
-        return max(map(len, self.pieces), default=1)
-
 
 def fit(labelled: DataFrame, vocabulary: str, per_lang: int = 1500, alpha: float = 0.1) -> LangModel:
     """Learn piece probabilities from rows (doc_id, text, lang); null texts or langs are left out.
@@ -91,7 +88,7 @@ def fit(labelled: DataFrame, vocabulary: str, per_lang: int = 1500, alpha: float
     table /= table.sum(axis=0)
     floor = tuple(alpha / (sum(r[2] for r in counts if r[0] == lang) + alpha * size) for lang in langs)
     seen = {r[1] for r in counts}
-    pieces = {sp.id_to_piece(i): tuple(table[i]) for i in range(size) if i in seen and not sp.is_control(i) and not sp.is_unknown(i) and not sp.is_byte(i)}
+    pieces = {sp.id_to_piece(i): tuple(table[i].tolist()) for i in range(size) if i in seen and not sp.is_control(i) and not sp.is_unknown(i) and not sp.is_byte(i)}
     return LangModel(langs, pieces, floor)
 
 
@@ -100,7 +97,8 @@ class Scorer:
 
     def __init__(self, model: LangModel, cap: int = 250_000):
         self.m, self.n, self.cap = model, len(model.langs), cap
-        self.k = model.longest
+        #: What pieces end with, and the piece's probabilities where it is one.
+        self.ends = {p[i:]: None for p in model.pieces for i in range(1, len(p))} | model.pieces
         self.alphas: dict[str, tuple[float, ...]] = {"": (1.0,) * self.n}
         self.reset()
 
@@ -108,40 +106,48 @@ class Scorer:
         self.table, self.used = np.zeros((1024, self.n + 1)), 0
         self.chunks = Memo(self._chunk, self.cap)
 
-    def alpha(self, prefix: str) -> tuple[float, ...]:
-        """The summed probability of all segmentations of a prefix, one value a language."""
-        found = self.alphas.get(prefix)
-        if found is None:
-            n, pieces = len(prefix), self.m.pieces
-            hits = [(x, p) for x in range(1, min(n, self.k) + 1) if (p := pieces.get(prefix[n - x :])) is not None]
-            if not hits or hits[0][0] != 1:
-                hits.append((1, self.m.floor))
-            total = [0.0] * self.n
-            for x, p in hits:
-                for i, (a, b) in enumerate(zip(self.alpha(prefix[: n - x]), p, strict=True)):
-                    total[i] += a * b
-            found = self.alphas[prefix] = tuple(total)
+    def ending(self, text: str, j: int) -> list[tuple[int, tuple[float, ...]]]:
+        """(start, probabilities) of each piece that ends at j; an unknown character is a piece of its own."""
+        found, i, ends = [], j - 1, self.ends
+        while i >= 0 and (tail := text[i:j]) in ends:
+            if p := ends[tail]:
+                found.append((i, p))
+            i -= 1
+        if not found or found[0][0] != j - 1:
+            found.append((j - 1, self.m.floor))
         return found
 
+    def alpha(self, text: str) -> tuple[float, ...]:
+        """The summed probability of all segmentations, one value a language: the forward algorithm.
+
+        Prefixes are memoised, as words share them.
+        """
+        known, k = self.alphas, len(text)
+        while text[:k] not in known:
+            k -= 1
+        for j in range(k + 1, len(text) + 1):
+            total = None
+            for i, p in self.ending(text, j):
+                before = known[text[:i]]
+                total = [a * b for a, b in zip(before, p)] if total is None else [t + a * b for t, a, b in zip(total, before, p)]  # noqa: B905
+            known[text[:j]] = total
+        return known[text]
+
     def word(self, word: str) -> np.ndarray:
         """Log likelihood of a lower-cased word, one value a language."""
         text = MARK + word
         if len(text) <= SPLIT:
             return np.log(self.alpha(text))
-        pieces, floor = self.m.pieces, np.log(self.m.floor)
         logs = [np.zeros(self.n)]
         for j in range(1, len(text) + 1):
-            terms = [logs[j - x] + np.log(p) for x in range(1, min(j, self.k) + 1) if (p := pieces.get(text[j - x : j])) is not None]
-            if text[j - 1 : j] not in pieces:
-                terms.append(logs[j - 1] + floor)
-            logs.append(np.logaddexp.reduce(terms))
+            logs.append(np.logaddexp.reduce([logs[i] + np.log(p) for i, p in self.ending(text, j)]))
         return logs[-1]
 
-    def _chunk(self, chunk: str) -> int:
+    def _chunk(self, chunk: bytes) -> int:
         if self.used == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        row = self.table[self.used]
-        for w in WORDS.findall(chunk.lower()):
+        row, text = self.table[self.used], chunk.decode("utf-8", "surrogatepass")
+        for w in (text,) if text.isalpha() else WORDS.findall(text):
             row[:-1] += self.word(w)
             row[-1] += len(w)
         self.used += 1
@@ -151,11 +157,13 @@ class Scorer:
         """The predicted language and its posterior under equal priors; `und` and 0 without letters."""
         if not text or not self.n:
             return "und", 0.0
-        chunks = text.split()
-        total = self.table_rows(chunks).sum(axis=0)
+        # ASCII other than letters separates words; what else does is left to WORDS
+        chunks = text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split()
+        rows = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
+        total = self.table[rows].sum(axis=0)
         if len(self.chunks) > self.cap:
             self.reset()
-        if len(self.alphas) > 4 * self.cap:
+        if len(self.alphas) > 3 * self.cap:
             self.alphas = {"": (1.0,) * self.n}
         if not total[-1]:
             return "und", 0.0
@@ -163,10 +171,6 @@ class Scorer:
         best = int(np.argmax(logs))
         return self.m.langs[best], float(round(1 / math.fsum(np.exp(logs - logs[best])), 6))
 
-    def table_rows(self, chunks: list[str]) -> np.ndarray:
-        rows = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
-        return self.table[rows]
-
 
 def identify(docs: DataFrame, model: LangModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Add lang_pred and score to the columns `keep` of docs, from `text` alone.

@@ -85,9 +85,24 @@ def map_batches(df: DataFrame, schema: str, setup: Callable[[], Callable[[pa.Rec
                 out = step(part)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, out[f.name]) for f in arrow)], schema=arrow)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, target)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts in Spark's default 10,000 rows a batch take tens of MB, in the JVM and again in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
+def with_text(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """Columns `keep` and the text, and the name that the text has there: it is carried once."""
+    if "text" in keep and dict(docs.dtypes)["text"] == "string":
+        return docs.select(*keep), "text"
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")), "__text"
+
+
 def slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part takes about `limit` bytes, a single longer row apart."""
     if batch.nbytes <= limit or batch.num_rows <= 1:

@@ -16,9 +16,8 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_batches, materialise
+from .common import map_batches, materialise, with_text
 
 WIDTH = 13
 #: Bytes of benchmark text that one broadcast covers.
@@ -127,16 +126,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     written next to the texts, so that memory holds one block's tables.
     """
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    state = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    state, text = with_text(docs, keep)
     several = blocks(benchmark, block_bytes)
     items, following = next(several, []), next(several, None)
     while following:
-        state = materialise(_search(state, items, f"{ddl}, __text string, __hit array<struct<a:int,b:int>>, __items array<string>", (*keep, "__text"), width, share), "benchmark-block")
+        state = materialise(_search(state, items, f"{ddl}{', __text string' * (text not in keep)}, __hit array<struct<a:int,b:int>>, __items array<string>", (*dict.fromkeys((*keep, text)),), text, width, share), "benchmark-block")
         items, following = following, next(several, None)
-    return _search(state, items, f"{ddl}, {RESULT}", keep, width, share)
+    return _search(state, items, f"{ddl}, {RESULT}", keep, text, width, share)
 
 
-def _search(state: DataFrame, items: list[tuple], schema: str, keep: tuple[str, ...], width: int, share: int) -> DataFrame:
+def _search(state: DataFrame, items: list[tuple], schema: str, keep: tuple[str, ...], column: str, width: int, share: int) -> DataFrame:
     """Search one block's windows and add to what the blocks before have found (__hit, __items)."""
     shared = state.sparkSession.sparkContext.broadcast(items)
 
@@ -147,7 +146,7 @@ def _search(state: DataFrame, items: list[tuple], schema: str, keep: tuple[str,
             names = ("__hit", "__items", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated")
             out = {c: batch[c] for c in keep} | {k: [] for k in names}
             before = [batch[c].to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in names[:2]]
-            for text, hit, had in zip(batch["__text"], *before, strict=True):
+            for text, hit, had in zip(batch[column], *before, strict=True):
                 words = words_of(text.as_py())
                 ranges, found = matcher.find(words)
                 if hit:

@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_batches
+from .common import Memo, map_batches, with_text
 
 WORDS = re.compile(r"[^\W\d_]+")
 LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 MARK = "▁"
+SHORT = 6
 SPLIT = 30  # longer words are scored in log space, without the prefix memo
 
 
@@ -130,7 +131,7 @@ class Scorer:
             for i, p in self.ending(text, j):
                 before = known[text[:i]]
                 total = [a * b for a, b in zip(before, p)] if total is None else [t + a * b for t, a, b in zip(total, before, p)]  # noqa: B905
-            known[text[:j]] = total
+            known[text[:j]] = tuple(total)
         return known[text]
 
     def word(self, word: str) -> np.ndarray:
@@ -163,8 +164,9 @@ class Scorer:
         total = self.table[rows].sum(axis=0)
         if len(self.chunks) > self.cap:
             self.reset()
-        if len(self.alphas) > 3 * self.cap:
-            self.alphas = {"": (1.0,) * self.n}
+        if len(self.alphas) > 3 * self.cap // 2:
+            # short prefixes are in use throughout
+            self.alphas = {k: v for k, v in self.alphas.items() if len(k) <= SHORT}
         if not total[-1]:
             return "und", 0.0
         logs = total[:-1]
@@ -180,14 +182,14 @@ def identify(docs: DataFrame, model: LangModel, keep: tuple[str, ...] = ("doc_id
     Other columns of docs are not carried, so that their names cannot clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep, F.col("text").alias("__text"))
+    kept, text = with_text(docs, keep)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def setup():
         scorer = Scorer(shared.value)
 
         def step(batch: pa.RecordBatch) -> dict:
-            found = [scorer.text(x.as_py()) for x in batch["__text"]]
+            found = [scorer.text(x.as_py()) for x in batch[text]]
             return {c: batch[c] for c in keep} | {"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
 
         return step

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import filesystem, map_batches, materialise, scratch
+from .common import filesystem, map_batches, materialise, scratch, small_batches
 
 ROW = 192  # bytes of 64 RGB samples
 SCHEMA = "archive string, member string, offset long, media binary"
@@ -132,6 +132,7 @@ def write_media(docs: DataFrame, path: str, level: int = 3) -> DataFrame:
             store.move(name + ".part", name + ".zip")
             yield pa.RecordBatch.from_pydict({"archive": [name + ".zip"], "bytes": [outlet.at], "members": [n]})
 
+    small_batches(docs.sparkSession)
     return materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "archive string, bytes long, members long"), "media-list")
 
 

@@ -31,7 +31,7 @@ END = 1
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes, of a vocabulary of words that drops white space."""
 
-    def __init__(self, path: str, cap: int = 300_000):
+    def __init__(self, path: str, cap: int = 200_000):
         import regex
 
         self.v = Vocabulary(path)
@@ -39,17 +39,14 @@ class WordEncoder:
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.bytes = [struct.pack("<I", i) for i in range(self.v.tokenizer.get_vocab_size())]
         self.chunks: Memo = Memo(self._chunk, cap)
-        self.memo: Memo = Memo(self._piece, cap)
-
-    def _piece(self, piece: str) -> bytes:
-        table = self.bytes
-        return b"".join([table[t.id] for t in self.v.model.tokenize(mapped(piece))])
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha():
-            return self.memo[chunk]
-        memo = self.memo
-        return b"".join([memo[p] for p in self.pieces.findall(chunk)])
+        pieces = (chunk,) if chunk.isalpha() else self.pieces.findall(chunk)
+        if len(pieces) == 1:
+            table = self.bytes
+            return b"".join([table[t.id] for t in self.v.model.tokenize(mapped(pieces[0]))])
+        memo = self.chunks  # a piece is a chunk of one piece
+        return b"".join([memo[p] for p in pieces])
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or UNUSUAL.search(text):
@@ -57,7 +54,6 @@ class WordEncoder:
             return np.array(ids, "<u4").tobytes()
         out = b"".join(map(self.chunks.__getitem__, text.lower().split()))
         self.chunks.trim()
-        self.memo.trim()
         return out
 
 

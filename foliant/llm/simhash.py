@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise
+from .common import map_batches, materialise, with_text
 from .components import components
 
 WIDTH = 3
@@ -62,15 +62,16 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` and fp (the 64 bits as a long) of each row of docs, over whole texts."""
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    rows, text = with_text(docs, keep)
 
     def setup():
         def step(batch: pa.RecordBatch) -> dict:
-            found = np.array([fingerprint(x.as_py()) for x in batch["__text"]], np.uint64)
+            found = np.array([fingerprint(x.as_py()) for x in batch[text]], np.uint64)
             return {c: batch[c] for c in keep} | {"fp": pa.array(found.view(np.int64))}
 
         return step
 
-    return map_batches(docs.select(*keep, F.col("text").cast("string").alias("__text")), f"{ddl}, fp long", setup)
+    return map_batches(rows, f"{ddl}, fp long", setup)
 
 
 def _changes() -> np.ndarray:

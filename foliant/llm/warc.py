@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from .common import filesystem, materialise, scratch
+from .common import filesystem, materialise, scratch, small_batches
 
 SCHEMA = "archive string, offset long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, content_length long, payload_length long, payload binary"
 #: Columns and the WARC header each comes from.
@@ -289,6 +289,7 @@ def write_warc(records: DataFrame, path: str, level: int = 6) -> DataFrame:
             store.move(name + ".part", name + ".warc.gz")
             yield pa.RecordBatch.from_pydict({"archive": [name + ".warc.gz"], "records": [n]})
 
+    small_batches(records.sparkSession)
     return materialise(records.mapInArrow(run, "archive string, records long"), "warc-list")
 
 

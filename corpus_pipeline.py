@@ -40,9 +40,10 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document, with its secrets masked and n_chars counted anew where they were."""
-    found = secrets.scan(docs, (*COLUMNS,))
-    masked = secrets.redact(F.col("text"), F.col("spans"))
-    return found.select("doc_id", masked.alias("text"), "lang", "source", F.when(F.size("spans") > 0, F.length(masked).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    # a column of its own first: within one select, Spark would resolve `text` in redact's lambdas to the new column
+    found = secrets.scan(docs, (*COLUMNS,)).withColumn("masked", secrets.redact(F.col("text"), F.col("spans")))
+    n_chars = F.when(F.size("spans") > 0, F.length("masked").cast("long")).otherwise(F.col("n_chars"))
+    return found.select("doc_id", F.col("masked").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,7 +138,7 @@ SELECT CAST(start_page AS INT) AS start_page, CAST(current_page AS INT) AS curre
     "v2_nearest": f"SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, {_cosine('q.embedding', 'v.embedding')} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE rank <= 10",
     "v2_nearest_scoped": f"SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, {_cosine('q.embedding', 'v.embedding')} AS score FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id % 100 = 0)) WHERE rank <= 5",
     "a7_centroids": f"WITH {CENTROID} SELECT label, i, round(x, 6) AS x FROM unit",
-    "n10_similarity": f"WITH {CENTROID} SELECT a.label AS a, b.label AS b, round(round(sum(a.x * b.x), 6), 4) AS similarity FROM unit a JOIN unit b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2",
+    "n10_similarity": f"WITH {CENTROID} SELECT a.label AS a, b.label AS b, round(sum(a.x * b.x), 6) AS similarity FROM unit a JOIN unit b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2",
     "l2_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS norm, 1.0 AS unit FROM embeddings",
     "a11_build_stats": f"WITH {BLOCKS} SELECT book_id, count(DISTINCT chapter_id) AS n_chapters, count(*) AS n_blocks FROM b GROUP BY 1",
 }

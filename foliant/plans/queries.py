@@ -388,7 +388,7 @@ def a7_centroids(spark, sf):
 
 @query
 def n10_similarity(spark, sf):
-    return vectors.pairwise(vectors.centroids(table(spark, sf, "embeddings"), "label"), "label", "centroid").withColumn("similarity", F.round("similarity", 4))
+    return vectors.pairwise(vectors.centroids(table(spark, sf, "embeddings"), "label"), "label", "centroid")
 
 
 @query

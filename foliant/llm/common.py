@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -80,15 +83,28 @@ def map_batches(df: DataFrame, schema: str, setup: Callable[[], Callable[[pa.Rec
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, step = to_arrow_schema(target), setup()
-        for batch in batches:
-            for part in slices(batch):
-                out = step(part)
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, out[f.name]) for f in arrow)], schema=arrow)
+        out = part = batch = None
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    out = step(part)
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, out[f.name]) for f in arrow)], schema=arrow)
+        finally:
+            del step, out, part, batch
+            release()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, target)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker process idles between stages, next to its executor's JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Whole texts in Spark's default 10,000 rows a batch take tens of MB, in the JVM and again in Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

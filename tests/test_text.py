@@ -134,6 +134,32 @@ def test_cooccurrence_against_all_pairs(spark):
     assert got == want
 
 
+def test_cooccurrence_within_chapters_equals_the_range_join(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["ann", "ann lee", "lee", "bob", "sea", "the", "of"]
+    chapters = spark.createDataFrame([("b", c, " ".join(rng.choices(words, k=700))) for c in range(3)] + [("b", 3, None), ("b", 4, ""), ("c", 5, "bob bob")], "book_id string, chapter_id long, text string")
+    names = spark.createDataFrame([("b", "ann", "ann lee"), ("b", "ann lee", "ann lee"), ("b", "bob", "bob"), ("b", "sea", "sea"), ("c", "bob", "bob")], "book_id string, variation string, canonical string")
+    known = spark.createDataFrame([("b", "entity_ann_lee"), ("b", "entity_bob"), ("b", "entity_sea"), ("c", "entity_bob")], "book_id string, entity_id string")
+    want = {tuple(r) for r in entities.cooccurrence(entities.occurrences(chapters, names, known)).collect()}
+    assert want and {tuple(r) for r in entities.cooccurrence_in(chapters, names, known).collect()} == want
+
+
+def test_near_counts_in_small_blocks():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    codes, places = rng.integers(0, 5, 300), rng.integers(0, 4000, 300)
+    want = np.zeros((5, 5), int)
+    for i in range(300):
+        for j in range(300):
+            if codes[i] != codes[j] and abs(places[i] - places[j]) <= 500:
+                want[codes[i], codes[j]] += 1
+    for cells in (5, 64, 1 << 22):
+        assert (entities.near_counts(codes, places, 5, cells=cells) == want).all()
+
+
 def test_clusters_stop_at_the_least_and_by_distance():
     import numpy as np
 

@@ -93,3 +93,21 @@ def links(anchors: DataFrame, sections: DataFrame) -> DataFrame:
     external = F.col("link").rlike("^https?://")
     kind = F.when(external, "external").when(F.col("__path") == "", "anchor").when(F.col("__by_file").isNotNull(), "internal").otherwise("unknown")
     return joined.select("link", kind.alias("kind"), F.when(~external, F.col("__by_file")).alias("spine_item_id"), "fragment")
+
+
+def linked_styles(sections: DataFrame, files: DataFrame) -> DataFrame:
+    """(spine_item_id, css): the style sheets that a section (spine_item_id, html, base_path) links, in order, each with a line end; null if none.
+
+    A link finds the file (path, css) by its path below base_path, else by the path as it stands, else by its file name; of files with one
+    name, the one with the smallest path. Files are a book's few and broadcast.
+    """
+    name = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
+    link = r"""(?i)<link[^>]+href\s*=\s*["']([^"']+\.css)["'][^>]*>"""
+    hrefs = sections.select("spine_item_id", "base_path", F.posexplode(F.regexp_extract_all("html", F.lit(link), F.lit(1))).alias("at", "href"))
+    keys = files.select(F.explode(F.array(F.struct(F.lit(1).alias("by"), F.col("path").alias("key")), F.struct(F.lit(2).alias("by"), name(F.col("path")).alias("key")))).alias("k"), "path", "css")
+    known = keys.groupBy(F.col("k.key").alias("key")).agg(F.min_by("css", F.struct("k.by", "path")).alias("css"))
+    full = F.when(F.col("base_path") == "", F.col("href")).otherwise(F.concat_ws("/", "base_path", "href"))
+    tried = hrefs.select("spine_item_id", "at", F.posexplode(F.array(full, F.col("href"), name(F.col("href")))).alias("try", "key"))
+    found = tried.join(F.broadcast(known), "key").groupBy("spine_item_id", "at").agg(F.min_by("css", "try").alias("css"))
+    joined = found.groupBy("spine_item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "css"))), lambda x: F.concat(x["css"], F.lit("\n"))), "").alias("css"))
+    return sections.select("spine_item_id").join(joined, "spine_item_id", "left")

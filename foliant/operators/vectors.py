@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,31 @@ def check(chunks: int, vectors: DataFrame) -> None:
         raise ValueError(f"vectors of {low} to {high} dimensions")
 
 
+def shape(vectors: DataFrame) -> DataFrame:
+    """(n, least, most, valid): how many vectors there are and their dimensions; valid if there are any and all have one length."""
+    made = vectors.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most"))
+    return made.withColumn("valid", F.coalesce(F.col("least") == F.col("most"), F.lit(False)))
+
+
+def embed(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], limit: int = 2048) -> DataFrame:
+    """(id, embedding) of texts (id, text): unit vectors that a model gives for the first `limit` characters of each text.
+
+    load() makes the model once a task: a function from a list of texts to a matrix. A null text counts as empty; a zero vector stays; no rows, no vectors.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for batch in batches:
+            if batch.num_rows:
+                m = np.asarray(model([t or "" for t in batch["text"].to_pylist()]), np.float64)
+                n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                unit = np.divide(m, n, out=np.zeros_like(m), where=n > 0).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(list(unit), pa.list_(pa.float32()))], names=["id", "embedding"])
+
+    return texts.select("id", F.substring("text", 1, limit).alias("text")).mapInArrow(run, f"id {kind}, embedding array<float>")
+
+
 def nearest(index: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", scope: str | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k best of index (key, embedding) for each of queries (query_id, embedding), exactly.
 

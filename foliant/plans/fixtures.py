@@ -30,6 +30,13 @@ FIXTURES = {
     "places": _values("id, road, city, town, village, state, country, name", "(1, 'Main St', 'Bath', NULL, NULL, 'Somerset', 'UK', 'x'), (2, NULL, NULL, 'Whitby', 'Sleights', NULL, 'UK', 'y'), (3, CAST(NULL AS VARCHAR(9)), NULL, NULL, CAST(NULL AS VARCHAR(9)), NULL, NULL, 'Somewhere')"),
     "summaries": _values("id, reply", "(1, 'SUMMARY: It begins.\nIt goes on.\n\nKEY_POINTS:\n- first\n-second\nno point\nCHARACTERS: Ann, Bob ,, Cy'), (2, 'free text'), (3, 'summary:\n a \nKEY POINTS:\n- p\nCHARACTERS:\nDee')"),
     "synopses": _values("id, reply", "(1, 'SYNOPSIS: All of it.\nMore.\nCHARACTERS:\n- Ann: the heroine: brave\n- Bob\n- : none\nTHEMES:\n- love\n- '), (2, 'nothing here')"),
+    "markup": _values("id, html", "(1, '<p>a<i/>b<br/>c<Span class=\"x\" />d</p>'), (2, 'plain'), (3, '<div/><hr/><a id=\"n\"/>'), (4, '')"),
+    "pictures": _values("id, base_path, html", "(1, 'OPS/text', '<p><img alt=\"a\" src=\"../img/cover.jpg\"/>x<img src=\"none.png\"></p>'), (2, '', '<IMG SRC=''fig.svg''>'), (3, 'OPS', '<img src=\"img/plate.png\" width=\"3\"> and <b>text</b>')"),
+    "styled": _values("spine_item_id, base_path, html", "('s1', 'OPS', '<link rel=\"stylesheet\" href=\"a.css\"/><LINK href=''x/b.css''>'), ('s2', '', '<link href=\"OPS/a.css\">'), ('s3', 'OPS', '<link href=\"gone.css\"><link href=\"q/c.css\">'), ('s4', 'OPS', '<p>none</p>')"),
+    "styles": _values("path, css", "('OPS/a.css', 'p {}'), ('OPS/x/b.css', 'b {}'), ('lib/c.css', 'c1 {}'), ('other/c.css', 'c2 {}')"),
+    "conversations": _values("conv_id, book_title, updated_ts", "('c1', 'Emma', CAST('2024-01-01' AS TIMESTAMP)), ('c2', 'Emma', CAST('2024-02-01' AS TIMESTAMP)), ('c3', 'Walden', CAST('2024-03-01' AS TIMESTAMP)), ('c4', 'Emma', CAST('2024-02-01' AS TIMESTAMP))"),
+    "stored_summaries": _values("chapter_id, summary, key_points, characters", "('s1', 'It begins.', 'a;b', 'Ann'), ('s3', 'It ends.', '', NULL)"),
+    "stored_synopses": _values("book_id, synopsis, characters, themes", "('b1', 'A match is made.', 'Emma', 'love;pride'), ('b4', 'A day.', NULL, 'time')"),
 }
 
 

@@ -141,4 +141,23 @@ SELECT CAST(start_page AS INT) AS start_page, CAST(current_page AS INT) AS curre
     "n10_similarity": f"WITH {CENTROID} SELECT a.label AS a, b.label AS b, round(sum(a.x * b.x), 6) AS similarity FROM unit a JOIN unit b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2",
     "l2_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS norm, 1.0 AS unit FROM embeddings",
     "a11_build_stats": f"WITH {BLOCKS} SELECT book_id, count(DISTINCT chapter_id) AS n_chapters, count(*) AS n_blocks FROM b GROUP BY 1",
+    "p12_body": "WITH x AS (SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<body[^>]*>(.*?)</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) ELSE html END AS b FROM pages) SELECT page_id, length(b) AS n_chars, sha256(b) AS body_sha256 FROM x",
+    "p12_self_closing": rf"SELECT id, regexp_replace(regexp_replace(replace(html, '<Span', '<span'), '<([a-zA-Z][a-zA-Z0-9]*)([^>]*?)\s*/>', '<\1\2></\1>', 'g'), '<(br|hr|img)([^>]*)></(?:br|hr|img)>', '<\1\2/>', 'g') AS html FROM ({FIXTURES['markup']})",
+    "p14_linked_styles": rf"""WITH h AS (SELECT spine_item_id, base_path, generate_subscripts(l, 1) AS place, unnest(l) AS href FROM (SELECT *, regexp_extract_all(html, '(?i)<link[^>]+href\s*=\s*["'']([^"'']+\.css)["''][^>]*>', 1) AS l FROM ({FIXTURES['styled']}))),
+f AS ({FIXTURES['styles']}), k AS (SELECT path AS key, 1 AS how, path, css FROM f UNION ALL SELECT regexp_extract(path, '[^/]*$'), 2, path, css FROM f),
+hit AS (SELECT spine_item_id, place, (SELECT css FROM k WHERE key IN (CASE WHEN base_path = '' THEN href ELSE base_path || '/' || href END, href, regexp_extract(href, '[^/]*$'))
+  ORDER BY CASE key WHEN CASE WHEN base_path = '' THEN href ELSE base_path || '/' || href END THEN 0 WHEN href THEN 1 ELSE 2 END, how, path LIMIT 1) AS css FROM h)
+SELECT s.spine_item_id, (SELECT string_agg(css || chr(10), '' ORDER BY place) FROM hit WHERE hit.spine_item_id = s.spine_item_id AND css IS NOT NULL) AS css FROM ({FIXTURES['styled']}) s""",
+    "p10_title": f"SELECT book_id, title FROM ({FIXTURES['library']}) WHERE contains(lower(title), 'u') ORDER BY last_opened_ts DESC NULLS LAST, import_ts DESC, book_id LIMIT 1",
+    "p11_conversations_of_book": f"SELECT conv_id, updated_ts FROM ({FIXTURES['conversations']}) WHERE book_title = 'Emma' ORDER BY updated_ts DESC, conv_id",
+    "layout_keys": "SELECT p_partkey, printf('%.1f', p_size / 10.0) || '-' || p_size * 2 || '-820-1180' AS layout FROM part",
+    "page_arithmetic": r"SELECT doc_id, greatest(1, CAST(ceil(n_chars / 640.0) AS INT)) AS pages, CAST(greatest(0, least(round(n_chars / 3.0 / 640), greatest(1, ceil(n_chars / 640.0)) - 1)) AS INT) AS page, sha256(array_to_string(regexp_split_to_array(regexp_replace(text, '^ +| +$', '', 'g'), '\s+')[1:5], ' ')) AS head_sha256 FROM documents",
+    "s10_store": "SELECT source AS book_id, CASE source WHEN 'src1' THEN -count(*) ELSE count(*) END AS n FROM documents GROUP BY 1",
+    "v1_index_shape": "SELECT count(*) AS n, min(len(embedding)) AS least, max(len(embedding)) AS most, min(len(embedding)) = max(len(embedding)) AS valid FROM embeddings",
+    "tool_current_position": f"WITH {BLOCKS}, s AS (SELECT book_id, chapter_id, count(*) AS n_blocks FROM b GROUP BY 1, 2), p AS (SELECT source || '-' || doc_id AS reader_id, source AS book_id, doc_id AS chapter_id, CASE WHEN doc_id % 5 > 0 THEN n_chars % 3 END AS o FROM documents) SELECT reader_id, book_id, chapter_id, 'Chapter ' || chapter_id AS label, CAST(CASE WHEN o < n_blocks THEN o + 1 END AS INT) AS block, n_blocks, CAST(CASE WHEN o < n_blocks THEN round((o + 1) / n_blocks * 100) END AS INT) AS percent FROM p JOIN s USING (book_id, chapter_id)",
+    "tool_book_structure": f"WITH {BLOCKS} SELECT book_id, chapter_id, 'Chapter ' || chapter_id AS label, count(*) AS n_blocks, chapter_id = min(chapter_id) OVER (PARTITION BY book_id) AS current FROM b GROUP BY 1, 2",
+    "tool_semantic_search": f"SELECT query_id, rank, vec_id, label AS chapter_id, CAST(trunc(score * 100) AS INT) AS similarity, sha256(left(text, 300)) AS snippet_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, v.label, {_cosine('q.embedding', 'v.embedding')} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) JOIN documents ON doc_id = vec_id WHERE rank <= 10",
+    "tool_chapter_summary": f"SELECT r.chapter_id, current_id, CASE WHEN r.chapter_id = 'current' THEN current_id ELSE spine_item_id END AS resolved, summary, key_points, characters FROM ({FIXTURES['chapter_requests']}) r LEFT JOIN ({FIXTURES['sections']}) s ON r.chapter_id = spine_item_id LEFT JOIN ({FIXTURES['stored_summaries']}) t ON t.chapter_id = CASE WHEN r.chapter_id = 'current' THEN current_id ELSE spine_item_id END",
+    "j11_gathered_summaries": "SELECT 'b1' AS book_id, CAST(2 AS BIGINT) AS n, 'It ends.' || chr(10) || chr(10) || 'It begins.' AS text",
+    "tool_book_synopsis": f"SELECT l.book_id, title, CAST(NULL AS VARCHAR) AS author, synopsis, characters, themes FROM ({FIXTURES['library']}) l LEFT JOIN ({FIXTURES['stored_synopses']}) s ON l.book_id = s.book_id",
 }

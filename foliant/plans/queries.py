@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cfi, paging, text
+from ..functions import cfi, markup, paging, text
 from ..operators import blocks as block_ops
-from ..operators import chunks, concepts, conversations, entities, positions, router, search, tfidf, themes, vectors
+from ..operators import chunks, concepts, conversations, entities, positions, router, search, tfidf, themes, tools, vectors
 from ..sources import stores
 from ..sources.tables import blocks, chapters, table
 from . import index
@@ -477,3 +477,149 @@ def wordpiece(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 2048).alias("text"))
     made = encode_texts(docs, vocabulary, 512)
     return made.select("id", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n"))
+
+
+@query
+def p12_body(spark, sf):
+    inside = markup.body(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", F.length(inside).alias("n_chars"), F.sha2(inside, 256).alias("body_sha256"))
+
+
+@query
+def p12_self_closing(spark, sf):
+    return fixture(spark, "markup").select("id", markup.close_empty(F.col("html")).alias("html"))
+
+
+@query
+def p12_image_links(spark, sf):
+    paths = fixture(spark, "files").agg(F.array_sort(F.collect_list("path")).alias("images"))
+    pictures = fixture(spark, "pictures").crossJoin(F.broadcast(paths))
+    return pictures.select("id", markup.image_links(F.col("html"), F.col("base_path"), F.col("images")).alias("html"))
+
+
+@query
+def p14_linked_styles(spark, sf):
+    return search.linked_styles(fixture(spark, "styled"), fixture(spark, "styles"))
+
+
+@query
+def p10_title(spark, sf):
+    return tools.by_title(fixture(spark, "library"), "U").select("book_id", "title")
+
+
+@query
+def p11_conversations_of_book(spark, sf):
+    return conversations.by_book(fixture(spark, "conversations"), "Emma").select("conv_id", "updated_ts")
+
+
+@query
+def t4_entity_top(spark, sf):
+    found = index.written(entities.mentions(blocks(spark, sf)), "mentions")
+    known = entities.candidates(found, entities.variations(found))
+    return entities.salience(known, chapters(spark, sf), tfidf.keywords(chapters(spark, sf)), 10).select("book_id", "entity_id", "rank")
+
+
+@query
+def t5_concept_display(spark, sf):
+    return concepts.display(_hits(spark, sf)[1])
+
+
+@query
+def layout_keys(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", text.layout_key(F.format_string("%.1f", F.col("p_size") / 10), F.col("p_size") * 2, F.lit(820), F.lit(1180)).alias("layout"))
+
+
+@query
+def page_arithmetic(spark, sf):
+    d = table(spark, sf, "documents")
+    pages = paging.page_count(F.col("n_chars"), F.lit(640))
+    return d.select("doc_id", pages.alias("pages"), paging.current_page(F.col("n_chars") / 3, F.lit(640), pages).alias("page"), F.sha2(text.first_words(F.col("text"), 5), 256).alias("head_sha256"))
+
+
+@query
+def s2_epub_metadata(spark, sf):
+    from ..sources.epub import read_sections
+
+    return read_sections(_archive(spark), content=False).select("path", "title", "author", "spine_index", "spine_item_id", "href", "media_type", "ncx_label", F.col("html").isNull().alias("unread"), "error")
+
+
+@query
+def s3_epub_section(spark, sf):
+    from ..sources.epub import section_at
+
+    return section_at(_archive(spark), 1).select("path", "spine_index", "spine_item_id", F.sha2("html", 256).alias("html_sha256"))
+
+
+def _archive(spark):
+    from .fixtures import sample_epub
+
+    return spark.createDataFrame([("sample.epub", bytearray(sample_epub())), ("broken.epub", bytearray(b"x"))], "path string, content binary")
+
+
+@query
+def s10_store(spark, sf):
+    store = stores.Store(spark, index.fresh(spark, "store"))
+    sizes = chapters(spark, sf).groupBy("book_id").agg(F.count("*").alias("n"))
+    store.save(sizes)
+    store.save(sizes.where("book_id = 'src1'").withColumn("n", -F.col("n")))
+    return store.load().select("book_id", "n")
+
+
+@query
+def v1_index_shape(spark, sf):
+    return vectors.shape(table(spark, sf, "embeddings"))
+
+
+@query
+def v3_embed(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return vectors.embed(docs, _letters).select("id", F.size("embedding").alias("dim"), F.round(vectors.norm(F.col("embedding")), 5).alias("norm"))
+
+
+def _letters():
+    """Stands in for a model: a text's letter counts."""
+    import numpy as np
+
+    return lambda texts: np.stack([np.bincount(np.frombuffer(t.lower().encode(), np.uint8), minlength=256)[97:123] for t in texts])
+
+
+def _sections(spark, sf):
+    return chapters(spark, sf).select("book_id", "chapter_id", F.concat(F.lit("Chapter "), "chapter_id").alias("label"))
+
+
+@query
+def tool_current_position(spark, sf):
+    d = table(spark, sf, "documents")
+    readers = d.select(F.concat_ws("-", "source", "doc_id").alias("reader_id"), F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_id"), F.when(F.col("doc_id") % 5 > 0, F.col("n_chars") % 3).cast("int").alias("ordinal"))
+    return tools.current_position(readers, _sections(spark, sf), blocks(spark, sf))
+
+
+@query
+def tool_book_structure(spark, sf):
+    current = chapters(spark, sf).groupBy("book_id").agg(F.min("chapter_id").alias("chapter_id"))
+    return tools.book_structure(_sections(spark, sf), blocks(spark, sf), current)
+
+
+@query
+def tool_semantic_search(spark, sf):
+    v = table(spark, sf, "embeddings")
+    chunk_texts = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text").join(v.select("vec_id", F.col("label").alias("chapter_id")), "vec_id")
+    found = tools.semantic_search(v.select("vec_id", "embedding"), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), chunk_texts)
+    return found.select("query_id", "rank", "vec_id", "chapter_id", "similarity", F.sha2("snippet", 256).alias("snippet_sha256"))
+
+
+@query
+def tool_chapter_summary(spark, sf):
+    return tools.stored_summaries(fixture(spark, "chapter_requests"), fixture(spark, "sections"), fixture(spark, "stored_summaries"))
+
+
+@query
+def j11_gathered_summaries(spark, sf):
+    places = spark.sql("SELECT * FROM VALUES ('b1', 's3', 0), ('b1', 's1', 1), ('b1', 's2', 2), ('b2', 's2', 0) AS t(book_id, chapter_id, place)")
+    return tools.gathered_summaries(places, fixture(spark, "stored_summaries"))
+
+
+@query
+def tool_book_synopsis(spark, sf):
+    return tools.stored_synopses(fixture(spark, "library").withColumn("author", F.lit(None).cast("string")), fixture(spark, "stored_synopses"))

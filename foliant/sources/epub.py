@@ -127,6 +127,12 @@ def read_sections(archives: DataFrame, content: bool = True, most: int | None =
     return archives.select("path", "content").mapInPandas(run, SECTIONS)
 
 
+def section_at(archives: DataFrame, index: int) -> DataFrame:
+    """The section at a place in the spine of each archive that has one; a negative place has none."""
+    found = read_sections(archives, most=index + 1) if index >= 0 else read_sections(archives, content=False, most=0)
+    return found.where((F.col("spine_index") == index) & F.col("error").isNull())
+
+
 def scan(spark: SparkSession, path: str, content: bool = True, most: int | None = None) -> DataFrame:
     """All .epub files below a path, in either case."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

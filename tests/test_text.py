@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from foliant.functions import cfi, paging, text
+from foliant.functions import cfi, markup, paging, text
 from foliant.operators import blocks, chunks, entities, themes, wordpiece
 from foliant.operators.replies import parse_summary, parse_synopsis
 from foliant.plans.fixtures import FIXTURES, sample_epub
@@ -198,3 +198,44 @@ def test_epub(spark, tmp_path):
     assert [(r.title, r.spine_item_id, r.ncx_label) for r in rows if not r.error] == [("Sample EPUB", "c1", None), ("Sample EPUB", "c2", "Child")]
     assert "Hello from EPUB" in rows[0].html and sum(r.error is not None for r in rows) == 1
     assert epub.scan(spark, str(tmp_path), content=False, most=1).where("error is null").count() == 1
+
+
+def test_markup(spark):
+    rows = {r.id: r.html for r in spark.sql(FIXTURES["markup"]).select("id", markup.close_empty(F.col("html")).alias("html")).collect()}
+    assert rows == {1: '<p>a<i></i>b<br/>c<span class="x"></span>d</p>', 2: "plain", 3: '<div></div><hr/><a id="n"></a>', 4: ""}
+    images = F.array(*map(F.lit, ("OPS/img/cover.jpg", "x/fig.svg", "OPS/img/plate.png")))
+    got = {r.id: r.html for r in spark.sql(FIXTURES["pictures"]).select("id", markup.image_links(F.col("html"), F.col("base_path"), images).alias("html")).collect()}
+    assert got[1] == '<p><img alt="a" src="epub://image/OPS/img/cover.jpg"/>x<img src="none.png"></p>'
+    assert got[2] == '<img src="epub://image/fig.svg">' and got[3].startswith('<img src="epub://image/OPS/img/plate.png" width="3"> and')
+    assert one(spark, markup.body(F.lit("<html><BODY class='a'> x\n</BODY>"))) == " x\n" and one(spark, markup.body(F.lit("y"))) == "y"
+    assert one(spark, markup.resolve(F.lit("a/b"), F.lit("../../../c/./d.png"))) == "c/d.png"
+    assert one(spark, markup.body(F.lit(None).cast("string"))) is None and one(spark, markup.close_empty(F.lit(None).cast("string"))) is None
+
+
+def test_sections_by_place(spark):
+    archive = spark.createDataFrame([("a.epub", bytearray(sample_epub())), ("b.epub", bytearray(b"x"))], "path string, content binary")
+    assert [[r.spine_item_id for r in epub.section_at(archive, i).collect()] for i in (0, 1, 2, -1)] == [["c1"], ["c2"], [], []]
+
+
+def test_embeddings_are_unit_vectors(spark):
+    import numpy as np
+    from foliant.operators import vectors
+
+    seen = spark.createDataFrame([(1, "ab" * 3000), (2, ""), (3, None)], "id long, text string")
+    got = {r.id: r.embedding for r in vectors.embed(seen, lambda: lambda texts: np.array([[3 * bool(t), 4 * (len(t) == 2048)] for t in texts])).collect()}
+    assert got[2] == got[3] == [0.0, 0.0] and [round(x, 6) for x in got[1]] == [0.6, 0.8]
+
+
+def test_tools(spark):
+    import pytest
+    from foliant.operators import tools
+
+    with pytest.raises(ValueError, match="Unknown tool: x"):
+        tools.call("x")
+    blocks_ = spark.createDataFrame([("b", 1, i, t) for i, t in enumerate(("one", "two", "two"))], "book_id string, chapter_id long, ordinal int, text string")
+    sections = spark.createDataFrame([("b", 1, "I"), ("b", 2, None)], "book_id string, chapter_id long, label string")
+    asked = spark.createDataFrame([("r1", "b", 1, 1), ("r2", "b", 1, 9), ("r3", "b", 1, None), ("r4", "c", 1, 0), ("r5", None, None, None)], "reader_id string, book_id string, chapter_id long, ordinal int")
+    got = {r.reader_id: (r.label, r.block, r.n_blocks, r.percent) for r in tools.call("get_current_position", asked, sections, blocks_).collect()}
+    assert got == {"r1": ("I", 2, 3, 67), "r2": ("I", None, 3, None), "r3": ("I", None, 3, None), "r4": (None,) * 4, "r5": (None,) * 4}
+    listed = tools.call("get_book_structure", sections, blocks_, asked.limit(1)).collect()
+    assert {(r.chapter_id, r.n_blocks, r.current) for r in listed} == {(1, 3, True), (2, 0, False)}

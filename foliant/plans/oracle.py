@@ -161,3 +161,15 @@ SELECT s.spine_item_id, (SELECT string_agg(css || chr(10), '' ORDER BY place) FR
     "j11_gathered_summaries": "SELECT 'b1' AS book_id, CAST(2 AS BIGINT) AS n, 'It ends.' || chr(10) || chr(10) || 'It begins.' AS text",
     "tool_book_synopsis": f"SELECT l.book_id, title, CAST(NULL AS VARCHAR) AS author, synopsis, characters, themes FROM ({FIXTURES['library']}) l LEFT JOIN ({FIXTURES['stored_synopses']}) s ON l.book_id = s.book_id",
 }
+
+#: Columns that the queries give as 32-bit integers where DuckDB's functions give 64 bits.
+INTEGERS = {
+    "n2_keywords": "rank", "n3_bigrams": "rank", "n4_vocabulary": "index", "n4_vectors": "index", "p7_block_ids": "ordinal tokens", "w2_block_offsets": "ordinal",
+    "a12_full_text": "n_chars", "w11_position_percent": "ordinal", "n1_chunks": "token_count n_blocks start_offset end_offset", "p9_lexical_search": "ordinal match_pos",
+    "t3_lexical_display": "rank ordinal", "w4_surrounding": "centre ordinal n_chars", "p5_strip_html": "n_chars", "t1_library_order": "place", "w6_global_page": "spine_index",
+    "w7_starting_page": "spine_index", "locations": "spine_index i char_offset", "w10_boundaries": "spine_index n", "w10_spine_of_location": "location spine_index",
+    "cfi_generate": "spine_index", "v2_nearest": "rank", "v2_nearest_scoped": "rank", "a7_centroids": "i", "p12_body": "n_chars", "v1_index_shape": "least most", "tool_semantic_search": "rank",
+}
+for _name, _columns in INTEGERS.items():
+    SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INT) AS {c}' for c in _columns.split())}) FROM ({SQL[_name]})"
+SQL["l2_norms"] = SQL["l2_norms"].replace("1.0 AS unit", "CAST(1 AS DOUBLE) AS unit")

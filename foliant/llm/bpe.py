@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from functools import cached_property
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: How byte-level vocabularies write the 256 bytes as characters.

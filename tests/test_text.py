@@ -170,6 +170,27 @@ def test_clusters_stop_at_the_least_and_by_distance():
     assert len(themes.cluster(apart, least=1, target=3)) == 3
 
 
+def test_clusters_against_a_full_search():
+    import numpy as np
+
+    def plain(sim, least, target, distance):
+        groups, at = [[i] for i in range(len(sim))], lambda a, b: sum(sim[x][y] for x in a for y in b) / (len(a) * len(b))
+        while len(groups) > least:
+            pairs = [(round(at(a, b), 9), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
+            best, i, j = max(pairs)
+            if 1 - best > distance and len(groups) <= target:
+                break
+            groups = [g for k, g in enumerate(groups) if k not in (-i, -j)] + [groups[-i] + groups[-j]]
+        return groups
+
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 30, 60):
+        for _ in range(6):
+            m = np.triu(rng.integers(0, 5, (n, n)) / 4, 1)
+            m = m + m.T + np.eye(n)
+            assert themes.cluster(m, 3, 8, 0.4) == plain(m, 3, 8, 0.4)
+
+
 def test_replies(spark):
     rows = {r.id: r for r in parse_summary(spark.sql(FIXTURES["summaries"])).collect()}
     assert rows[1][1:] == ("It begins. It goes on.", ["first", "second"], ["Ann", "Bob", "Cy"])

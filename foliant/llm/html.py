@@ -2,14 +2,15 @@
 
 A page is read as a sequence of tokens: its containers, each named by its path, and the running
 text that belongs to them. Over the pages of a host every token has an occurrence vector, how often each page
-has it. Tokens that share a vector form an equivalence class; classes that enough pages have are the
-host's template, nested by path, and what lies between its tokens are slots. The template decides which slot holds the
-article: containers that name themselves so, or else the deepest one that holds most of the host's
-running text. Text of template tokens that stay the same from page to page, outside the article, is no content.
+has it. Tokens that share a vector form an equivalence class: containers of their parent's class are fixed parts of it,
+others are content of their parent's slot, and texts of a class with their container or with all pages of a layout are the template's own.
+What is left, each distinct text counted once, is the slots' running text. The article is the slot that holds it, followed from the root down to where it
+spreads out; sibling slots of one class may hold it together. Names in tags and classes decide between slots that
+hold comparable amounts, and alone on pages without a template.
 
 Vectors are compared by two sums of hashes, which combine before they shuffle; a host with a third of
-all pages is as many partial sums as there are tasks. A token enters a template if a tenth of the host's
-pages have it, so a template's size is bounded by ten times an average page's containers.
+all pages is as many partial sums as there are tasks. Pages are grouped by layout, the set of their containers, and a
+page is joined with the template of its layout, which has no more tokens than its pages.
 """
 
 from __future__ import annotations
@@ -40,7 +41,10 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 DIGITS = re.compile(r"\d+")
+#: Part of a host's pages that have a container of its template.
 SHARE = 0.1
+#: Distinct pages that a text of a class must be on to be the template's.
+SUPPORT = 3
 
 
 class Page:
@@ -154,43 +158,72 @@ def tier(path: str) -> int:
 
 
 class Template:
-    """Of one host, from rows (token, pages, a, b, text, links): its equivalence classes, roles and constant texts."""
+    """Of the pages of one layout, from rows (token, pages, a, b, rows, fresh): classes, and the running text that pages have in each container.
+
+    A container's class is the key of its occurrence vector, (rows, a, b). Texts that are the template's own are rows too.
+    """
 
     def __init__(self, rows: list[tuple]):
-        self.classes: dict[tuple, list[str]] = {}
-        self.constant: set[str] = set()
-        volume: dict[str, int] = {}
-        for token, pages, a, b, text, _ in rows:
-            if token.startswith("/"):
-                self.classes.setdefault((pages, a, b), []).append(token)
-                volume[token] = 0 if is_boiler(token) else text
-            elif token and pages > 1:
-                self.constant.add(token)
-        #: a class is valid if its tokens nest: each one's nearest template ancestor is in this class or in one that as many pages have
-        pages_of = {t: k[0] for k, ts in self.classes.items() for t in ts}
-        self.tokens = {t for t in pages_of if all(pages_of.get(p, 1 << 60) >= pages_of[t] for p in prefixes(t))}
-        self.holds = dict(volume)
-        for t, v in volume.items():
-            for p in prefixes(t):
-                if p in self.holds:
-                    self.holds[p] += v
-
-    def main(self, paths: dict[str, int]) -> list[str]:
-        """The article's containers on a page with these paths, outermost ones of the clearest kind."""
-        open_ = [p for p in paths if not is_boiler(p)]
-        best = max((tier(p) for p in open_), default=0)
-        if best >= 2:
-            return [p for p in open_ if tier(p) == best]
-        known = [p for p in open_ if p in self.tokens and self.holds.get(p)]
-        if best:
-            named = [p for p in open_ if tier(p)]
-            held = max((self.holds.get(p, 0) for p in named), default=0)
-            if not known or held >= 0.5 * max(self.holds[p] for p in known):
-                return [p for p in named if self.holds.get(p, 0) >= 0.5 * held]
-        if not known:
-            return []
-        total = max(self.holds[p] for p in known)
-        return [max((p for p in known if self.holds[p] >= 0.6 * total), key=lambda p: (p.count("/"), self.holds[p]))]
+        self.kind = {token: (n, a, b) for token, _, a, b, n, _ in rows if token.startswith("/")}
+        self.fresh = {token: fresh / pages for token, pages, _, _, _, fresh in rows if token.startswith("/")}
+        self.fixed = {token for token, *_ in rows if token.startswith("#")}
+
+    def main(self, page: Page) -> tuple[list[str], set[str]]:
+        """The article's containers on a page of this layout, none for the whole page, and the containers that are left out."""
+        known = {p for p in page.paths if p in self.kind}
+        holds = self.holdings(page, known)
+        if all(map(is_root, known)) or not holds[""]:
+            return by_words(page.paths), {p for p in page.paths if is_boiler(p)}
+        inner: dict[str, list[str]] = {}
+        for p in page.paths:
+            if holds[p]:
+                inner.setdefault(next(prefixes(p), ""), []).append(p)
+        tops = [""]
+        while len(tops) == 1 and (parts := inner.get(tops[0])):
+            top, most = tops[0], max(holds[p] for p in parts)
+            near = sorted((p for p in parts if holds[p] >= TIE * most), key=lambda p: (-holds[p], p))
+            # a tie: names decide
+            near = [p for p in near if not says_boiler(p, top)] or near
+            near = [p for p in near if tier(p) >= 2] or near
+            near = [p for p in near if self.kind.get(p) == self.kind.get(near[0])]
+            held = sum(holds[p] for p in near)
+            if is_root(top):
+                if held < holds[top] - sum(holds[p] for p in parts):
+                    break
+            elif held < holds[top] * (0.95 if tier(top) or says_boiler(near[0], top) else 0.6 if self.kind.get(top) == self.kind.get(near[0]) else 0.9):
+                break
+            tops = near
+        return [t for t in tops if not is_root(t)], {p for t in tops for p in page.paths if p != t and below(p, t) and says_boiler(p, t) and holds[t] - holds[p] >= 0.2 * holds[t]}
+
+    def holdings(self, page: Page, known: set[str]) -> dict[str, float]:
+        """The running text in and below each container: an average page's, or this page's in those that only it has."""
+        holds = dict.fromkeys(page.paths, 0.0) | {"": 0.0}
+        found = [(p, self.fresh[p]) for p in known] + [(p, max(0, len(text) - links)) for p, text, links in page.blocks if p not in known]
+        for p, n in found:
+            for q in {p, *prefixes(p), ""}:
+                holds[q] += n
+        return holds
+
+
+#: A slot that holds this part of what its largest sibling holds is tied with it.
+TIE = 0.25
+
+
+def is_root(path: str) -> bool:
+    return all(x.split(".")[0] in ("html", "body") for x in path.split("/")[1:])
+
+
+def says_boiler(path: str, top: str) -> bool:
+    """Whether the last element of a path below top names itself a menu, notice and so on; inside an article or a slot of a page less does."""
+    inside = not is_root(top) or any(x.split(".")[0] in ("article", "main") for x in path.split("/")[1:-1])
+    return is_boiler(("/article/" if inside else "/") + path.rpartition("/")[2])
+
+
+def by_words(paths: dict[str, int]) -> list[str]:
+    """The article's containers on a page without a template, by names alone: those of the clearest kind."""
+    open_ = [p for p in paths if not is_boiler(p)]
+    best = max((tier(p) for p in open_), default=0)
+    return [p for p in open_ if best and tier(p) == best]
 
 
 def prefixes(path: str) -> Iterator[str]:
@@ -205,98 +238,133 @@ def below(path: str, top: str) -> bool:
 
 
 def extract(source: str | None, template: Template) -> str:
-    """The article's blocks, joined by line ends."""
+    """The article's blocks, joined by line ends.
+
+    Inside the article's containers nothing is left out for being repeated or a link. Where the page itself is the slot, texts of the
+    template go, unless they are most of the page, and so do blocks that are mostly links.
+    """
     page = Page(source or "")
-    tops = template.main(page.paths)
-    named = any(tier(t) for t in tops)
-    out = []
-    for path, text, links in page.blocks:
-        if is_boiler(path) or (tops and not any(below(path, t) for t in tops)):
-            continue
-        if not named and (constant_key(path, text) in template.constant or 2 * links > len(text)):
-            continue
-        out.append(text)
-    return "\n".join(out)
-
-
-def constant_key(path: str, text: str) -> str:
+    tops, out = template.main(page)
+    kept = [(path, text, links) for path, text, links in page.blocks if (not tops or any(below(path, t) for t in tops)) and not (out and (path in out or any(p in out for p in prefixes(path))))]
+    if not tops:
+        slot = [x for x in kept if text_key(*x[:2]) not in template.fixed] if template.fixed else kept
+        kept = slot if 2 * sum(len(x[1]) for x in slot) >= sum(len(x[1]) for x in kept) else kept
+        kept = [x for x in kept if 2 * x[2] <= len(x[1])]
+    return "\n".join(text for _, text, _ in kept)
+
+
+def text_key(path: str, text: str) -> str:
     import xxhash
 
-    return xxhash.xxh64_hexdigest(f"{path}\n{text}")
+    return "#" + xxhash.xxh64_hexdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass"))
+
+
+def layout_of(page: Page) -> tuple[str, str]:
+    """The key of a page's layout, and its containers."""
+    import xxhash
+
+    paths = "\n".join(sorted(page.paths))
+    return "=" + xxhash.xxh128_hexdigest(paths.encode("utf-8", "surrogatepass")), paths
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, pages, a, b, text, links): token statistics over all pages of each host.
+    """(host, token, path, pages, a, b, times, text): token statistics over all pages of each host.
 
-    a and b are sums over pages of hash(page) x occurrences: equal sums, equal occurrence vectors. The
-    token `` stands for the page itself. Texts are tokens only on pages without a container that names itself the article.
+    a and b are sums over pages of hash(page) x occurrences: equal sums, equal occurrence vectors. text is the running
+    text, without links. Tokens are containers (a path), texts (# and a key; path is their container), layouts (= and a key; path lists the containers), and
+    contents (@ and a key; path is the layout's key).
     """
 
     def setup():
         import xxhash
 
         def step(batch: pa.RecordBatch) -> dict:
-            total: dict[tuple[str, str], list[int]] = {}
+            total: dict[tuple[str, str, str], list[int]] = {}
             for url, source in zip(batch["url"].to_pylist(), batch["html"], strict=True):
                 text = source.as_py() or ""
                 host, page = split_url(url)[0], Page(text)
-                weight = xxhash.xxh64_intdigest(f"{url}\n{text}".encode("utf-8", "surrogatepass"))
-                a, b = weight & 0xFFFFFFF, weight >> 36
-                seen: dict[str, list[int]] = {"": [1, 0, 0]} | {p: [n, 0, 0] for p, n in page.paths.items()}
-                plain = not any(tier(p) >= 2 for p in page.paths)
+                content = xxhash.xxh128_intdigest(text.encode("utf-8", "surrogatepass"))
+                a, b = content & 0xFFFFFFF, content >> 100
+                layout, paths = layout_of(page)
+                seen: dict[tuple[str, str], list[int]] = {(p, p): [n, 0] for p, n in page.paths.items()} | {(layout, paths): [1, 0], (f"@{content:032x}", layout): [1, 0]}
                 for path, block, links in page.blocks:
-                    x = seen[path if path in seen else ""]
-                    x[1] += len(block)
-                    x[2] += links
-                    if plain:
-                        seen.setdefault(constant_key(path, block), [0, 0, 0])[0] += 1
-                for token, (n, size, links) in seen.items():
-                    t = total.setdefault((host, token), [0] * 5)
-                    for i, v in enumerate((1, a * n, b * n, size, links)):
+                    x = seen.setdefault((text_key(path, block), path), [0, 0])
+                    x[0] += 1
+                    x[1] += max(0, len(block) - links)
+                for (token, path), (n, size) in seen.items():
+                    t = total.setdefault((host, token, path), [0] * 5)
+                    for i, v in enumerate((1, a * n, b * n, n, size)):
                         t[i] += v
-            return {"host": [k[0] for k in total], "token": [k[1] for k in total]} | {c: [v[i] for v in total.values()] for i, c in enumerate(("pages", "a", "b", "text", "links"))}
+            return {c: [k[i] for k in total] for i, c in enumerate(("host", "token", "path"))} | {c: [v[i] for v in total.values()] for i, c in enumerate(("pages", "a", "b", "times", "text"))}
 
         return step
 
-    parts = map_batches(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), "host string, token string, pages long, a long, b long, text long, links long", setup)
-    return parts.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "a", "b", "text", "links")])
+    parts = map_batches(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), "host string, token string, path string, pages long, a long, b long, times long, text long", setup)
+    return parts.groupBy("host", "token", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "a", "b", "times", "text")])
 
 
-def templates(pages: DataFrame, share: float = SHARE) -> DataFrame:
-    """(host, template): the tokens that at least `share` of the host's pages have, with their statistics."""
-    stats = materialise(tokens(pages), "tokens")
-    size = stats.where("token = ''").select("host", F.col("pages").alias("all"))
-    kept = stats.join(size, "host").where(F.col("pages") >= share * F.col("all"))
-    return kept.groupBy("host").agg(F.collect_list(F.struct("token", "pages", "a", "b", "text", "links")).alias("template"))
-
+def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(host, layout, template): of each layout, its containers on two distinct pages of the host or more, and the texts of its classes.
 
-def main_text(pages: DataFrame, broadcast_hosts: int = 2_000) -> DataFrame:
+    A text is the template's if its occurrence vector is its container's or the layout's, on at least `support` distinct pages.
+    """
+    stats = materialise(tokens(pages), "tokens")
+    of = lambda mark: stats.where(F.col("token").startswith(mark))
+    size = of("@").groupBy("host", F.col("path").alias("layout")).agg(F.sum("pages").alias("size"))
+    layouts = of("=").select("host", F.col("token").alias("layout"), "path", "pages", "a", "b").join(size, ["host", "layout"])
+    parts = materialise(layouts.select("host", "layout", "size", F.explode(F.split("path", "\n")).alias("path")), "layouts")
+    boxes = of("/").select("host", "path", "pages", "a", "b").join(parts.groupBy("host", "path").agg(F.sum("size").alias("size")), ["host", "path"])
+    whole = size.groupBy("host").agg(F.sum("size").alias("all"))
+    boxes = materialise(boxes.join(whole, "host").where(F.col("size") >= F.greatest(F.lit(2), SHARE * F.col("all"))).drop("all"), "containers")
+    again = of("#").where(F.col("pages") >= support)
+    by_layout = again.join(layouts.where(F.col("size") >= support).select("host", "layout", "pages", "a", "b"), ["host", "pages", "a", "b"]).select("host", "layout", "path", "token")
+    by_box = again.join(boxes.where(F.col("size") >= support), ["host", "path", "pages", "a", "b"]).select("host", "path", "token").join(parts, ["host", "path"]).select("host", "layout", "path", "token")
+    fixed = materialise(by_layout.union(by_box).distinct(), "fixed")
+    # each distinct text counts once
+    fresh = of("#").groupBy("host", "path").agg(F.sum(F.col("text") / F.col("times")).alias("fresh"))
+    less = again.join(fixed.select("host", "path", "token").distinct(), ["host", "path", "token"]).groupBy("host", "path").agg(F.sum(F.col("text") / F.col("times")).alias("less"))
+    known = boxes.join(fresh, ["host", "path"], "left").join(less, ["host", "path"], "left")
+    left = F.greatest(F.coalesce("fresh", F.lit(0.0)) - F.coalesce("less", F.lit(0.0)), F.lit(0.0))
+    rows = parts.select("host", "layout", "path").join(known.select("host", "path", F.struct(F.col("path").alias("token"), F.col("size").alias("pages"), "a", "b", F.col("pages").alias("rows"), F.round(left, 3).alias("fresh")).alias("row")), ["host", "path"])
+    texts = fixed.select("host", "layout", F.struct("token", F.lit(0).cast("long").alias("pages"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("rows"), F.lit(0.0).alias("fresh")).alias("row"))
+    return rows.select("host", "layout", "row").union(texts).groupBy("host", "layout").agg(F.collect_list("row").alias("template"))
+
+
+def main_text(pages: DataFrame, broadcast_layouts: int = 2_000) -> DataFrame:
     """page_id, url and text of every row of pages (page_id, url, html); text is empty if there is none.
 
     A null html is an empty page, and pages without a host form a group of their own. Repeated rows each have
     their text; no rows, no result. Only these three columns are read. Templates are broadcast for up to
-    `broadcast_hosts` hosts (a few kB each); beyond, hosts are joined, and Spark splits a skewed one.
+    `broadcast_layouts` layouts (a few kB each); beyond, layouts are joined, and Spark splits a skewed one.
     """
     found = materialise(templates(pages), "templates")
-    small = found.limit(broadcast_hosts + 1).count() <= broadcast_hosts
-    host = F.coalesce(F.translate(F.nullif(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
-    joined = rows.join(F.broadcast(found) if small else found, "host", "left")
+    small = found.limit(broadcast_layouts + 1).count() <= broadcast_layouts
+    kind = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
+
+    def place():
+        def step(batch: pa.RecordBatch) -> dict:
+            keys = [(split_url(u)[0], layout_of(Page(x.as_py() or ""))[0]) for u, x in zip(batch["at"].to_pylist(), batch["html"], strict=True)]
+            return {c: batch[c] for c in ("page_id", "url", "html")} | {"host": [k[0] for k in keys], "layout": [k[1] for k in keys]}
+
+        return step
+
+    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), F.col("url").cast("string").alias("at"))
+    rows = map_batches(rows, f"page_id {kind['page_id']}, url {kind['url']}, html string, host string, layout string", place)
+    joined = rows.join(F.broadcast(found) if small else found, ["host", "layout"], "left")
 
     def setup():
-        known: dict[str, Template] = {}
+        known: dict[tuple[str, str], Template] = {}
 
         def step(batch: pa.RecordBatch) -> dict:
             out = []
-            for name, source, rows in zip(batch["host"].to_pylist(), batch["html"], batch["template"], strict=True):
-                if name not in known:
+            for host, layout, source, rows in zip(batch["host"].to_pylist(), batch["layout"].to_pylist(), batch["html"], batch["template"], strict=True):
+                if (host, layout) not in known:
                     if len(known) > 500:
                         known.clear()
-                    known[name] = Template([tuple(r.values()) for r in rows.as_py() or []])
-                out.append(extract(source.as_py(), known[name]))
+                    known[host, layout] = Template([tuple(r.values()) for r in rows.as_py() or []])
+                out.append(extract(source.as_py(), known[host, layout]))
             return {"page_id": batch["page_id"], "url": batch["url"], "text": out}
 
         return step
 
-    kind = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    return map_batches(joined.select("page_id", "url", "html", "host", "template"), f"page_id {kind['page_id']}, url {kind['url']}, text string", setup)
+    return map_batches(joined.select("page_id", "url", "html", "host", "layout", "template"), f"page_id {kind['page_id']}, url {kind['url']}, text string", setup)

@@ -355,6 +355,20 @@ def test_templates_need_equal_occurrence(spark):
     assert by["/body"] == by["/body/div.a"] != by["/body/div.b"]
 
 
+def texts_of(spark, pages):
+    rows = [(i, *p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_template_decides_over_names(spark):
+    wrapped = lambda n: f'<html><body><div class="content-sidebar-wrap"><p>Long running text number {n}, unlike any other {n * n}.</p></div><div class="content">Welcome to our site, everyone</div></body></html>'
+    halves = lambda n: f'<html><body><div class="one">The first half of article {n} is here {n}.</div><div class="menu2">Same words on each page</div><div class="two">The second half of article {n} is there.</div></body></html>'
+    got = texts_of(spark, [(f"http://w.org/{i}", wrapped(i)) for i in range(4)] + [(f"http://h.org/{i}", halves(i)) for i in range(4)])
+    assert got[:4] == [f"Long running text number {i}, unlike any other {i * i}." for i in range(4)]
+    assert got[4:] == [f"The first half of article {i} is here {i}.\nThe second half of article {i} is there." for i in range(4)]
+
+
 # tokens
 
 

@@ -310,7 +310,7 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     """
     stats = materialise(tokens(pages), "tokens")
     of = lambda mark: stats.where(F.col("token").startswith(mark))
-    size = of("@").groupBy("host", F.col("path").alias("layout")).agg(F.sum("pages").alias("size"))
+    size = of("@").groupBy("host", F.col("path").alias("layout")).agg(F.count("*").alias("size"))
     layouts = of("=").select("host", F.col("token").alias("layout"), "path", "pages", "a", "b").join(size, ["host", "layout"])
     parts = materialise(layouts.select("host", "layout", "size", F.explode(F.split("path", "\n")).alias("path")), "layouts")
     boxes = of("/").select("host", "path", "pages", "a", "b").join(parts.groupBy("host", "path").agg(F.sum("size").alias("size")), ["host", "path"])

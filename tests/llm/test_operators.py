@@ -369,6 +369,14 @@ def test_template_decides_over_names(spark):
     assert got[4:] == [f"The first half of article {i} is here {i}.\nThe second half of article {i} is there." for i in range(4)]
 
 
+def test_copies_keep_their_text(spark):
+    hello = "<html><body><p>Hello world</p></body></html>"
+    wrap = lambda n: f'<html><body><div class="wrap"><p>Text {n} of this page alone, and long</p><p>Said in all articles</p><p><a href="x">a paragraph that is a link</a></p></div><div>{n}</div></body></html>'
+    got = texts_of(spark, [("http://a.org/", hello)] * 2 + [(f"http://b.org/{i}", wrap(i)) for i in range(5)] + [("http://b.org/c", wrap(7))] * 3)
+    assert got[:2] == ["Hello world"] * 2
+    assert got[2:] == [f"Text {i} of this page alone, and long\nSaid in all articles\na paragraph that is a link" for i in [*range(5), 7, 7, 7]]
+
+
 # tokens
 
 

@@ -41,8 +41,6 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 DIGITS = re.compile(r"\d+")
-#: Part of a host's pages that have a container of its template.
-SHARE = 0.1
 #: Distinct pages that a text of a class must be on to be the template's.
 SUPPORT = 3
 
@@ -314,8 +312,7 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     layouts = of("=").select("host", F.col("token").alias("layout"), "path", "pages", "a", "b").join(size, ["host", "layout"])
     parts = materialise(layouts.select("host", "layout", "size", F.explode(F.split("path", "\n")).alias("path")), "layouts")
     boxes = of("/").select("host", "path", "pages", "a", "b").join(parts.groupBy("host", "path").agg(F.sum("size").alias("size")), ["host", "path"])
-    whole = size.groupBy("host").agg(F.sum("size").alias("all"))
-    boxes = materialise(boxes.join(whole, "host").where(F.col("size") >= F.greatest(F.lit(2), SHARE * F.col("all"))).drop("all"), "containers")
+    boxes = materialise(boxes.where("size > 1"), "containers")
     again = of("#").where(F.col("pages") >= support)
     by_layout = again.join(layouts.where(F.col("size") >= support).select("host", "layout", "pages", "a", "b"), ["host", "pages", "a", "b"]).select("host", "layout", "path", "token")
     by_box = again.join(boxes.where(F.col("size") >= support), ["host", "path", "pages", "a", "b"]).select("host", "path", "token").join(parts, ["host", "path"]).select("host", "layout", "path", "token")

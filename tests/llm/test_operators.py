@@ -377,6 +377,15 @@ def test_copies_keep_their_text(spark):
     assert got[2:] == [f"Text {i} of this page alone, and long\nSaid in all articles\na paragraph that is a link" for i in [*range(5), 7, 7, 7]]
 
 
+def test_rare_layouts_have_templates(spark):
+    page = lambda k, n: f'<html><body><div class="top{chr(97 + k)}">Notice of layout {k}, the same each time</div><div class="box{chr(97 + k)}"><p>Page {n} of layout {k} tells this story.</p></div></body></html>'
+    flat = lambda n: f'<html><body><p>Some notice</p><p>Flat page {n} has a story of its own to tell.</p></body></html>'
+    wanted = [(k, n) for k in range(20) for n in range(3)]
+    got = texts_of(spark, [("http://big.org/", page(k, n)) for k, n in wanted] + [("http://big.org/", flat(n)) for n in range(4)])
+    assert got[:60] == [f"Page {n} of layout {k} tells this story." for k, n in wanted]
+    assert got[60:] == [f"Flat page {n} has a story of its own to tell." for n in range(4)]
+
+
 # tokens
 
 

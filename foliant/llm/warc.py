@@ -109,10 +109,7 @@ class Member:
 
 
 def starts(cursor: Cursor, lo: int, hi: int) -> Iterator[int]:
-    """Where the first member of a range can begin: offsets of the magic bytes with a record behind."""
-    if lo == 0:
-        yield 0
-        return
+    """Where the first member of a range can begin: offsets of the magic bytes."""
     at = lo
     while at < hi:
         data = cursor.get(at, min(1 << 16, cursor.size - at))
@@ -127,10 +124,10 @@ def read_range(fs: pafs.FileSystem, path: str, size: int, lo: int, hi: int, want
     """The records whose members begin in [lo, hi). wanted: header column and the values let through."""
     with fs.open_input_file(path) as source:
         cursor = Cursor(source, size)
-        at = None
-        for x in starts(cursor, lo, hi):
+        at = 0 if lo == 0 else None
+        for x in starts(cursor, lo, hi) if lo else ():
             try:  # the magic bytes may stand inside compressed data
-                if parse_head(Member(cursor, x).inflate(4096)):
+                if Member(cursor, x).inflate(5).startswith(b"WARC/"):
                     at = x
                     break
             except (ValueError, zlib.error):

@@ -145,6 +145,24 @@ def test_warc_reads_members_without_lengths(tmp_path):
     assert sorted(r[3] for r in read(0, cut, []) + read(cut, len(data), [])) == [f"urn:{i}" for i in range(4)]
 
 
+def test_warc_long_headers(tmp_path):
+    from pyarrow.fs import LocalFileSystem
+
+    rng = random.Random(3)
+    uris = ["http://a/" + "path/" * 4400, "http://a/?" + "q=1&" * 13_500, "http://a/" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=500_000)), "http://a/"]
+    members = [warc.member(warc.record("response", f"urn:{i}", u, b"text", "d")) for i, u in enumerate(uris)]
+    ends = [sum(map(len, members[: i + 1])) for i in range(len(members))]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    read = lambda path, size, lo, hi: [(r[3], r[4], r[-1]) for r in warc.read_range(LocalFileSystem(), str(tmp_path / path), size, lo, hi, [], True)]
+    wanted = [(f"urn:{i}", u, b"text") for i, u in enumerate(uris)]
+    assert read("a.warc.gz", ends[-1], 0, ends[-1]) == wanted
+    # each is the first of its range, too
+    assert [x for lo, hi in zip([0, *ends], ends) for x in read("a.warc.gz", ends[-1], lo, hi)] == wanted
+    (tmp_path / "b.warc.gz").write_bytes(b"no archive at all")
+    with pytest.raises(zlib.error):
+        read("b.warc.gz", 17, 0, 17)
+
+
 # secrets
 
 BASE = [re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]

@@ -203,6 +203,17 @@ def test_battery_tells_random_from_prose(spark):
     assert sum(r.b.p > 0.01 for r in got if r.random) >= 45 and all(r.b.p < 1e-4 for r in got if not r.random)
 
 
+def test_short_and_letter_keys_are_tested(spark):
+    rng = random.Random(5)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    keys = ["".join(rng.choices(letters + digits, k=n)) for n in range(16, 24) for _ in range(5)] + ["".join(rng.choices(letters, k=n)) for n in (16, 20, 30) for _ in range(5)]
+    odd_runs = ["=" * 20, "a" + "=" * 20, "-" * 16, "theand" * 8, "z" * 20]
+    df = spark.createDataFrame([(i, f"see {k} there") for i, k in enumerate(keys + odd_runs)], "doc_id long, text string")
+    got = {r[0]: r[1] for r in secrets.scan(df).select("doc_id", secrets.joined(secrets.F.col("spans"))).collect()}
+    assert sum(got[i] == f"random:4:{4 + len(k)}" for i, k in enumerate(keys)) >= 0.9 * len(keys)
+    assert all(got[len(keys) + i] == "" for i in range(len(odd_runs)))
+
+
 # SimHash
 
 

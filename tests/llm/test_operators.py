@@ -214,6 +214,16 @@ def test_short_and_letter_keys_are_tested(spark):
     assert all(got[len(keys) + i] == "" for i in range(len(odd_runs)))
 
 
+def test_keys_partly_covered_are_masked(spark):
+    rng = random.Random(6)
+    part = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    lower, both = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(f"x prod_{part(lower, 32)}_{(key := part(both, 30))} y", key) for _ in range(20)] + [("x 0123456789abcdef0123456789abcdef y", "none")]
+    got = secrets.scan(spark.createDataFrame(rows, "text string, key string"), ("text", "key")).withColumn("masked", secrets.redact(secrets.F.col("text"), secrets.F.col("spans"))).collect()
+    assert sum(r.key in r.masked for r in got) <= 1
+    assert all(r.masked == "x [SECRET] y" and [s.kind for s in r.spans] == [2] for r in got if r.key == "none")
+
+
 # SimHash
 
 

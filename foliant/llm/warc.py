@@ -6,7 +6,7 @@ byte range of an archive, inflates a member no further than its WARC headers, an
 those whose record type or headers the pushed-down predicates exclude, or whose
 payload no column asks for, without inflating or decoding the rest: the `SL` field leads
 straight to the next member. Archives of other writers have no such field; their members
-are inflated to find their ends.
+are inflated to find their ends. An archive without compression is one partition.
 """
 
 from __future__ import annotations
@@ -108,6 +108,28 @@ class Member:
         return self.next - len(self.z.unused_data)
 
 
+class Plain:
+    """A record of an archive without compression, as a Member."""
+
+    def __init__(self, cursor: Cursor, offset: int):
+        self.c, self.offset, self.out, self.eof = cursor, offset, b"", False
+        self.z = self
+
+    def inflate(self, least: int) -> bytes:
+        left = self.c.size - self.offset
+        self.out, self.eof = self.c.get(self.offset, min(max(least, len(self.out)), left)), least >= left
+        return self.out
+
+    def end(self) -> int:
+        head, begin = parse_head(self.out)
+        at = self.offset + begin + int(head["content-length"])
+        if at > self.c.size:
+            raise ValueError(f"the archive ends within the record at {self.offset}")
+        while self.c.get(at, min(2, self.c.size - at)) == b"\r\n":
+            at += 2
+        return at
+
+
 def starts(cursor: Cursor, lo: int, hi: int) -> Iterator[int]:
     """Where the first member of a range can begin: offsets of the magic bytes."""
     at = lo
@@ -124,8 +146,10 @@ def read_range(fs: pafs.FileSystem, path: str, size: int, lo: int, hi: int, want
     """The records whose members begin in [lo, hi). wanted: header column and the values let through."""
     with fs.open_input_file(path) as source:
         cursor = Cursor(source, size)
-        at = 0 if lo == 0 else None
-        for x in starts(cursor, lo, hi) if lo else ():
+        plain = cursor.get(0, min(5, size)) == b"WARC/"
+        # only lengths lead from one plain record to the next: a payload may look like a record
+        at = 0 if lo == 0 or plain else None
+        for x in starts(cursor, lo, hi) if at is None else ():
             try:  # the magic bytes may stand inside compressed data
                 if Member(cursor, x).inflate(5).startswith(b"WARC/"):
                     at = x
@@ -133,7 +157,7 @@ def read_range(fs: pafs.FileSystem, path: str, size: int, lo: int, hi: int, want
             except (ValueError, zlib.error):
                 continue
         while at is not None and at < hi:
-            m = Member(cursor, at)
+            m = (Plain if plain else Member)(cursor, at)
             least, found = 512, None
             while not (found := parse_head(m.inflate(least))):
                 if m.z.eof:
@@ -141,7 +165,7 @@ def read_range(fs: pafs.FileSystem, path: str, size: int, lo: int, hi: int, want
                 least = len(m.out) + 1024
             head, begin = found
             value = {c: strip(head.get(h)) for c, h in HEADERS.items()}
-            if all(value[c] in allowed for c, allowed in wanted):
+            if at >= lo and all(value[c] in allowed for c, allowed in wanted):
                 length = int(head.get("content-length", 0))
                 http_end, http_length, body = -1, None, None
                 if head.get("content-type", "").startswith("application/http"):
@@ -193,7 +217,8 @@ class WarcReader(DataSourceReader):
         prefix = self.options["path"][: -len(root)] if self.options["path"].endswith(root) else ""
         for x in sorted(fs.get_file_info(pafs.FileSelector(root, recursive=True)) if fs.get_file_info(root).type == pafs.FileType.Directory else [fs.get_file_info(root)], key=lambda x: x.path):
             if x.type == pafs.FileType.File and x.path.endswith((".warc.gz", ".warc")) and x.size:
-                spans += [Span(prefix + x.path, x.size, lo, min(lo + step, x.size)) for lo in range(0, x.size, step)]
+                cut = x.size if x.path.endswith(".warc") else step  # a plain archive is read from its start
+                spans += [Span(prefix + x.path, x.size, lo, min(lo + cut, x.size)) for lo in range(0, x.size, cut)]
         return spans or [Span("", 0, 0, 0)]
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:

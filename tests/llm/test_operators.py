@@ -163,6 +163,20 @@ def test_warc_long_headers(tmp_path):
         read("b.warc.gz", 17, 0, 17)
 
 
+def test_plain_warc(spark, tmp_path):
+    inner = warc.record("response", "urn:inner", "u", b"q", "d")
+    payloads = [b"a" * 3000, inner, b"", b"z" * 2_000_000, b"end"]
+    data = b"".join(warc.record("response", f"urn:{i}", "u", x, "d") for i, x in enumerate(payloads))
+    (tmp_path / "a.warc").write_bytes(data)
+    wanted = [(f"urn:{i}", x) for i, x in enumerate(payloads)]
+    rows = warc.read_warc(spark, str(tmp_path), ["record_id", "payload"]).collect()
+    assert [(r.record_id, bytes(r.payload)) for r in rows] == wanted
+    assert warc.read_warc(spark, str(tmp_path), ["record_id"]).count() == len(wanted)
+    (tmp_path / "a.warc").write_bytes(data[:-10])
+    with pytest.raises(Exception, match="ends within"):
+        warc.read_warc(spark, str(tmp_path), ["record_id"]).collect()
+
+
 # secrets
 
 BASE = [re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]

@@ -6,17 +6,19 @@ frequencies count distinct (book, chapter, term) rows, and a book's number of ch
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenise
-from ..functions.words import stopwords
+from ..functions.words import STOPWORDS
 
 TOP_KEYWORDS, TOP_BIGRAMS, VOCABULARY = 50, 30, 100
 
 
-def is_keyword(term: Column) -> Column:
-    return (F.length(term) >= 3) & ~term.isin(*stopwords())
+def is_keyword(term: Column, stop: Sequence[str] = STOPWORDS) -> Column:
+    return (F.length(term) >= 3) & ~term.isin(*stop)
 
 
 def term_counts(chapters: DataFrame, terms: Column) -> DataFrame:
@@ -35,14 +37,14 @@ def scored(counts: DataFrame, chapters: DataFrame, top: int, keep: Column | None
     return score.select("book_id", "chapter_id", "term", "tf", "df", "tfidf", rank.alias("rank")).where(F.col("rank") <= top)
 
 
-def keywords(chapters: DataFrame, top: int = TOP_KEYWORDS) -> DataFrame:
-    """The best keywords of each chapter of chapters (book_id, chapter_id, text)."""
-    return scored(term_counts(chapters, tokenise(F.col("text"))), chapters, top, is_keyword(F.col("term")))
+def keywords(chapters: DataFrame, top: int = TOP_KEYWORDS, stop: Sequence[str] = STOPWORDS) -> DataFrame:
+    """The best keywords of each chapter of chapters (book_id, chapter_id, text), words of `stop` left out."""
+    return scored(term_counts(chapters, tokenise(F.col("text"))), chapters, top, is_keyword(F.col("term"), stop))
 
 
-def bigrams(chapters: DataFrame, top: int = TOP_BIGRAMS) -> DataFrame:
+def bigrams(chapters: DataFrame, top: int = TOP_BIGRAMS, stop: Sequence[str] = STOPWORDS) -> DataFrame:
     """The same for pairs of neighbours after stopwords and short words are left out; a row-local step makes the pairs."""
-    words = F.filter(tokenise(F.col("text")), is_keyword)
+    words = F.filter(tokenise(F.col("text")), lambda w: is_keyword(w, stop))
     listed = chapters.select("book_id", "chapter_id", words.alias("words"))
     pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     return scored(term_counts(listed, pairs), chapters, top)

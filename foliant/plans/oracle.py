@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ..functions.words import stopwords
+from ..functions.words import STOPWORDS
 from ..operators.router import BOOK_PATTERNS, OTHER_PATTERNS, QUESTION_WORDS
 from .fixtures import FIXTURES
 
-STOP = ", ".join(f"'{w}'" for w in stopwords())
+STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 TOKENS = """
 tok AS (SELECT source AS book_id, doc_id AS chapter_id, generate_subscripts(t, 1) AS i, unnest(t) AS term
         FROM (SELECT source, doc_id, list_transform(regexp_extract_all(text, '[a-zA-Z]+'), lambda x: lower(x)) AS t FROM documents)),

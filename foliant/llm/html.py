@@ -1,16 +1,20 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is read as a sequence of tokens: its containers, each named by its path, and the running
-text that belongs to them. Over the pages of a host every token has an occurrence vector, how often each page
-has it. Tokens that share a vector form an equivalence class: containers of their parent's class are fixed parts of it,
-others are content of their parent's slot, and texts of a class with their container or with all pages of a layout are the template's own.
-What is left, each distinct text counted once, is the slots' running text. The article is the slot that holds it, followed from the root down to where it
-spreads out; sibling slots of one class may hold it together. Names in tags and classes decide between slots that
-hold comparable amounts, and alone on pages without a template.
+A page is read as a sequence of tokens: its containers, each in the role that its path gives it, and the running
+text that belongs to them. Neutral siblings of one kind (div, div, div) are told apart by their place among them, and what repeats
+beyond that, or repeats by name, is one repeating role. Over the pages of a host every token has an occurrence vector: how often each page
+has it. Tokens that share a vector form an equivalence class.
+
+A container is part of the template if its vector is a multiple of that of the pages that have it, if its parents are part too, and if the
+containers of its class stand on the page in the order that they have on all pages; any other is content of the slot around it.
+Texts that share their container's vector, or that of all pages of a layout, are the template's own. What is left, each distinct text counted once, is the slots'
+running text. The article is the slot that holds it, followed from the root down to where it spreads out; sibling slots of one class may hold it
+together, and the rest of a page, outside all parts of the template, is a slot as well. Names in tags and classes decide between slots that
+hold comparable amounts, and alone on pages of which no other page of the host has a container.
 
 Vectors are compared by two sums of hashes, which combine before they shuffle; a host with a third of
 all pages is as many partial sums as there are tasks. Pages are grouped by layout, the set of their containers, and a
-page is joined with the template of its layout, which has no more tokens than its pages.
+page takes the template of its layout, which has no more tokens than its pages.
 """
 
 from __future__ import annotations
@@ -28,10 +32,12 @@ from .common import map_batches, materialise
 from .urlfilter import split_url
 
 #: HTML elements by their part in a page.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "select", "object", "canvas", "math", "video", "audio"}
+RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-CONTAINERS = {"html", "head", "body", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "dl", "table", "figure", "dialog", "details", "fieldset", "menu"}
-BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "blockquote", "pre", "figcaption", "address", "hr", "summary", "legend", "label", "button", "option"}
+CONTAINERS = {"html", "head", "body", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "dialog", "fieldset", "menu"}
+#: Containers only where they have a name.
+LISTS = {"ul", "ol", "dl", "table", "figure", "details"}
+BLOCKS = CONTAINERS | LISTS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "blockquote", "pre", "figcaption", "address", "hr", "summary", "legend", "label", "button", "option"}
 BOILER_TAGS = {"head", "nav", "footer", "aside", "form", "dialog", "menu", "button", "fieldset"}
 #: Words in a class, id or role that name a container's part.
 BOILER_WORDS = {"nav", "navbar", "navigation", "menu", "header", "masthead", "footer", "sidebar", "side", "aside", "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "form", "subscribe", "subscription", "newsletter", "signup", "login", "search", "comment", "comments", "reply", "replies", "disqus", "discussion", "respond", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "widget", "widgets", "toolbar", "copyright", "complementary", "contentinfo", "disclaimer", "skip", "tags"}
@@ -43,28 +49,49 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 DIGITS = re.compile(r"\d+")
 #: Distinct pages that a text of a class must be on to be the template's.
 SUPPORT = 3
+#: Neutral siblings up to this number have roles by their place; more are one repeating role.
+PLACES = 8
+#: Containers nested deeper are content of the one at this depth.
+DEPTH = 64
 
 
 class Page:
-    """blocks: (container path, text, link characters) in page order; paths: containers with their numbers of occurrences."""
+    """blocks: (container path, text, link characters) in page order; paths: containers in the order of their beginnings, with their numbers of occurrences."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, int]] = []
-        self.paths: dict[str, int] = {}
-        self.stack: list[tuple[str, str]] = []  # open containers: tag, path
+        self.nodes: list[tuple[int, str]] = []  # parent's number, name
+        self.found: list[tuple[int, str, int]] = []  # container's number, text, link characters
+        self.stack: list[tuple[str, int]] = []  # open containers: tag, number
+        self.opened: dict[str, int] = {}
         self.words: list[str] = []
         self.links = self.in_link = 0
         self.read(source)
-
-    @property
-    def path(self) -> str:
-        return self.stack[-1][1] if self.stack else ""
+        roles = self.roles()
+        self.blocks = [(roles[n], text, links) for n, text, links in self.found]
+        self.paths: dict[str, int] = {}
+        for role in roles[:-1]:
+            self.paths[role] = self.paths.get(role, 0) + 1
+
+    def roles(self) -> list[str]:
+        """The path of each container, and last the empty one of what is outside all."""
+        alike: dict[tuple[int, str], int] = {}
+        for node in self.nodes:
+            alike[node] = alike.get(node, 0) + 1
+        seen: dict[tuple[int, str], int] = {}
+        out: list[str] = []
+        for node in self.nodes:
+            parent, name = node
+            if (m := alike[node]) > 1:
+                k = seen[node] = seen.get(node, 0) + 1
+                name += f"@{k}:{m}" if m <= PLACES and "." not in name else "@"
+            out.append(f"{out[parent] if parent >= 0 else ''}/{name}")
+        return [*out, ""]
 
     def flush(self) -> None:
         if self.words:
             text = " ".join("".join(self.words).split())
             if text:
-                self.blocks.append((self.path, text, self.links))
+                self.found.append((self.stack[-1][1] if self.stack else -1, text, self.links))
         self.words, self.links = [], 0
 
     def read(self, source: str) -> None:
@@ -81,7 +108,7 @@ class Page:
                 break  # the page ends within a tag
             tag, closing = m[2].lower(), bool(m[1])
             if tag in RAW and not closing:
-                if m[3].endswith("/") and tag in ("svg", "math"):
+                if m[3].endswith("/") and tag == "svg":
                     continue
                 lower = lower or source.lower()
                 if len(lower) != len(source):  # some characters change length
@@ -97,27 +124,36 @@ class Page:
                 self.words.append(" ")
             if tag in BLOCKS:
                 self.flush()
+                self.in_link = 0
                 self.close(tag) if closing else self.open(tag, m[3])
         self.flush()
 
     def open(self, tag: str, attributes: str) -> None:
-        self.in_link = 0
-        if tag in CONTAINERS:
-            names = sorted({DIGITS.sub("#", x) for a in NAMES.findall(attributes) for x in "".join(a).split()}) if attributes else []
-            path = f"{self.path}/{'.'.join([tag, *names])}"
-            self.stack.append((tag, path))
-            self.paths[path] = self.paths.get(path, 0) + 1
+        if tag not in CONTAINERS and tag not in LISTS:
+            return
+        names = sorted({DIGITS.sub("#", x).replace("/", "|") for a in NAMES.findall(attributes) for x in "".join(a).split()}) if attributes else []
+        number = self.stack[-1][1] if self.stack else -1
+        if (tag in CONTAINERS or names) and len(self.stack) < DEPTH:
+            self.nodes.append((number, ".".join([tag, *names])))
+            number = len(self.nodes) - 1
+        self.stack.append((tag, number))
+        self.opened[tag] = self.opened.get(tag, 0) + 1
 
     def close(self, tag: str) -> None:
-        self.in_link = 0
-        if tag in CONTAINERS and any(t == tag for t, _ in self.stack):
-            while self.stack.pop()[0] != tag:
-                pass
+        while self.opened.get(tag):
+            last = self.stack.pop()[0]
+            self.opened[last] -= 1
+            if last == tag:
+                return
+
+
+def tag_of(element: str) -> str:
+    return element.split(".", 1)[0].split("@", 1)[0]
 
 
 def words_in(element: str) -> set[str]:
     """The parts of an element's class, id and role names, lower-cased."""
-    return {p.lower() for name in element.split(".")[1:] for p in PARTS.findall(name)}
+    return {p.lower() for name in element.split("@", 1)[0].split(".")[1:] for p in PARTS.findall(name)}
 
 
 @lru_cache(100_000)
@@ -128,7 +164,7 @@ def is_boiler(path: str) -> bool:
     """
     inside = False
     for element in path.split("/")[1:]:
-        tag, names = element.split(".")[0], words_in(element)
+        tag, names = tag_of(element), words_in(element)
         if tag in BOILER_TAGS or (tag == "header" and not inside):
             return True
         if tag in ("article", "main"):
@@ -147,56 +183,79 @@ def is_boiler(path: str) -> bool:
 def tier(path: str) -> int:
     """How clearly a container says that it holds the article: 3 by element, 2 by role, 1 by name, 0 not at all."""
     element = path.rpartition("/")[2]
-    tag = element.split(".")[0]
+    tag = tag_of(element)
     if tag == "article":
         return 3
-    if tag == "main" or "main" in element.split(".")[1:]:
+    if tag == "main" or "main" in element.split("@", 1)[0].split(".")[1:]:
         return 2
     return 1 if tag in ("div", "section") and words_in(element) & CONTENT_WORDS else 0
 
 
 class Template:
-    """Of the pages of one layout, from rows (token, pages, a, b, rows, fresh): classes, and the running text that pages have in each container.
+    """Of the pages of one layout, from rows (token, a, b, times, each, place, fresh): its containers' classes, and the running text that pages have in each.
 
-    A container's class is the key of its occurrence vector, (rows, a, b). Texts that are the template's own are rows too.
+    A container's class is the key of its occurrence vector, (times, a, b). each says how often every page that has it has it, 0 if that varies.
+    Texts that are the template's own are rows too (#), and a layout has one of its own (=), so that a page without any row is one that no template knows.
     """
 
     def __init__(self, rows: list[tuple]):
-        self.kind = {token: (n, a, b) for token, _, a, b, n, _ in rows if token.startswith("/")}
-        self.fresh = {token: fresh / pages for token, pages, _, _, _, fresh in rows if token.startswith("/")}
-        self.fixed = {token for token, *_ in rows if token.startswith("#")}
+        self.rows = rows
+        boxes = [r for r in rows if r[0].startswith("/")]
+        self.kind = {token: (times, a, b) for token, a, b, times, *_ in boxes}
+        self.fresh = {token: fresh for token, *_, fresh in boxes}
+        self.fixed = {r[0] for r in rows if r[0].startswith("#")}
+        self.parts = {token for token, _, _, _, each, _, _ in boxes if each}
+        self.parts = {t for t in self.parts if all(p in self.parts for p in prefixes(t))}
+        self.classes: dict[tuple, list[str]] = {}
+        for token, _, _, _, _, _, _ in sorted((r for r in boxes if r[0] in self.parts), key=lambda r: (r[5], r[0])):
+            self.classes.setdefault(self.kind[token], []).append(token)
+
+    def on(self, page: Page) -> list[str]:
+        """The template's parts on a page: classes in another order than on all pages are none of it, and neither is what they hold."""
+        at = {p: i for i, p in enumerate(page.paths)}
+        good: set[str] = set()
+        for tokens in self.classes.values():
+            places = [at[t] for t in tokens if t in at]
+            if places == sorted(places):
+                good.update(tokens)
+        return [p for p in page.paths if p in good and all(q in good for q in prefixes(p))]
 
     def main(self, page: Page) -> tuple[list[str], set[str]]:
         """The article's containers on a page of this layout, none for the whole page, and the containers that are left out."""
-        known = {p for p in page.paths if p in self.kind}
-        holds = self.holdings(page, known)
-        if all(map(is_root, known)) or not holds[""]:
+        if not self.rows:
+            return [], set()
+        holds = self.holdings(page)
+        if all(map(is_root, self.kind)) or not holds[""]:
             return by_words(page.paths), {p for p in page.paths if is_boiler(p)}
+        parts_on = self.on(page)
+        if not parts_on:  # containers recur, but none as part of a template: the whole page is its slot
+            return [], set()
         inner: dict[str, list[str]] = {}
-        for p in page.paths:
+        for p in parts_on:
             if holds[p]:
                 inner.setdefault(next(prefixes(p), ""), []).append(p)
-        tops = [""]
+        tops, out = [""], set()
         while len(tops) == 1 and (parts := inner.get(tops[0])):
             top, most = tops[0], max(holds[p] for p in parts)
             near = sorted((p for p in parts if holds[p] >= TIE * most), key=lambda p: (-holds[p], p))
             # a tie: names decide
             near = [p for p in near if not says_boiler(p, top)] or near
             near = [p for p in near if tier(p) >= 2] or near
-            near = [p for p in near if self.kind.get(p) == self.kind.get(near[0])]
-            held = sum(holds[p] for p in near)
+            near = [p for p in near if self.kind[p] == self.kind[near[0]]]
+            held, rest = sum(holds[p] for p in near), holds[top] - sum(holds[p] for p in parts)
             if is_root(top):
-                if held < holds[top] - sum(holds[p] for p in parts):
+                if held < rest:  # the rest of the page is the slot
+                    out = {p for p in parts if holds[p] < TIE * rest} | {p for p in parts_on if not holds[p] and not is_root(p)}
                     break
-            elif held < holds[top] * (0.95 if tier(top) or says_boiler(near[0], top) else 0.6 if self.kind.get(top) == self.kind.get(near[0]) else 0.9):
+            elif held < holds[top] * (0.95 if tier(top) or says_boiler(near[0], top) else 0.6 if self.kind[top] == self.kind[near[0]] else 0.9):
                 break
             tops = near
-        return [t for t in tops if not is_root(t)], {p for t in tops for p in page.paths if p != t and below(p, t) and says_boiler(p, t) and holds[t] - holds[p] >= 0.2 * holds[t]}
+        return [t for t in tops if not is_root(t)], out | {p for t in tops for p in page.paths if p != t and below(p, t) and says_boiler(p, t) and holds[t] - holds[p] >= 0.2 * holds[t]}
 
-    def holdings(self, page: Page, known: set[str]) -> dict[str, float]:
+    def holdings(self, page: Page) -> dict[str, float]:
         """The running text in and below each container: an average page's, or this page's in those that only it has."""
         holds = dict.fromkeys(page.paths, 0.0) | {"": 0.0}
-        found = [(p, self.fresh[p]) for p in known] + [(p, max(0, len(text) - links)) for p, text, links in page.blocks if p not in known]
+        found = [(p, self.fresh[p]) for p in page.paths if p in self.fresh] + [(p, max(0, len(text) - links)) for p, text, links in page.blocks if p not in self.fresh]
         for p, n in found:
             for q in {p, *prefixes(p), ""}:
                 holds[q] += n
@@ -208,12 +267,12 @@ TIE = 0.25
 
 
 def is_root(path: str) -> bool:
-    return all(x.split(".")[0] in ("html", "body") for x in path.split("/")[1:])
+    return all(tag_of(x) in ("html", "body") for x in path.split("/")[1:])
 
 
 def says_boiler(path: str, top: str) -> bool:
     """Whether the last element of a path below top names itself a menu, notice and so on; inside an article or a slot of a page less does."""
-    inside = not is_root(top) or any(x.split(".")[0] in ("article", "main") for x in path.split("/")[1:-1])
+    inside = not is_root(top) or any(tag_of(x) in ("article", "main") for x in path.split("/")[1:-1])
     return is_boiler(("/article/" if inside else "/") + path.rpartition("/")[2])
 
 
@@ -235,19 +294,18 @@ def below(path: str, top: str) -> bool:
     return path == top or path.startswith(top + "/")
 
 
-def extract(source: str | None, template: Template) -> str:
+def extract(page: Page, template: Template) -> str:
     """The article's blocks, joined by line ends.
 
     Inside the article's containers nothing is left out for being repeated or a link. Where the page itself is the slot, texts of the
-    template go, unless they are most of the page, and so do blocks that are mostly links.
+    template go, unless they are most of the page, and so do blocks that are links alone. Without any template the whole page is the text.
     """
-    page = Page(source or "")
     tops, out = template.main(page)
-    kept = [(path, text, links) for path, text, links in page.blocks if (not tops or any(below(path, t) for t in tops)) and not (out and (path in out or any(p in out for p in prefixes(path))))]
-    if not tops:
+    kept = [x for x in page.blocks if (not tops or any(below(x[0], t) for t in tops)) and not (out and (x[0] in out or any(p in out for p in prefixes(x[0]))))]
+    if not tops and template.rows:
         slot = [x for x in kept if text_key(*x[:2]) not in template.fixed] if template.fixed else kept
         kept = slot if 2 * sum(len(x[1]) for x in slot) >= sum(len(x[1]) for x in kept) else kept
-        kept = [x for x in kept if 2 * x[2] <= len(x[1])]
+        kept = [x for x in kept if x[2] < len(x[1])]
     return "\n".join(text for _, text, _ in kept)
 
 
@@ -266,11 +324,11 @@ def layout_of(page: Page) -> tuple[str, str]:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, path, pages, a, b, times, text): token statistics over all pages of each host.
+    """(host, token, path, pages, a, b, times, text, place): token statistics over all pages of each host.
 
     a and b are sums over pages of hash(page) x occurrences: equal sums, equal occurrence vectors. text is the running
-    text, without links. Tokens are containers (a path), texts (# and a key; path is their container), layouts (= and a key; path lists the containers), and
-    contents (@ and a key; path is the layout's key).
+    text, without links; place the sum of where a container stands among its page's. Tokens are containers (a path), texts (# and a key; path is their container),
+    layouts (= and a key; path lists the containers), and contents (@ and a key; path is the layout's key).
     """
 
     def setup():
@@ -284,25 +342,28 @@ def tokens(pages: DataFrame) -> DataFrame:
                 content = xxhash.xxh128_intdigest(text.encode("utf-8", "surrogatepass"))
                 a, b = content & 0xFFFFFFF, content >> 100
                 layout, paths = layout_of(page)
-                seen: dict[tuple[str, str], list[int]] = {(p, p): [n, 0] for p, n in page.paths.items()} | {(layout, paths): [1, 0], (f"@{content:032x}", layout): [1, 0]}
+                seen: dict[tuple[str, str], list[int]] = {(p, p): [n, 0, i] for i, (p, n) in enumerate(page.paths.items())} | {(layout, paths): [1, 0, 0], (f"@{content:032x}", layout): [1, 0, 0]}
                 for path, block, links in page.blocks:
-                    x = seen.setdefault((text_key(path, block), path), [0, 0])
+                    x = seen.setdefault((text_key(path, block), path), [0, 0, 0])
                     x[0] += 1
                     x[1] += max(0, len(block) - links)
-                for (token, path), (n, size) in seen.items():
-                    t = total.setdefault((host, token, path), [0] * 5)
-                    for i, v in enumerate((1, a * n, b * n, n, size)):
+                for (token, path), (n, size, place) in seen.items():
+                    t = total.setdefault((host, token, path), [0] * 6)
+                    for i, v in enumerate((1, a * n, b * n, n, size, place)):
                         t[i] += v
-            return {c: [k[i] for k in total] for i, c in enumerate(("host", "token", "path"))} | {c: [v[i] for v in total.values()] for i, c in enumerate(("pages", "a", "b", "times", "text"))}
+            return {c: [k[i] for k in total] for i, c in enumerate(("host", "token", "path"))} | {c: [v[i] for v in total.values()] for i, c in enumerate(SUMS)}
 
         return step
 
-    parts = map_batches(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), "host string, token string, path string, pages long, a long, b long, times long, text long", setup)
-    return parts.groupBy("host", "token", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "a", "b", "times", "text")])
+    parts = map_batches(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), "host string, token string, path string, " + ", ".join(f"{c} long" for c in SUMS), setup)
+    return parts.groupBy("host", "token", "path").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+SUMS = ("pages", "a", "b", "times", "text", "place")
 
 
 def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(host, layout, template): of each layout, its containers on two distinct pages of the host or more, and the texts of its classes.
+    """(host, layout, template): of each layout, its containers on two distinct pages of the host or more, the texts of its classes, and a row of its own.
 
     A text is the template's if its occurrence vector is its container's or the layout's, on at least `support` distinct pages.
     """
@@ -310,33 +371,43 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     of = lambda mark: stats.where(F.col("token").startswith(mark))
     size = of("@").groupBy("host", F.col("path").alias("layout")).agg(F.count("*").alias("size"))
     layouts = of("=").select("host", F.col("token").alias("layout"), "path", "pages", "a", "b").join(size, ["host", "layout"])
-    parts = materialise(layouts.select("host", "layout", "size", F.explode(F.split("path", "\n")).alias("path")), "layouts")
-    boxes = of("/").select("host", "path", "pages", "a", "b").join(parts.groupBy("host", "path").agg(F.sum("size").alias("size")), ["host", "path"])
-    boxes = materialise(boxes.where("size > 1"), "containers")
+    parts = materialise(layouts.select("host", "layout", "size", "a", "b", F.explode(F.split("path", "\n")).alias("path")), "layouts")
+    # the vector of the pages that have a container is the sum of its layouts'
+    whole = parts.groupBy("host", "path").agg(F.sum("size").alias("size"), F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    each = F.expr("if(times % pages = 0 and a = all_a * (times div pages) and b = all_b * (times div pages), times div pages, 0)")
+    boxes = of("/").select("host", "path", "pages", "a", "b", "times", "place").join(whole, ["host", "path"]).where("size > 1").withColumn("each", each)
+    boxes = materialise(boxes.drop("all_a", "all_b"), "containers")
     again = of("#").where(F.col("pages") >= support)
     by_layout = again.join(layouts.where(F.col("size") >= support).select("host", "layout", "pages", "a", "b"), ["host", "pages", "a", "b"]).select("host", "layout", "path", "token")
-    by_box = again.join(boxes.where(F.col("size") >= support), ["host", "path", "pages", "a", "b"]).select("host", "path", "token").join(parts, ["host", "path"]).select("host", "layout", "path", "token")
+    by_box = again.join(boxes.where(F.col("size") >= support).select("host", "path", "pages", "a", "b"), ["host", "path", "pages", "a", "b"]).select("host", "path", "token").join(parts, ["host", "path"]).select("host", "layout", "path", "token")
     fixed = materialise(by_layout.union(by_box).distinct(), "fixed")
     # each distinct text counts once
     fresh = of("#").groupBy("host", "path").agg(F.sum(F.col("text") / F.col("times")).alias("fresh"))
     less = again.join(fixed.select("host", "path", "token").distinct(), ["host", "path", "token"]).groupBy("host", "path").agg(F.sum(F.col("text") / F.col("times")).alias("less"))
     known = boxes.join(fresh, ["host", "path"], "left").join(less, ["host", "path"], "left")
-    left = F.greatest(F.coalesce("fresh", F.lit(0.0)) - F.coalesce("less", F.lit(0.0)), F.lit(0.0))
-    rows = parts.select("host", "layout", "path").join(known.select("host", "path", F.struct(F.col("path").alias("token"), F.col("size").alias("pages"), "a", "b", F.col("pages").alias("rows"), F.round(left, 3).alias("fresh")).alias("row")), ["host", "path"])
-    texts = fixed.select("host", "layout", F.struct("token", F.lit(0).cast("long").alias("pages"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("rows"), F.lit(0.0).alias("fresh")).alias("row"))
-    return rows.select("host", "layout", "row").union(texts).groupBy("host", "layout").agg(F.collect_list("row").alias("template"))
+    left = F.round(F.greatest(F.coalesce("fresh", F.lit(0.0)) - F.coalesce("less", F.lit(0.0)), F.lit(0.0)) / F.col("size"), 3)
+    row = lambda token, *values: F.struct(F.col(token).alias("token"), *[v.cast("double" if n == "fresh" else "long").alias(n) for n, v in zip(("a", "b", "times", "each", "place", "fresh"), values, strict=True)]).alias("row")
+    none = [F.lit(0)] * 6
+    rows = parts.select("host", "layout", "path").join(known.select("host", "path", row("path", *map(F.col, ("a", "b", "times", "each", "place")), left)), ["host", "path"]).select("host", "layout", "row")
+    texts = fixed.select("host", "layout", row("token", *none))
+    own = layouts.select("host", "layout", row("layout", *none))
+    return rows.union(texts).union(own).groupBy("host", "layout").agg(F.collect_list("row").alias("template"))
 
 
-def main_text(pages: DataFrame, broadcast_layouts: int = 2_000) -> DataFrame:
+def main_text(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """page_id, url and text of every row of pages (page_id, url, html); text is empty if there is none.
 
     A null html is an empty page, and pages without a host form a group of their own. Repeated rows each have
-    their text; no rows, no result. Only these three columns are read. Templates are broadcast for up to
-    `broadcast_layouts` layouts (a few kB each); beyond, layouts are joined, and Spark splits a skewed one.
+    their text; no rows, no result; whole pages are read, however long. Only these three columns are read. Templates of up to `broadcast_bytes` in all are
+    broadcast and each page is then read once; beyond, layouts are joined, and Spark splits a skewed one.
     """
-    found = materialise(templates(pages), "templates")
-    small = found.limit(broadcast_layouts + 1).count() <= broadcast_layouts
+    spark, found = pages.sparkSession, materialise(templates(pages), "templates")
+    size = found.select(F.sum(F.length("host") + F.aggregate("template", F.lit(0), lambda n, x: n + F.length(x["token"]) + 100)).alias("n")).first().n or 0
     kind = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
+    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), F.col("url").cast("string").alias("at"))
+    if size <= broadcast_bytes:
+        table = {(r.host, r.layout): [tuple(x) for x in r.template] for r in found.collect()}
+        return _extracted(rows, kind, spark.sparkContext.broadcast(table))
 
     def place():
         def step(batch: pa.RecordBatch) -> dict:
@@ -345,23 +416,36 @@ def main_text(pages: DataFrame, broadcast_layouts: int = 2_000) -> DataFrame:
 
         return step
 
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), F.col("url").cast("string").alias("at"))
-    rows = map_batches(rows, f"page_id {kind['page_id']}, url {kind['url']}, html string, host string, layout string", place)
-    joined = rows.join(F.broadcast(found) if small else found, ["host", "layout"], "left")
+    placed = map_batches(rows, f"page_id {kind['page_id']}, url {kind['url']}, html string, host string, layout string", place)
+    return _extracted(placed.join(found, ["host", "layout"], "left"), kind, None)
+
+
+def _extracted(rows: DataFrame, kind: dict[str, str], shared) -> DataFrame:
+    """page_id, url and text of rows with their html, and the host and layout's template unless `shared` has all of them."""
 
     def setup():
         known: dict[tuple[str, str], Template] = {}
 
+        def template(key: tuple[str, str], rows: list[tuple]) -> Template:
+            if key not in known:
+                if len(known) > 500:
+                    known.clear()
+                known[key] = Template(rows)
+            return known[key]
+
         def step(batch: pa.RecordBatch) -> dict:
             out = []
-            for host, layout, source, rows in zip(batch["host"].to_pylist(), batch["layout"].to_pylist(), batch["html"], batch["template"], strict=True):
-                if (host, layout) not in known:
-                    if len(known) > 500:
-                        known.clear()
-                    known[host, layout] = Template([tuple(r.values()) for r in rows.as_py() or []])
-                out.append(extract(source.as_py(), known[host, layout]))
+            for i, source in enumerate(batch["html"]):
+                page = Page(source.as_py() or "")
+                if shared is not None:
+                    key = split_url(batch["at"][i].as_py())[0], layout_of(page)[0]
+                    out.append(extract(page, template(key, shared.value.get(key, []))))
+                else:
+                    key = batch["host"][i].as_py(), batch["layout"][i].as_py()
+                    out.append(extract(page, known[key] if key in known else template(key, [tuple(r.values()) for r in batch["template"][i].as_py() or []])))
             return {"page_id": batch["page_id"], "url": batch["url"], "text": out}
 
         return step
 
-    return map_batches(joined.select("page_id", "url", "html", "host", "layout", "template"), f"page_id {kind['page_id']}, url {kind['url']}, text string", setup)
+    columns = ["page_id", "url", "html", "at"] if shared is not None else ["page_id", "url", "html", "host", "layout", "template"]
+    return map_batches(rows.select(*columns), f"page_id {kind['page_id']}, url {kind['url']}, text string", setup)

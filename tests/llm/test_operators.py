@@ -439,6 +439,89 @@ def test_rare_layouts_have_templates(spark):
     assert got[60:] == [f"Flat page {n} has a story of its own to tell." for n in range(4)]
 
 
+def brute_template(pages, support=3):
+    """What `html.templates` gives, with whole occurrence vectors: {layout: (parts, classes, fixed texts)} of one host."""
+    read = [html.Page(x or "") for x in pages]
+    texts = [[html.text_key(path, block) for path, block, _ in p.blocks] for p in read]
+    vector = lambda n: tuple(n(i) for i in range(len(pages)))
+    distinct = lambda v: len({pages[i] for i, n in enumerate(v) if n})
+    boxes = {p: vector(lambda i, p=p: read[i].paths.get(p, 0)) for r in read for p in r.paths}
+    boxes = {p: v for p, v in boxes.items() if distinct(v) > 1}
+    own = {k: vector(lambda i, k=k: texts[i].count(k)) for t in texts for k in t}
+    at = {html.text_key(path, block): path for r in read for path, block, _ in r.blocks}
+    out = {}
+    for layout in {html.layout_of(r)[0] for r in read}:
+        here = vector(lambda i: int(html.layout_of(read[i])[0] == layout))  # noqa: B023
+        mine = next(set(r.paths) for r, x in zip(read, here, strict=True) if x) & set(boxes)
+        even = {p for p in mine if len({n for n in boxes[p] if n}) == 1}
+        parts = {p for p in even if all(q in even for q in html.prefixes(p))}
+        classes = {frozenset(q for q in parts if boxes[q] == boxes[p]) for p in parts}
+        fixed = {k for k, v in own.items() if sum(map(bool, v)) >= support and ((v == here and distinct(here) >= support) or (at[k] in mine and v == boxes[at[k]] and distinct(v) >= support))}
+        out[layout] = parts, classes, fixed
+    return out
+
+
+def test_templates_against_whole_vectors(spark):
+    rng = random.Random(13)
+    for trial in range(4):
+        piece = lambda: rng.choice(["<div>a{}</div>", "<div class=x>{}</div>", "<section><p>b</p><p>{}</p></section>", "<p>same</p>", "<div><div>{}</div><div>c</div></div>", "<ul class=menu><li>d</ul>", "<nav>e</nav>"]).format(rng.randrange(3))  # noqa: B023, E731
+        kinds = [[rng.randrange(1 << 30) for _ in range(rng.randrange(1, 4))] for _ in range(3)]
+
+        def page(seeds):
+            nonlocal rng
+            own, rng = rng, random.Random()
+            out = []
+            for x in seeds:
+                rng.seed(x)
+                out.append(piece())
+            rng = own
+            return "<html><body>" + "".join(out) + f"{'<div class=row>r</div>' * rng.randrange(3)}<p>{rng.randrange(4)}</p></body></html>"
+
+        pages = [page(rng.choice(kinds)) for _ in range(14)]
+        got = html.templates(spark.createDataFrame([(i, "http://h.org/", x) for i, x in enumerate(pages)], "page_id long, url string, html string")).collect()
+        want = brute_template(pages)
+        assert {r.layout for r in got} == set(want)
+        for r in got:
+            t = html.Template([tuple(x) for x in r.template])
+            assert (t.parts, {frozenset(c) for c in t.classes.values()}, t.fixed) == want[r.layout], trial
+
+
+def neutral(source):
+    return re.sub(r"<(/?)(?:article|nav|footer|div)\b[^>]*>", r"<\1div>", source)
+
+
+def test_text_follows_from_vectors_and_not_from_names(spark, monkeypatch):
+    page = lambda n: f'<html><body><nav><a href="/">Home</a></nav><div class="ad">Buy {n} now</div><article><h1>Title {n}</h1><p>The long story of page {n}, told in full {n * n}.</p></article><footer>Foot {n}</footer></body></html>'
+    pages = [(f"http://h.org/{i}", page(i)) for i in range(5)]
+    wanted = [f"Title {i}\nThe long story of page {i}, told in full {i * i}." for i in range(5)]
+    assert texts_of(spark, pages) == texts_of(spark, [(u, neutral(x)) for u, x in pages]) == wanted
+    read = html.Page(pages[0][1])
+    assert html.extract(read, html.Template([])) == f"Home\nBuy 0 now\n{wanted[0]}\nFoot 0"
+    plain = html.tokens
+    monkeypatch.setattr(html, "tokens", lambda p: plain(p).withColumn("a", html.F.xxhash64("token") % 1000))
+    assert not any(x in wanted for x in texts_of(spark, pages) + texts_of(spark, [(u, neutral(x)) for u, x in pages]))
+
+
+def test_classes_in_another_order_are_no_template():
+    rows = [(p, 1, 1, 5, 1, i, f) for i, (p, f) in enumerate([("/body", 0.0), ("/body/div.a", 50.0), ("/body/div.b", 5.0)])]
+    t = html.Template(rows)
+    there = html.Page("<body><div class=a>The story is told here at length</div><div class=b>x</div></body>")
+    turned = html.Page("<body><div class=b>x</div><div class=a>The story is told here at length</div></body>")
+    assert html.extract(there, t) == "The story is told here at length" and html.extract(turned, t) == "x\nThe story is told here at length"
+
+
+def test_html_edges(spark):
+    schema = "page_id string, url string, html string, host string, layout string, template string, text string"
+    long = "<html><body><article>" + "<p>word " * 200_000 + "</article></body></html>"
+    deep = "<div>" * 30_000 + "deep" + "</div>" * 30_000
+    rows = [("a", "http://h.org/", None), (None, "http://h.org/", ""), ("b", None, long), ("c", "x", deep), ("d", "http://h.org/", "<article><p>1 <math><mi>x</mi></math> <object>y</object> <a href=u>all of it a link</a></article>"), ("d", "http://h.org/", "<article><p>2</article>")]
+    df = spark.createDataFrame([(*r, "1", "2", "3", "4") for r in rows], schema)
+    wanted = sorted(map(str, [("a", ""), (None, ""), ("b", "\n".join(["word"] * 200_000)), ("c", "deep"), ("d", "1 x y all of it a link"), ("d", "2")]))
+    assert sorted(str((r.page_id, r.text)) for r in html.main_text(df).collect()) == wanted
+    assert sorted(str((r.page_id, r.text)) for r in html.main_text(df, broadcast_bytes=0).collect()) == wanted
+    assert html.main_text(df.where("false")).count() == html.main_text(df.where("false"), 0).count() == 0
+
+
 # tokens
 
 

@@ -15,16 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only a session that names none, as in tests on one machine, gets a new
-    temporary folder.
+    Only a local session that names none, as in tests on one machine, gets a new temporary folder; on a
+    cluster a folder of one machine would lose rows, so that is an error. The session's settings are left alone.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _own.setdefault(context.applicationId, "")
+        if not path:
+            path = _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="foliant-")
     return path.rstrip("/")
 
 
@@ -40,6 +47,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a path that this library made."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all that was written below the shared folder; results that were not written elsewhere end with it."""
+    delete(spark, f"{shared_dir(spark)}/foliant")
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path in it, of a URI or a plain path."""
     if "://" not in uri:
@@ -50,28 +68,30 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Memo(dict):
-    """A dictionary that computes missing values and holds between `cap` and twice as many.
+    """A dictionary that computes missing values, within a bound of bytes.
 
-    `trim` sets the entries aside once there are over `cap`; those asked for again come back, and the rest go with the next
-    trim. Callers trim between texts, so that what one text has looked up stays while it is in use.
+    Beyond half of `limit` the entries are set aside; those asked for again come back, and the rest go the next time. Keys of over
+    `longest` characters are computed each time and not kept, so whole texts in a script without spaces are never held.
     """
 
-    def __init__(self, compute: Callable, cap: int):
+    def __init__(self, compute: Callable, limit: int, each: int = 220, longest: int = 64):
         super().__init__()
-        self.compute, self.cap, self.old = compute, cap, {}
+        self.compute, self.limit, self.each, self.longest = compute, limit // 2, each, longest
+        self.old, self.held = {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        self[key] = value
+        size = len(key)
+        if size <= self.longest:
+            if self.held > self.limit:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
+            self.held += self.each + size
         return value
 
-    def trim(self) -> None:
-        if len(self) > self.cap:
-            self.old = dict(self)
-            self.clear()
-
 
 def map_batches(df: DataFrame, schema: str, setup: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """mapInArrow with a state made once a task: setup() gives a function from a batch to the columns of its result."""

@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_batches, with_text
+from .common import map_batches, with_text
 
 WORDS = re.compile(r"[^\W\d_]+")
 LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 MARK = "▁"
 SHORT = 6
 SPLIT = 30  # longer words are scored in log space, without the prefix memo
+LONG = 96  # bytes of a chunk that is remembered: texts in scripts without spaces are one chunk
+PART = 20_000  # chunks of a text that are looked up between two looks at the memory
 
 
 @dataclass
@@ -94,18 +96,20 @@ def fit(labelled: DataFrame, vocabulary: str, per_lang: int = 1500, alpha: float
 
 
 class Scorer:
-    """Log likelihoods of words and texts under a LangModel."""
+    """Log likelihoods of words and texts under a LangModel, with at most about `limit` bytes of memos."""
 
-    def __init__(self, model: LangModel, cap: int = 250_000):
-        self.m, self.n, self.cap = model, len(model.langs), cap
+    def __init__(self, model: LangModel, limit: int = 96 << 20):
+        self.m, self.n, self.limit = model, len(model.langs), limit
         #: What pieces end with, and the piece's probabilities where it is one.
         self.ends = {p[i:]: None for p in model.pieces for i in range(1, len(p))} | model.pieces
         self.alphas: dict[str, tuple[float, ...]] = {"": (1.0,) * self.n}
+        self.most = max(1_000, limit // 2 // (220 + 32 * self.n))
         self.reset()
 
     def reset(self) -> None:
         self.table, self.used = np.zeros((1024, self.n + 1)), 0
-        self.chunks = Memo(self._chunk, self.cap)
+        self.chunks: dict[bytes, int] = {}
+        self.held = 0
 
     def ending(self, text: str, j: int) -> list[tuple[int, tuple[float, ...]]]:
         """(start, probabilities) of each piece that ends at j; an unknown character is a piece of its own."""
@@ -144,13 +148,22 @@ class Scorer:
             logs.append(np.logaddexp.reduce([logs[i] + np.log(p) for i, p in self.ending(text, j)]))
         return logs[-1]
 
-    def _chunk(self, chunk: bytes) -> int:
+    def row(self, chunk: bytes) -> int:
+        """Where the table has a chunk's log likelihoods and letters; a long chunk's row is not found again."""
         if self.used == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         row, text = self.table[self.used], chunk.decode("utf-8", "surrogatepass")
         for w in (text,) if text.isalpha() else WORDS.findall(text):
             row[:-1] += self.word(w)
             row[-1] += len(w)
+            if len(self.alphas) > self.most:
+                # short prefixes are in use throughout
+                self.alphas = {k: v for k, v in self.alphas.items() if len(k) <= SHORT}
+                if len(self.alphas) > self.most // 2:
+                    self.alphas = {"": (1.0,) * self.n}
+        if len(chunk) <= LONG:
+            self.chunks[chunk] = self.used
+            self.held += 140 + len(chunk) + 8 * (self.n + 1)
         self.used += 1
         return self.used - 1
 
@@ -160,13 +173,14 @@ class Scorer:
             return "und", 0.0
         # ASCII other than letters separates words; what else does is left to WORDS
         chunks = text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split()
-        rows = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
-        total = self.table[rows].sum(axis=0)
-        if len(self.chunks) > self.cap:
-            self.reset()
-        if len(self.alphas) > 3 * self.cap // 2:
-            # short prefixes are in use throughout
-            self.alphas = {k: v for k, v in self.alphas.items() if len(k) <= SHORT}
+        total, known = np.zeros(self.n + 1), self.chunks
+        for a in range(0, len(chunks), PART):
+            part = chunks[a : a + PART]
+            rows = np.fromiter((i if (i := known.get(c)) is not None else self.row(c) for c in part), np.int64, len(part))
+            total += self.table[rows].sum(axis=0)
+            if self.held > self.limit // 2 or self.used > self.limit // 8 // (8 * (self.n + 1)):
+                self.reset()
+                known = self.chunks
         if not total[-1]:
             return "und", 0.0
         logs = total[:-1]

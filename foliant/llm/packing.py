@@ -31,14 +31,14 @@ END = 1
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes, of a vocabulary of words that drops white space."""
 
-    def __init__(self, path: str, cap: int = 350_000):
+    def __init__(self, path: str, limit: int = 96 << 20):
         import regex
 
         self.v = Vocabulary(path)
         #: Fixed value: the pattern of the vocabulary's file.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.bytes = [struct.pack("<I", i) for i in range(self.v.tokenizer.get_vocab_size())]
-        self.chunks: Memo = Memo(self._chunk, cap)
+        self.chunks: Memo = Memo(self._chunk, limit)
 
     def _chunk(self, chunk: str) -> bytes:
         pieces = (chunk,) if chunk.isalpha() else self.pieces.findall(chunk)
@@ -52,9 +52,7 @@ class WordEncoder:
         if "<|" in text or UNUSUAL.search(text):
             ids = self.v.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
-        out = b"".join(map(self.chunks.__getitem__, text.lower().split()))
-        self.chunks.trim()
-        return out
+        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

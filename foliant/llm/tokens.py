@@ -29,22 +29,26 @@ SPACE = BYTES[32]
 class PrefixCounter:
     """Counts for a byte-level vocabulary whose pieces the public pattern `PATTERN` separates."""
 
-    def __init__(self, path: str, cap: int = 300_000):
+    def __init__(self, path: str, limit: int = 112 << 20):
+        """limit: about how many bytes the memos take."""
         import public_tokenizers
         import regex
 
-        self.v, self.cap = Vocabulary(path), cap
+        self.v, self.most = Vocabulary(path), max(100, limit // 2 // 260)
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         self.ids, self.longest = self.v.ids, self.v.longest
         #: What tokens end with, and the token itself where it is one.
         self.ends = {t[i:]: "" for t in self.ids for i in range(1, len(t))} | {t: t for t in self.ids}
-        self.pairs: Memo = Memo(lambda p: self.v.tokens(p[0] + p[1]) == [t for t in p if t], cap)
+        self.pairs: Memo = Memo(lambda p: self.v.tokens(p[0] + p[1]) == [t for t in p if t], limit // 8, 330)
         self.prefixes: dict[str, tuple[int, str]] = {"": (0, "")}
-        self.spaced: Memo = Memo(lambda c: self.count_piece(SPACE + mapped(c)) if c.isalpha() else self.count_chunk(" " + c), cap)
-        self.first: Memo = Memo(self.count_chunk, cap)
+        self.spaced: Memo = Memo(lambda c: self.count_piece(SPACE + mapped(c)) if c.isalpha() else self.count_chunk(" " + c), limit // 4)
+        self.first: Memo = Memo(self.count_chunk, limit // 8)
 
     def grow(self, piece: str, known: dict[str, tuple[int, str]]) -> tuple[int, str]:
         """Fill in known[prefix] = (count, last token) for each prefix of a piece that lacks it; the piece's own is returned."""
+        if len(known) > self.most:
+            known.clear()
+            known[""] = (0, "")
         k, ends, pairs = len(piece) - 1, self.ends, self.pairs
         while piece[:k] not in known:
             k -= 1
@@ -112,10 +116,6 @@ class PrefixCounter:
         else:
             chunks = text.split(" ")
             total = self.first[chunks[0]] + sum(map(self.spaced.__getitem__, chunks[1:]))
-        for memo in (self.spaced, self.first, self.pairs):
-            memo.trim()
-        if len(self.prefixes) > 3 * self.cap:
-            self.prefixes = {"": (0, "")}
         return total
 
 

@@ -62,6 +62,20 @@ def test_forward_sums_all_segmentations():
         langid.SPLIT = langid_split
 
 
+def test_memos_stay_within_their_bytes():
+    from foliant.llm.common import Memo
+
+    m = tiny_model()
+    small, whole = langid.Scorer(m, 40_000), langid.Scorer(m)
+    rng = random.Random(14)
+    some = ["".join(rng.choices("ab ", k=3000)) for _ in range(30)] + ["漢字" * 5000] * 2
+    assert [small.text(t) for t in some] == [whole.text(t) for t in some]
+    assert len(small.chunks) * 150 < 60_000 and not any(len(c) > langid.LONG for c in whole.chunks)
+    memo = Memo(len, 10_000)
+    assert [memo[str(i)] for i in range(5000)] == [len(str(i)) for i in range(5000)] and memo["x" * 100] == 100
+    assert len(memo) + len(memo.old) <= 50 and "x" * 100 not in memo
+
+
 def test_language_of_held_out_rows(spark):
     rng = random.Random(1)
     words = {"aa": ["ringo", "tando", "mira", "solen"], "bb": ["krzch", "wpstr", "vlk", "zdr"]}
@@ -531,7 +545,7 @@ def test_counts_equal_the_library(odd, none):
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     rng = random.Random(9)
-    counter = tokens.PrefixCounter(path, cap=50)
+    counter = tokens.PrefixCounter(path, limit=30_000)
     texts = [t or "" for t in ODD] + ["a  b", " a", "a \n b", "a\n \nb", "don't we'll", "<|endoftext|>x<|endoftext|>", "a<|b", "---" * 50, "abc\x1cdef\x85"]
     texts += ["".join(rng.choices("abeT 'st.\n\t9é ", k=60)) for _ in range(400)]
     for t in texts:
@@ -651,7 +665,7 @@ def test_encoding_equals_the_library():
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
-    library, encoder = Tokenizer.from_file(path), packing.WordEncoder(path, cap=50)
+    library, encoder = Tokenizer.from_file(path), packing.WordEncoder(path, limit=10_000)
     rng = random.Random(12)
     texts = [t or "" for t in ODD] + ["It's WE'LL don't 123 a_b", "İstanbul ΣΑΣ", "a--b...c", "<|endoftext|>", "ÀÉÎ ÿ ×÷"] + ["".join(rng.choices("abET'st.\n 9éÀ-_", k=50)) for _ in range(400)]
     for t in texts:

@@ -93,6 +93,20 @@ class Memo(dict):
         return value
 
 
+#: What the tasks of this worker process share: one thing at a time, dropped by the first task that does not ask for it.
+_KEPT: dict[str, object] = {}
+_ASKED: set[str] = set()
+
+
+def kept(key: str, make: Callable):
+    """make(), once a worker process for tasks in a row that ask for the same key."""
+    _ASKED.add(key)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def map_batches(df: DataFrame, schema: str, setup: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """mapInArrow with a state made once a task: setup() gives a function from a batch to the columns of its result."""
     from pyspark.sql.types import StructType
@@ -102,7 +116,10 @@ def map_batches(df: DataFrame, schema: str, setup: Callable[[], Callable[[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        _ASKED.clear()
         arrow, step = to_arrow_schema(target), setup()
+        if not _ASKED:
+            _KEPT.clear()
         out = part = batch = None
         try:
             for batch in batches:

@@ -335,7 +335,7 @@ def brute_hits_of(words, items, width=13):
     return len(hit), which
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
+@pytest.mark.parametrize("block", [1 << 20, 40, 5])
 def test_windows_against_all_positions(spark, block):
     rng = random.Random(8)
     some = lambda n: " ".join(rng.choices("abcd", k=n))
@@ -343,7 +343,7 @@ def test_windows_against_all_positions(spark, block):
     texts = [some(n) for n in (0, 3, 12, 40, 200)] + [items[0][1] + " " + some(5), None, "ZZ É", "zz é zz é", items[6][1]]
     docs = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, n_hit string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, ("doc_id",), block_bytes=block).collect()}
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, ("doc_id",), block_words=block).collect()}
     for i, t in enumerate(texts):
         words = decontaminate.words_of(t)
         n, which = brute_hits_of(words, [x for x in items if x[0] is not None])

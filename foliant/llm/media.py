@@ -22,9 +22,10 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import datasource
+from pyspark.sql.datasource import DataSource, InputPartition
 
-from .common import filesystem, map_batches, materialise, scratch, small_batches
+from .common import delete, filesystem, map_batches, materialise, scratch, small_batches
 
 ROW = 192  # bytes of 64 RGB samples
 SCHEMA = "archive string, member string, offset long, media binary"
@@ -77,15 +78,19 @@ def decode_png(media: bytes) -> tuple[bytes, int]:
     return samples, len(samples) if length is None else length
 
 
-def feature(payload: bytes) -> str:
-    """Mean and deviation of each channel, and a 64-bit average hash of an 8 x 8 reduction, from integers alone."""
-    x = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3).astype(np.int64)
-    n = x.shape[0] * 64
-    total, square = x.sum(axis=(0, 1)), (x * x).sum(axis=(0, 1))
+def feature(payload: bytes, step: int = 4096) -> str:
+    """Mean and deviation of each channel, and a 64-bit average hash of an 8 x 8 reduction, from integers alone, `step` rows at a time."""
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3)
+    total, square, grey = np.zeros(3, np.int64), np.zeros(3, np.int64), np.empty((len(rows), 8), np.int32)
+    for a in range(0, len(rows), step):
+        x = rows[a : a + step].astype(np.int32)
+        total += x.sum(axis=(0, 1), dtype=np.int64)
+        square += (x * x).sum(axis=(0, 1), dtype=np.int64)
+        grey[a : a + step] = x.sum(axis=2).reshape(-1, 8, 8).sum(axis=2)  # 8 columns
+    n = len(rows) * 64
     stats = [f"{int(t) * 100 // n}.{int(q * n - t * t) * 100 // (n * n)}" for t, q in zip(total.tolist(), square.tolist(), strict=True)]
-    grey = x.sum(axis=2).reshape(-1, 8, 8).sum(axis=2)  # 8 columns
     bands = [grey[len(grey) * i // 8 : max(len(grey) * (i + 1) // 8, len(grey) * i // 8 + 1)] for i in range(8)]
-    cells = np.array([b.sum(axis=0) * 1000 // len(b) for b in bands]).ravel()
+    cells = np.array([b.sum(axis=0, dtype=np.int64) * 1000 // len(b) for b in bands]).ravel()
     bits = cells * 64 > cells.sum()
     return ":".join(stats) + ":" + np.packbits(bits).tobytes().hex()
 
@@ -194,7 +199,7 @@ class Span(InputPartition):
         self.uri, self.size, self.lo, self.hi = uri, size, lo, hi
 
 
-class MediaReader(DataSourceReader):
+class MediaScan(datasource.DataSourceReader):
     def __init__(self, options: dict, schema):
         self.options, self.names = options, schema.names
 
@@ -239,8 +244,8 @@ class MediaSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> MediaReader:
-        return MediaReader(self.options, schema)
+    def reader(self, schema) -> MediaScan:
+        return MediaScan(self.options, schema)
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
@@ -252,16 +257,27 @@ def media_features(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Store every text, read it back, and return doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
     A null or empty text is stored as one row of spaces; equal texts have equal values; rows with equal
-    or null ids stay apart; no rows give none. Only doc_id and text are read.
+    or null ids stay apart; an empty string as id comes back as null; no rows give none. Only doc_id and text are read. A member that cannot be read three times fails the job: a
+    result without it would not be whole. The archives go to a new folder below `path`, where other files stay as they are; without a path they
+    are scratch, and go once the rows are written.
     """
     spark = docs.sparkSession
-    path = path or scratch(spark, "media")
-    listed = {r.archive for r in write_media(docs, path).select("archive").toLocalIterator()}
-    fs, root = filesystem(path)
+    folder = f"{path.rstrip('/')}/archives-{uuid.uuid4().hex}" if path else scratch(spark, "media")
+    listed = {r.archive for r in write_media(docs, folder).select("archive").toLocalIterator()}
+    fs, root = filesystem(folder)
     for x in fs.get_file_info(pafs.FileSelector(root)):
         if x.path not in listed:  # of tasks that ran twice
             fs.delete_file(x.path)
-    kind = docs.schema["doc_id"].dataType
+    found = features_back(spark, folder, docs.schema["doc_id"].dataType)
+    if path:
+        return found
+    found = materialise(found, "media-rows")
+    delete(spark, folder)
+    return found
+
+
+def features_back(spark: SparkSession, folder: str, kind) -> DataFrame:
+    """The rows of media_features from the archives in a folder."""
 
     def setup():
         def step(batch: pa.RecordBatch) -> dict:
@@ -277,6 +293,6 @@ def media_features(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         return step
 
-    found = map_batches(read_media(spark, path), "member string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", setup)
-    doc_id = F.nullif(F.regexp_extract("member", r"^(.*)\.\d+\.png$", 1), F.lit("")).cast(kind).alias("doc_id")
+    found = map_batches(read_media(spark, folder), "member string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", setup)
+    doc_id = F.nullif(F.regexp_extract("member", r"(?s)^(.*)\.\d+\.png$", 1), F.lit("")).cast(kind).alias("doc_id")
     return found.select(doc_id, *[c for c in found.columns if c != "member"])

@@ -1,7 +1,7 @@
 """WARC archives as a Spark data source.
 
 Writing gives every record a gzip member of its own, with the member's length
-in the gzip header's extra field `SL`. The reader plans a partition for each
+in the gzip header's extra field `SL`. The source plans a partition for each
 byte range of an archive, inflates a member no further than its WARC headers, and leaves
 those whose record type or headers the pushed-down predicates exclude, or whose
 payload no column asks for, without inflating or decoding the rest: the `SL` field leads
@@ -20,9 +20,10 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
+from pyspark.sql import datasource
+from pyspark.sql.datasource import DataSource, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from .common import filesystem, materialise, scratch, small_batches
+from .common import delete, filesystem, materialise, scratch, small_batches
 
 SCHEMA = "archive string, offset long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, content_length long, payload_length long, payload binary"
 #: Columns and the WARC header each comes from.
@@ -84,12 +85,12 @@ class Member:
     """A gzip member at an offset, inflated as far as asked."""
 
     def __init__(self, cursor: Cursor, offset: int):
-        self.c, self.offset, self.out, self.next = cursor, offset, b"", offset
+        self.c, self.offset, self.out, self.next = cursor, offset, bytearray(), offset
         head = cursor.get(offset, 32)
         self.length = struct.unpack("<Q", head[16:24])[0] if head[:4] == MAGIC and head[12:14] == b"SL" else None
         self.z = zlib.decompressobj(31)
 
-    def inflate(self, least: int | None) -> bytes:
+    def inflate(self, least: int | None) -> bytearray:
         """At least so many bytes of the content, all for None."""
         step = 1024 if least else 1 << 18
         while not self.z.eof and (least is None or len(self.out) < least):
@@ -172,11 +173,13 @@ def read_range(fs: pafs.FileSystem, path: str, size: int, lo: int, hi: int, want
                     least = begin + 256
                     while (http_end := m.inflate(min(least, begin + length)).find(b"\r\n\r\n", begin)) < 0 and least < begin + length:
                         least += 4096
-                    names = (x.partition(b":") for x in m.out[begin : max(begin, http_end)].split(b"\r\n")[1:])
+                    names = (x.partition(b":") for x in bytes(m.out[begin : max(begin, http_end)]).split(b"\r\n")[1:])
                     http_length = next((int(v) for k, _, v in names if k.strip().lower() == b"content-length"), None)
                 first = http_end + 4 if http_end >= 0 else begin
                 if payload:
-                    body = m.inflate(begin + length)[first : begin + length]
+                    body = bytes(memoryview(m.inflate(begin + length))[first : begin + length])
+                    if len(body) < begin + length - first:
+                        raise ValueError(f"the record at {at} of {path} ends within its block")
                 yield (path, at, *value.values(), length, http_length if http_length is not None else begin + length - first, body)
             at = m.end()
             if at >= size:
@@ -195,7 +198,7 @@ class Span(InputPartition):
         self.uri, self.size, self.lo, self.hi = uri, size, lo, hi
 
 
-class WarcReader(DataSourceReader):
+class WarcScan(datasource.DataSourceReader):
     def __init__(self, options: dict, schema):
         self.options, self.names = options, schema.names
         self.wanted: list[tuple[str, frozenset]] = []
@@ -253,21 +256,24 @@ class WarcSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options, schema)
+    def reader(self, schema) -> WarcScan:
+        return WarcScan(self.options, schema)
 
 
 def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None, record_types: list[str] | None = None) -> DataFrame:
-    """The records of an archive or a folder of archives; record_types are pushed down to the reader."""
+    """The records of an archive or a folder of archives; record_types are pushed down to the source.
+
+    Spark pushes predicates to Python sources only where `spark.sql.python.filterPushdown.enabled` is true, so the session gets that setting.
+    """
     from pyspark.sql.types import StructType
 
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     full = StructType.fromDDL(SCHEMA)
-    reader = spark.read.format("warc")
+    scan = spark.read.format("warc")
     if columns:
-        reader = reader.schema(StructType([full[c] for c in columns]))
-    df = reader.load(path)
+        scan = scan.schema(StructType([full[c] for c in columns]))
+    df = scan.load(path)
     return df.where(F.col("record_type").isin(record_types)) if record_types else df
 
 
@@ -292,7 +298,8 @@ def write_warc(records: DataFrame, path: str, level: int = 6) -> DataFrame:
     """Write one archive a task below path, and return (archive, records). Not lazy.
 
     An archive gets its name only when it is complete, so that a lost or repeated task leaves no
-    part of one; of a task that ran twice, the list that is returned has the archive that counts.
+    part of one; of a task that ran twice, the list that is returned has the archive that counts. An empty id is
+    written as none.
     """
     fs, root = filesystem(path)
     fs.create_dir(root, recursive=True)
@@ -315,36 +322,39 @@ def write_warc(records: DataFrame, path: str, level: int = 6) -> DataFrame:
     return materialise(records.mapInArrow(run, "archive string, records long"), "warc-list")
 
 
-def keep_listed(written: DataFrame, path: str) -> None:
-    """Delete archives that no counted task wrote."""
-    fs, root = filesystem(path)
+def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
+    """Write pages (page_id, url, html) as WARC archives and read them back: one row a record.
+
+    Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri. Two scans of the archives, each with its record type pushed down:
+    length and digest of responses come from their payloads as read; revisits are read from their headers alone. A null html is an empty payload, a
+    null url an empty header; pages with equal ids stay apart as records; an empty string as id comes back as null; no pages, no rows.
+    Other columns of pages are not read. The archives go to a new folder below `path`, where other files stay as they are; without a path
+    they are scratch, and go once the rows are written.
+    """
+    spark = pages.sparkSession
+    folder = f"{path.rstrip('/')}/archives-{uuid.uuid4().hex}" if path else scratch(spark, "warc")
+    drop_unlisted(folder, write_warc(page_records(pages), folder))
+    found = records_back(spark, folder, pages.schema["page_id"].dataType)
+    if path:
+        return found
+    found = materialise(found, "warc-rows")
+    delete(spark, folder)
+    return found
+
+
+def drop_unlisted(folder: str, written: DataFrame) -> None:
+    """Delete what tasks that don't count wrote to a folder of our own: driver and listing hold a name for each task."""
+    fs, root = filesystem(folder)
     listed = {r.archive for r in written.select("archive").toLocalIterator()}
     for x in fs.get_file_info(pafs.FileSelector(root)):
         if x.path not in listed:
             fs.delete_file(x.path)
 
 
-def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write pages (page_id, url, html) as WARC archives and read them back: one row a record.
-
-    Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri. Of responses, length and digest come
-    from the payload as read; a revisit's from its headers. A null html is an empty payload, a
-    null url an empty header; pages with equal ids stay apart as records; no pages, no rows.
-    Other columns of pages are not read.
-    """
-    spark = pages.sparkSession
-    path = path or scratch(spark, "warc")
-    keep_listed(write_warc(page_records(pages), path), path)
-    back = read_warc(spark, path, ["record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload_length", "payload"])
-    kind = pages.schema["page_id"].dataType
+def records_back(spark: SparkSession, folder: str, kind) -> DataFrame:
+    """The rows of archive_pages from the archives in a folder."""
     page = lambda c: F.nullif(F.regexp_replace(c, "^urn:page:", ""), F.lit("")).cast(kind)
-    whole = F.col("record_type") == "response"
-    return back.select(
-        page("record_id").alias("page_id"),
-        F.when(whole, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
-        F.when(whole, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        page("refers_to").alias("refers_to"),
-        "target_uri",
-    )
-
+    whole = read_warc(spark, folder, ["record_type", "record_id", "target_uri", "payload"], ["response"])
+    heads = read_warc(spark, folder, ["record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload_length"], ["revisit"])
+    responses = whole.select(page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"), "target_uri")
+    return responses.union(heads.select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", page("refers_to").alias("refers_to"), "target_uri"))

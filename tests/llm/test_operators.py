@@ -130,7 +130,10 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/1", big), (2, None, big), (3, "u\r\nx", big), (4, "http://a/4", "small"), (5, "http://a/5", "small"), (None, "http://a/6", None), (7, "http://a/7", other), (8, "u", ""), (9, "v", other)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload_digest string").repartition(3)
     path = str(tmp_path / "w")
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "own.txt").write_text("the caller's")
     got = {r.page_id: r for r in warc.archive_pages(pages, path).collect()}
+    assert (tmp_path / "w" / "own.txt").read_text() == "the caller's"
     for page_id, _, text in rows:
         data = (text or "").encode()
         top = max((p for p, _, t in rows if t == text and len(data) >= 1000), default=page_id)
@@ -138,12 +141,38 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_pages(pages.where("false"), str(tmp_path / "none")).count() == 0
     # small ranges, pushed-down predicates and unread payloads give the same records
     whole = warc.read_warc(spark, path, ["record_id", "payload"])
-    reader = spark.read.format("warc").option("range", "300").load(path).select("record_id", "payload")
-    assert sorted(map(str, reader.collect())) == sorted(map(str, whole.collect())) and whole.count() == len(rows)
+    ranged = spark.read.format("warc").option("range", "300").load(path).select("record_id", "payload")
+    assert sorted(map(str, ranged.collect())) == sorted(map(str, whole.collect())) and whole.count() == len(rows)
     assert warc.read_warc(spark, path, ["record_type", "record_id"], ["revisit"]).count() == 3
     assert warc.read_warc(spark, path).where("record_type = 'response' and record_id = 'urn:page:4'").count() == 1
 
 
+def test_revisits_are_read_from_headers_alone(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "x" * 2000) for i in range(3)] + [(3, "u", "y")] * 2, "page_id long, url string, html string")
+    found = warc.archive_pages(pages, str(tmp_path / "w"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan warc") == 2
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in found.collect()) == [(0, "revisit", 2), (1, "revisit", 2), (2, "response", None), (3, "response", None), (3, "response", None)]
+    (archive,) = sorted((tmp_path / "w").rglob("*.warc.gz"), key=lambda x: x.stat().st_size)[-1:]
+    data = archive.read_bytes()
+    for wanted in (frozenset(["revisit"]), frozenset(["response"])):
+        from pyarrow.fs import LocalFileSystem
+
+        rows = list(warc.read_range(LocalFileSystem(), str(archive), len(data), 0, len(data), [("record_type", wanted)], wanted == {"response"}))
+        assert {r[2] for r in rows} <= wanted and all((r[-1] is None) == (wanted == {"revisit"}) for r in rows)
+    long = spark.createDataFrame([(1, "u", "é" * 3_000_000)], "page_id long, url string, html string")
+    (got,) = warc.archive_pages(long).collect()
+    assert (got.payload_bytes, got.payload_digest) == (6_000_000, hashlib.sha1(("é" * 3_000_000).encode()).hexdigest())
+
+
+def test_damaged_archives_are_errors(spark, tmp_path):
+    members = [warc.member(warc.record("response", f"urn:{i}", "u", b"text" * 400, "d")) for i in range(3)]
+    for name, data in (("first", b"\x1f\x8b\x08\x04" + b"\0" * 60 + b"".join(members)), ("cut", b"".join(members)[:-30])):
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+        with pytest.raises(Exception, match="zlib|ends within|Error"):
+            warc.read_warc(spark, str(tmp_path / f"{name}.warc.gz"), ["record_id", "payload"]).collect()
+
+
 def test_warc_reads_members_without_lengths(tmp_path):
     import gzip
 
@@ -362,7 +391,10 @@ def test_decontamination_edges(odd, none, spark):
 
 
 def test_media_round_trip(odd, none, tmp_path, spark):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "own.txt").write_text("the caller's")
     got = media.media_features(odd, str(tmp_path / "m")).collect()
+    assert (tmp_path / "m" / "own.txt").exists() and media.media_features(odd).count() == len(got)
     assert len(got) == len(ODD) + 1
     left = [(r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got]
     for t in [*ODD, "same text here"]:
@@ -375,6 +407,20 @@ def test_media_round_trip(odd, none, tmp_path, spark):
     assert small.count() == len(got) and small.rdd.getNumPartitions() > 4
 
 
+def test_features_by_definition():
+    rng = random.Random(15)
+    for n in (1, 5, 300, 9000):
+        data = bytes(rng.choices(range(256), k=192 * n))
+        x = np.frombuffer(data, np.uint8).reshape(-1, 64, 3).astype(float)
+        means, spread = x.mean(axis=(0, 1)), x.var(axis=(0, 1))
+        *stats, bits = media.feature(data).split(":")
+        assert media.feature(data, 7).split(":") == [*stats, bits]
+        assert all(abs(int(s.split(".")[0]) / 100 - m) < 0.011 and abs(int(s.split(".")[1]) / 100 - v) < 0.011 for s, m, v in zip(stats, means, spread, strict=True))
+        edges = [(n * i // 8, max(n * (i + 1) // 8, n * i // 8 + 1)) for i in range(8)]
+        cells = np.array([[x[a:b, 8 * j : 8 * j + 8].sum() * 1000 // (b - a) for j in range(8)] for a, b in edges])
+        assert bits == np.packbits((cells * 64 > cells.sum()).ravel()).tobytes().hex()
+
+
 def test_members_are_read_again_by_offset(tmp_path):
     import io
     import zipfile

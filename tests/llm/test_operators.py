@@ -281,6 +281,102 @@ def test_keys_partly_covered_are_masked(spark):
     assert all(r.masked == "x [SECRET] y" and [s.kind for s in r.spans] == [2] for r in got if r.key == "none")
 
 
+ORDER = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+CELLS = {"hex": (10, 6), "base32": (26, 6), "base64": (26, 26, 12)}
+
+
+def two_sided(z):
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def brute_battery(value, encoding=None):
+    """(encoding, n, p) by the definitions of the tests."""
+    e = encoding or ("hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", value) else "base32" if re.fullmatch("[A-Z2-7]+=*", value) else "base64")
+    bare = value.rstrip("=")
+    bare = bare.lower() if e == "hex" else bare.translate(str.maketrans("-_=", "+//")) if e == "base64" else bare
+    d, k = np.array([ORDER[e].index(c) for c in bare]), len(ORDER[e])
+    n = len(d)
+    wilson = lambda x, f: two_sided(((max(x, 0.0) / f) ** (1 / 3) - (1 - 2 / (9 * f))) / math.sqrt(2 / (9 * f)))
+    chi = sum((c - n / k) ** 2 / (n / k) for c in np.bincount(d, minlength=k))
+    edges = np.cumsum([0, *CELLS[e]])
+    cells = sum((((d >= a) & (d < b)).sum() - n * (b - a) / k) ** 2 / (n * (b - a) / k) for a, b in zip(edges, edges[1:], strict=False))
+    high = d >= k / 2
+    mean = 2 * high.sum() * (~high).sum() / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    runs = two_sided((1 + (high[1:] != high[:-1]).sum() - mean) / math.sqrt(spread)) if spread > 0 else 0.0
+    x = d - (k - 1) / 2
+    serial = two_sided((x[1:] * x[:-1]).sum() / ((k * k - 1) / 12) / math.sqrt(n - 1))
+    return e, n, min(1.0, 4 * min(wilson(chi, k - 1), wilson(cells, len(CELLS[e]) - 1), runs, serial))
+
+
+def brute_added(texts, q=0.05):
+    """The spans that the battery adds to each text, (start, end), and p-values near a decision."""
+    run = re.compile(secrets.CANDIDATE)
+    base = [sorted((m.start(), m.end()) for k, p in enumerate(BASE) for m in p.finditer(t) if len(m[1] if k == 0 else m[0]) >= LEAST[k]) for t in texts]
+    tested, prose = [], []
+    for t, own in zip(texts, base, strict=True):
+        runs = []
+        for m in run.finditer(t):
+            runs.append(m.span())
+            at, touched = m.start(), [b for b in own if b[0] < m.end() and m.start() < b[1]]
+            for a, b in [*touched, (m.end(), m.end())] if touched else []:
+                if a > at:
+                    runs.append((at, a))
+                at = max(at, b)
+        runs = [(a, b) for a, b in runs if len(t[a:b].rstrip("=")) >= 16 or (b - a >= 24 and re.search("[0-9]", t[a:b]) and re.search("[A-Za-z]", t[a:b]))]
+        found = [(a, b, brute_battery(t[a:b])) for a, b in runs]
+        tested.append(found)
+        plain = re.sub("[^A-Za-z0-9+/_-]+", "", run.sub(" ", t))
+        for a, b, (e, *_) in found[: secrets.DRAWN]:
+            x = re.sub("[^0-9a-f]", "", plain.lower()) if e == "hex" else re.sub("[^A-Z2-7]", "", plain.upper()) if e == "base32" else plain
+            room = len(x) - (b - a)
+            prose += [brute_battery(x[(o := (a * 7919 + r * 104_729) % (room + 1)) : o + b - a], e) for r in range(secrets.DRAWS)] if room >= 0 else []
+    stratum = lambda b: (b[0], math.floor(2 * math.log2(b[1])))
+    u = lambda b: math.log(0.3 - math.log10(max(b[2], 1e-30)))
+    every = [x[2] for f in tested for x in f]
+    cut, null = {}, {}
+    for s in {stratum(b) for b in every}:
+        mine, own = [b for b in every if stratum(b) == s], [u(b) for b in prose if stratum(b) == s]
+        prior = math.log(0.3 + min(30.0, secrets.STRUCTURE[s[0]] * np.mean([b[1] for b in mine])))
+        m, total, squares = 20 + len(own), 20 * prior + sum(own), 20 * (prior**2 + 0.16) + sum(x * x for x in own)
+        null[s] = total / m, math.sqrt(max(0.1, squares / m - (total / m) ** 2))
+        p = lambda b: two_sided(z) / 2 if (z := (u(b) - null[stratum(b)][0]) / null[stratum(b)][1]) < 0 else 1.0
+        bins = [min(math.floor(-10 * math.log10(max(p(b), 1e-30))), 199) for b in mine]
+        cut[s] = min((x for x in set(bins) if 10 ** (-x / 10) <= q * sum(y >= x for y in bins) / len(bins)), default=200)
+    out, close = [], False
+    for t, own, found in zip(texts, base, tested, strict=True):
+        more = []
+        for a, b, r in found:
+            at = a
+            for c, d in own:
+                at = max(at, d) if c <= at else at
+            level = -10 * math.log10(max(p(r), 1e-30))
+            close |= abs(level - cut[stratum(r)]) < 0.02
+            if level >= cut[stratum(r)] and at < b:
+                more.append((a, b))
+        out.append({x for x in more if not any(y != x and x[0] >= y[0] and y[1] >= x[1] for y in more)})
+    return out, close
+
+
+def test_added_spans_against_brute_force(spark):
+    rng = random.Random(16)
+    both = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: "".join(rng.choices(["the", "in", "er", "an", "Re", "on", "ing", "st", "7"], k=rng.randrange(1, 11)))
+    key = lambda: "".join(rng.choices(rng.choice([both, both, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF", "0123456789abcdef"]), k=rng.randrange(12, 70)))
+    odd_one = lambda: rng.choice([key(), f"prod_{key()}_{key()}", f"token={key()}", "=" * 20, f"{key()}==", "-" * 17])
+    texts = [" ".join(odd_one() if rng.random() < 0.03 else word() for _ in range(rng.randrange(1, 120))) for _ in range(150)]
+    want, close = brute_added(texts)
+    assert not close and sum(map(len, want)) > 50
+    got = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == 3} for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_many_matches_in_a_text(spark):
+    text = " ".join(f"{i:016x}" for i in range(3000))
+    (got,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(secrets.joined(secrets.F.col("base"))).collect()
+    assert got[0] == base_spans(text)
+
+
 # SimHash
 
 

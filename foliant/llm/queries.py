@@ -49,11 +49,12 @@ ruled AS (
       WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
       WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule,
     {" OR ".join(map(_term, urlfilter.STRICT))} AS strict,
-    {" + ".join(f"CAST({_term(t)} AS INT)" for t in urlfilter.SOFT)} AS soft
+    {" + ".join(f"CAST({_term(t)} AS INT)" for t in urlfilter.SOFT)} AS soft,
+    {" + ".join(f"{w} * CAST({_term(t)} AS INT)" for t, w in urlfilter.SOFT.items())} AS weight
   FROM parts)
 SELECT page_id, host, path, rule,
   CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
-       ELSE CASE WHEN strict OR soft >= 2 THEN 'block' ELSE 'allow' END END AS verdict
+       ELSE CASE WHEN strict OR (soft >= 2 AND weight >= {urlfilter.SOFT_LIMIT}) THEN 'block' ELSE 'allow' END END AS verdict
 FROM ruled
 """
 

@@ -206,24 +206,28 @@ def _at_anchors(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def classes(made: DataFrame, most: int = 20_000) -> DataFrame:
-    """(fp, root, component): of each fingerprint in made (doc_id, fp), its component's smallest fingerprint and smallest doc_id."""
-    distinct = materialise(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    """(fp, root, component, alone): of each fingerprint in made (doc_id, fp), its component's smallest fingerprint and smallest doc_id, and whether one row is all of it."""
+    distinct = materialise(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = materialise(components(links(distinct, most)), "roots")
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "root")
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "root", "n")
     smallest = named.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-    return materialise(named.join(smallest, "root", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component")), "components")
+    joined = named.join(smallest, "root", "left")
+    return materialise(joined.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component"), (F.col("root").isNull() & (F.col("n") == 1)).alias("alone")), "components")
 
 
-def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), most: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), most: int = 20_000, salts: int = 16) -> DataFrame:
     """Columns `keep` (doc_id among them), fp and component_id: the smallest doc_id that links lead to, its own included.
 
     Texts without words (null, empty, white space) have fingerprint zero and are linked like any other.
     Rows with a null doc_id take part, but never name a component unless no member has an id. Repeated rows are
     equal fingerprints. An empty table gives none. Only `keep` and `text` are read.
+
+    A row that is alone names itself; only the other fingerprints are joined, with `salts` parts each, so that one that a third of all rows have is met by many tasks.
     """
     made = materialise(fingerprints(docs, keep), "fingerprints")
-    table = classes(made, most).select("fp", F.col("component").alias("component_id"))
-    return made.join(table, "fp").select(*keep, "fp", "component_id")
+    table = classes(made, most).where("not alone").select("fp", F.col("component").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    dealt = made.withColumn("__salt", (F.monotonically_increasing_id() % salts).cast("int"))
+    return dealt.join(table, ["fp", "__salt"], "left").select(*keep, "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def group(made: DataFrame, most: int = 20_000) -> DataFrame:

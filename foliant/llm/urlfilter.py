@@ -2,14 +2,14 @@
 
 An Aho-Corasick automaton finds every term of the vocabulary in an URL in one
 pass. A hit counts when it is bounded (not inside a longer run of letters).
-One strict term rejects; so do `soft_limit` different soft ones. Host rules
-stand above the vocabulary: the longest rule that fits decides.
+One strict term rejects; so do two or more different soft ones whose weights add up to `soft_limit`: common words weigh
+less than telling ones. Host rules stand above the vocabulary: the longest rule that fits decides.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +17,15 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-#: The default vocabulary. Strict terms reject alone, soft ones only together.
-STRICT = ["porn", "xxx", "hentai", "camgirl", "escort", "casino", "warez", "keygen"]
-SOFT = ["sex", "adult", "nude", "bet", "poker", "slots", "loan", "pills", "crack", "torrent", "dating", "free", "win", "bonus"]
+#: The default vocabulary. Strict terms reject alone, soft ones only together, by weight.
+STRICT = ["porn", "porno", "pornhub", "xxx", "xvideos", "hentai", "camgirl", "camgirls", "escort", "escorts", "milf", "casino", "casinos", "warez", "keygen", "cracked", "malware", "phishing"]
+SOFT = {
+    "sex": 1.0, "sexy": 1.0, "adult": 1.0, "nude": 1.0, "erotic": 1.0, "fetish": 1.0, "webcam": 1.0, "hookup": 1.0, "dating": 1.0,
+    "bet": 1.0, "betting": 1.0, "poker": 1.0, "slots": 1.0, "jackpot": 1.0, "roulette": 1.0, "gambling": 1.0,
+    "loan": 1.0, "loans": 1.0, "payday": 1.0, "pills": 1.0, "viagra": 1.0, "crack": 1.0, "torrent": 1.0, "torrents": 1.0, "serial": 1.0,
+    "free": 0.5, "win": 0.5, "bonus": 0.5, "cheap": 0.5, "deal": 0.5, "hot": 0.5, "girls": 0.5, "download": 0.5, "credit": 0.5,
+}
+SOFT_LIMIT = 1.5
 
 URL = re.compile(r"://([^/?#]*)([^?#]*)")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -32,10 +38,10 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class UrlFilter:
-    def __init__(self, strict: Iterable[str] = STRICT, soft: Iterable[str] = SOFT, soft_limit: int = 2, rules: Iterable[tuple[str, str]] = ()):
+    def __init__(self, strict: Iterable[str] = STRICT, soft: Mapping[str, float] = SOFT, soft_limit: float = SOFT_LIMIT, rules: Iterable[tuple[str, str]] = ()):
         import ahocorasick
 
-        self.limit = soft_limit
+        self.limit, self.weights = soft_limit, dict(soft)
         self.automaton = ahocorasick.Automaton()
         for kind, terms in (("soft", soft), ("strict", strict)):
             for t in terms:
@@ -75,19 +81,19 @@ class UrlFilter:
     def judge(self, url: str | None) -> tuple[str, str, str | None, str, list[str], list[str]]:
         host, path = split_url(url)
         strict, soft = self.hits(url or "")
-        verdict = "block" if strict or len(soft) >= self.limit else "allow"
+        verdict = "block" if strict or (len(soft) > 1 and sum(map(self.weights.__getitem__, soft)) >= self.limit) else "allow"
         rule = self.rule(host, path)
         return host, path, rule and rule[0], rule[1] if rule else verdict, sorted(strict), sorted(soft)
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = (), strict: Iterable[str] = STRICT, soft: Iterable[str] = SOFT, soft_limit: int = 2) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = (), strict: Iterable[str] = STRICT, soft: Mapping[str, float] = SOFT, soft_limit: float = SOFT_LIMIT) -> DataFrame:
     """One row per row of pages (page_id, url): host, path, rule, verdict, strict_hits, soft_hits.
 
     A null or empty url has no host, no hits and the verdict `allow`; repeated rows are each
     judged; other columns are not carried; an empty table gives none. Only `url` is read, and
     the automaton is built once a task from the vocabulary, which is a parameter and not data.
     """
-    given = (list(strict), list(soft), soft_limit, list(rules))
+    given = (list(strict), dict(soft), soft_limit, list(rules))
 
     def setup():
         f = UrlFilter(*given)

@@ -112,13 +112,15 @@ def test_url_terms_and_rules(spark):
     for url in ("http://a.org/free-bonus", "http://casino.org/", "http://a.org/freedom/bonus", "http://a.org/sexton", "x://free.win/free"):
         strict, soft = f.hits(url)
         assert strict == brute_hits(url, urlfilter.STRICT) and soft == brute_hits(url, urlfilter.SOFT)
-        assert f.judge(url)[3] == ("block" if strict or len(soft) >= 2 else "allow")
+        assert f.judge(url)[3] == ("block" if strict or (len(soft) >= 2 and sum(urlfilter.SOFT[x] for x in soft) >= urlfilter.SOFT_LIMIT) else "allow")
+    assert [f.judge(f"http://a.org/{x}")[3] for x in ("sex", "free-win", "free-win-bonus", "sex/free", "sex-sex", "sexfree")] == ["allow", "allow", "block", "block", "allow", "allow"]
     assert f.judge("http://M.Example.NET/en/1")[:4] == ("m.example.net", "/en/1", "example.net/en/", "allow")
     assert f.judge("http://x.net/y")[2:4] == ("net/", "block")
     assert f.judge("http://planet/y")[2] is None
     assert f.judge("http://x.net")[2] is None  # no path
-    df = spark.createDataFrame([(1, None), (2, ""), (None, "no scheme"), (4, "a://b?c"), (4, "a://b?c")], "page_id long, url string")
-    assert [(r.host, r.path, r.verdict) for r in urlfilter.judge_urls(df).collect()] == [("", "", "allow")] * 3 + [("b", "", "allow")] * 2
+    long = "http://a.org/" + "freedom/" * 50_000 + "bonus-poker"
+    df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "no scheme", "x"), (4, "a://b?c", "x"), (4, "a://b?c", None), (5, long, None)], "page_id long, url string, host string")
+    assert [(r.host, r.path, r.verdict) for r in urlfilter.judge_urls(df).collect()] == [("", "", "allow")] * 3 + [("b", "", "allow")] * 2 + [("a.org", long[12:], "block")]
     assert urlfilter.judge_urls(df.where("false")).count() == 0
 
 
@@ -417,6 +419,17 @@ def test_components_of_fingerprints(spark, most):
     assert [got[f] for f in signed] == brute_components(fps)
 
 
+def test_a_fingerprint_of_many_rows(spark):
+    rows = [(i if i else None, "the same few words" if i % 3 else f"other text number {i} of all", None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    fps = [brute_fingerprint(t) for _, t, _ in rows]
+    label = brute_components(fps)
+    ids = [i for i, *_ in rows]
+    for x, (i, *_) in enumerate(rows):
+        assert got[i].component_id == min((ids[y] for y in range(len(rows)) if label[y] == label[x] and ids[y] is not None), default=None)
+
+
 def test_fingerprint_edges(odd, none, spark):
     got = simhash.near_duplicates(odd, ("doc_id", "text")).collect()
     assert len(got) == len(ODD) + 1

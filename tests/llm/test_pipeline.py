@@ -73,6 +73,27 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in packed} == {r[0] for r in kept}
 
 
+def test_stages_on_odd_tables(spark, folder, monkeypatch):
+    """Nulls in any column, repeated rows and ids, a very long text, clashing column names, and no rows."""
+    path, rows, _ = folder
+    long = "endless words " * 150_000
+    odd = [(None, rows[0][1], None, None, None), (None, rows[0][1] + " and more of it here", "en", "s", 3), (7, None, None, None, None), (7, "", "en", None, 0), (8, long, "en", "s", None), (8, long, "en", "s", None), (9, "one two three", None, "s", 13)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, row string, masked string, `__text` string"
+    docs = spark.createDataFrame([(*r, 1, "row", "m", "t") for r in odd], schema)
+    kept = {name: stage(spark, docs, path) for name, stage in pipeline.STAGES}
+    few = lambda df: sorted((str(r.doc_id), len(r.text or "")) for r in df.collect())
+    sizes = [(str(r[0]), len(r[1] or "")) for r in odd]
+    assert few(kept["language"]) == sorted(x for x in sizes if x[1])
+    assert few(kept["clean_of_benchmark"]) == few(kept["mask_secrets"]) == sorted(sizes)
+    fps = {r[1]: simhash.fingerprint(r[1]) for r in odd}
+    assert len(few(kept["near_copies"])) == len({0 if f is None else f for f in fps.values()})
+    monkeypatch.setattr(pipeline, "BROADCAST_ROWS", 0)
+    assert few(pipeline.near_copies(spark, docs, path)) == few(kept["near_copies"])
+    assert sorted({str(r.doc_id) for r in kept["pack"].collect()}) == ["7", "8", "9", "None"]
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.where("false"), path).count() == 0
+
+
 def test_run(spark, folder):
     got = pipeline.run(spark, folder[0]).collect()
     assert got and max(r.offset + r.length for r in got) <= 4096

@@ -326,13 +326,15 @@ def brute_added(texts, q=0.05):
                     runs.append((at, a))
                 at = max(at, b)
         runs = [(a, b) for a, b in runs if len(t[a:b].rstrip("=")) >= 16 or (b - a >= 24 and re.search("[0-9]", t[a:b]) and re.search("[A-Za-z]", t[a:b]))]
-        found = [(a, b, brute_battery(t[a:b])) for a, b in runs]
+        found = [(a, b, brute_battery(t[a:b])) for a, b in runs if not set(range(a, b)) <= {i for c, d in own for i in range(c, d)}]
         tested.append(found)
-        plain = re.sub("[^A-Za-z0-9+/_-]+", "", run.sub(" ", t))
         for a, b, (e, *_) in found[: secrets.DRAWN]:
-            x = re.sub("[^0-9a-f]", "", plain.lower()) if e == "hex" else re.sub("[^A-Z2-7]", "", plain.upper()) if e == "base32" else plain
-            room = len(x) - (b - a)
-            prose += [brute_battery(x[(o := (a * 7919 + r * 104_729) % (room + 1)) : o + b - a], e) for r in range(secrets.DRAWS)] if room >= 0 else []
+            width = 8 * (b - a) if e == "hex" else 2 * (b - a) + 32
+            for r in range(secrets.DRAWS):
+                at = (a * 7919 + r * 104_729) % max(len(t) - width + 1, 1)
+                x = re.sub("[^A-Za-z0-9+/_-]+", "", run.sub(" ", t[at : at + width]))
+                x = re.sub("[^0-9a-f]", "", x.lower()) if e == "hex" else re.sub("[^A-Z2-7]", "", x.upper()) if e == "base32" else x
+                prose += [brute_battery(x[: b - a], e)] if len(x) >= b - a else []
     stratum = lambda b: (b[0], math.floor(2 * math.log2(b[1])))
     u = lambda b: math.log(0.3 - math.log10(max(b[2], 1e-30)))
     every = [x[2] for f in tested for x in f]
@@ -346,15 +348,12 @@ def brute_added(texts, q=0.05):
         bins = [min(math.floor(-10 * math.log10(max(p(b), 1e-30))), 199) for b in mine]
         cut[s] = min((x for x in set(bins) if 10 ** (-x / 10) <= q * sum(y >= x for y in bins) / len(bins)), default=200)
     out, close = [], False
-    for t, own, found in zip(texts, base, tested, strict=True):
+    for found in tested:
         more = []
         for a, b, r in found:
-            at = a
-            for c, d in own:
-                at = max(at, d) if c <= at else at
             level = -10 * math.log10(max(p(r), 1e-30))
-            close |= abs(level - cut[stratum(r)]) < 0.02
-            if level >= cut[stratum(r)] and at < b:
+            close |= abs(level - cut[stratum(r)]) < 0.004
+            if level >= cut[stratum(r)]:
                 more.append((a, b))
         out.append({x for x in more if not any(y != x and x[0] >= y[0] and y[1] >= x[1] for y in more)})
     return out, close

@@ -28,17 +28,28 @@ def starting_page(counts: DataFrame, places: DataFrame) -> DataFrame:
     return joined.select(*places.columns, F.coalesce(page, F.lit(1)).alias("starting_page"))
 
 
+def _last_before(sections: DataFrame, at: str, columns: list[str], asked: DataFrame, place: str) -> DataFrame:
+    """asked (book_id, place, ...) with __s, the columns of its book's last section that begins at or before the place, and __any, whether the book has sections.
+
+    Sections and requests are sorted together once, a book at a time, and nothing is gathered in a row.
+    """
+    one = sections.select("book_id", F.col(at).cast("long").alias("__at"), F.lit(0).alias("__kind"), F.struct(*columns).alias("__section"), F.lit(None).cast(asked.schema.simpleString()).alias("__row"))
+    two = asked.select("book_id", F.col(place).cast("long").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(one.schema["__section"].dataType).alias("__section"), F.struct(*asked.columns).alias("__row"))
+    book = Window.partitionBy("book_id")
+    order = book.orderBy("__at", "__kind", F.col("__section.spine_index")).rowsBetween(Window.unboundedPreceding, 0)
+    both = one.union(two).withColumn("__s", F.last("__section", ignorenulls=True).over(order)).withColumn("__any", F.max(F.col("__kind") == 0).over(book)).withColumn("__end", F.max(F.struct(F.when(F.col("__kind") == 0, F.col("__at")).alias("at"), "__section.spine_index", "__section")).over(book)["__section"])
+    return both.where("__kind = 1").select("__row.*", "__s", "__any", "__end")
+
+
 def local_position(counts: DataFrame, pages: DataFrame) -> DataFrame:
-    """(spine_index, local_page) of pages (book_id, global_page): (0, 0) below 1 or for an empty book; past the end the last page."""
-    first = starts(counts).select("book_id", F.col("spine_index").alias("__s"), "first_page", "pages")
-    spans = first.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(F.col("first_page").alias("first"), F.col("__s").alias("s"), F.col("pages").alias("n")))).alias("__spans"))
-    joined = pages.join(spans, "book_id", "left")
-    hit = F.filter("__spans", lambda x: (x["first"] <= F.col("global_page")) & (F.col("global_page") < x["first"] + x["n"]))
-    last = F.element_at(F.col("__spans"), -1)
-    none = F.col("__spans").isNull() | (F.col("global_page") < 1)
-    spine = F.when(none, 0).when(F.size(hit) > 0, F.get(hit, F.lit(0))["s"]).otherwise(last["s"])
-    local = F.when(none, 0).when(F.size(hit) > 0, F.col("global_page") - F.get(hit, F.lit(0))["first"]).otherwise(F.greatest(F.lit(0), last["n"] - 1))
-    return joined.select(*pages.columns, spine.cast("int").alias("spine_index"), local.cast("long").alias("local_page"))
+    """(spine_index, local_page) of pages (book_id, global_page): (0, 0) below 1, for a null page or an empty book; past the end the last page."""
+    first = starts(counts).select("book_id", "spine_index", "first_page", "pages")
+    found = _last_before(first, "first_page", ["first_page", "spine_index", "pages"], pages, "global_page")
+    none = ~F.coalesce(F.col("__any"), F.lit(False)) | F.col("global_page").isNull() | (F.col("global_page") < 1)
+    inside = F.col("global_page") < F.col("__s.first_page") + F.col("__s.pages")
+    spine = F.when(none, 0).when(inside, F.col("__s.spine_index")).otherwise(F.col("__end.spine_index"))
+    local = F.when(none, 0).when(inside, F.col("global_page") - F.col("__s.first_page")).otherwise(F.greatest(F.lit(0), F.col("__end.pages") - 1))
+    return found.select(*pages.columns, spine.cast("int").alias("spine_index"), local.cast("long").alias("local_page"))
 
 
 def locations(sections: DataFrame, size: int = LOCATION) -> DataFrame:
@@ -55,10 +66,9 @@ def boundaries(sections: DataFrame, size: int = LOCATION) -> DataFrame:
 
 
 def spine_of_location(bounds: DataFrame, asked: DataFrame) -> DataFrame:
-    """The section with the greatest boundary up to each location (book_id, location)."""
-    listed = bounds.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("boundary", "spine_index"))).alias("__b"))
-    fit = F.filter("__b", lambda x: x["boundary"] <= F.col("location"))
-    return asked.join(listed, "book_id").select("book_id", "location", F.when(F.size(fit) > 0, F.element_at(fit, -1)["spine_index"]).alias("spine_index"))
+    """The section with the greatest boundary up to each location (book_id, location); null before the first. Books without sections have no rows."""
+    found = _last_before(bounds, "boundary", ["boundary", "spine_index"], asked.select("book_id", "location"), "location")
+    return found.where("__any").select("book_id", "location", F.col("__s.spine_index").alias("spine_index"))
 
 
 def visible_block(boxes: DataFrame, top: str = "view_top", bottom: str = "view_bottom") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +18,56 @@ def lexical(blocks: DataFrame, query: str | Column, scope: Column | None = None)
     return found.where((F.length(q) > 0) & F.contains(F.lower("text"), q)).withColumn("match_pos", F.instr(F.lower("text"), q) - 1 if isinstance(query, str) else F.position(q, F.lower("text")) - 1)
 
 
+#: Characters of queries that one automaton holds; more queries are more passes over the blocks.
+QUERY_CHARS = 4_000_000
+
+
 def lexical_many(blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, book_id, chapter_id, ordinal, match_pos) for a stated set of queries (query_id, query), which is small and broadcast."""
-    asked = queries.where(F.length("query") > 0).select("query_id", F.lower("query").alias("q"))
-    # lower-cased once a block, not once a pair
+    """(query_id, book_id, chapter_id, ordinal, match_pos) for a stated set of queries (query_id, query).
+
+    Queries may have a book_id, and with it a chapter_id, that they are limited to, where these are not null. One automaton finds
+    all queries of a block in one pass over its lower-cased text. Null and empty queries find nothing, and so do null texts.
+    """
+    limits = [c for c in ("book_id", "chapter_id") if c in queries.columns]
+    kind = {c: blocks.schema[c].dataType.simpleString() for c in ("book_id", "chapter_id", "ordinal")} | {"query_id": queries.schema["query_id"].dataType.simpleString()}
+    asked = queries.where(F.length("query") > 0).select("query_id", F.lower("query").alias("q"), *limits)
     lower = blocks.select("book_id", "chapter_id", "ordinal", F.lower("text").alias("t"))
-    hits = lower.join(F.broadcast(asked), F.contains("t", F.col("q")))
-    return hits.select("query_id", "book_id", "chapter_id", "ordinal", (F.position("q", "t") - 1).alias("match_pos"))
+    out, held, size = None, [], 0
+    for row in [*asked.toLocalIterator(), None]:
+        if row is not None:
+            held.append(tuple(row))
+            size += len(row[1]) + 50
+        if held and (row is None or size >= QUERY_CHARS):
+            part = _found(lower, held, limits, kind)
+            out, held, size = part if out is None else out.unionByName(part), [], 0
+    return blocks.sparkSession.createDataFrame([], f"query_id {kind['query_id']}, book_id {kind['book_id']}, chapter_id {kind['chapter_id']}, ordinal {kind['ordinal']}, match_pos int") if out is None else out
+
+
+def _found(blocks: DataFrame, queries: list[tuple], limits: list[str], kind: dict[str, str]) -> DataFrame:
+    """The hits of one automaton's queries (id, text, and what they are limited to)."""
+    shared = blocks.sparkSession.sparkContext.broadcast(queries)
+    names = ["query_id", "book_id", "chapter_id", "ordinal", "match_pos"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        by: dict[str, list[tuple]] = {}
+        for i, q, *limit in shared.value:
+            by.setdefault(q, []).append((i, *limit))
+        for q, wanted in by.items():
+            machine.add_word(q, (q, wanted))
+        machine.make_automaton()
+        for frame in frames:
+            rows = []
+            for book, chapter, ordinal, text in frame.itertuples(index=False, name=None):
+                first: dict[str, tuple[int, list]] = {}
+                for end, (q, wanted) in machine.iter(text or ""):
+                    first.setdefault(q, (end - len(q) + 1, wanted))
+                rows += [(i, book, chapter, ordinal, at) for at, wanted in first.values() for i, *limit in wanted if all(x is None or x == y for x, y in zip(limit, (book, chapter), strict=False))]
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    return blocks.mapInPandas(run, ", ".join(f"{c} {kind.get(c, 'int')}" for c in names))
 
 
 def display(hits: DataFrame, most: int = DISPLAY) -> DataFrame:
@@ -67,39 +113,57 @@ def chapter_ids(requests: DataFrame, sections: DataFrame) -> DataFrame:
     return joined.select(*requests.columns, F.when(F.col("chapter_id") == "current", F.col("current_id")).otherwise(F.col("__known")).alias("resolved"))
 
 
+def suffixes(c: Column) -> Column:
+    """All ends of a string, the empty one last: what it ends with is then an equality, and a join needs no broadcast."""
+    return F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(c, i, F.length(c)))
+
+
+def ends_alike(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
+    """Pairs (a, b) of distinct values of which one ends with the other."""
+    x, y = left.select(F.col(a).alias("a")).distinct(), right.select(F.col(b).alias("b")).distinct()
+    longer_a = x.select("a", F.explode(suffixes(F.col("a"))).alias("b")).join(y, "b").select("a", "b")
+    longer_b = y.select("b", F.explode(suffixes(F.col("b"))).alias("a")).join(x, "a").select("a", "b")
+    return longer_a.union(longer_b).distinct().select(F.col("a").alias(a), F.col("b").alias(b))
+
+
 def attach_labels(sections: DataFrame, points: DataFrame) -> DataFrame:
     """The label of the last navigation point (ord, label, src) whose target ends with a section's href or the reverse."""
-    src = F.regexp_replace("src", "#.*$", "")
-    fit = sections.join(F.broadcast(points.select("ord", "label", src.alias("__src"))), F.endswith(F.col("href"), F.col("__src")) | F.endswith(F.col("__src"), F.col("href")), "left")
-    return fit.groupBy("spine_item_id", "href").agg(F.max_by("label", "ord").alias("ncx_label"))
+    targets = points.select("ord", "label", F.regexp_replace("src", "#.*$", "").alias("__src"))
+    labels = ends_alike(sections, "href", targets, "__src").join(targets, "__src").groupBy("href").agg(F.max_by("label", "ord").alias("ncx_label"))
+    return sections.join(labels, "href", "left").groupBy("spine_item_id", "href").agg(F.max("ncx_label").alias("ncx_label"))
 
 
 def resources(requests: DataFrame, files: DataFrame) -> DataFrame:
     """The file of each request (request): exact path, else file name, else suffix; with its rank of fit."""
     name = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
-    fit = F.when(F.col("path") == F.col("request"), 1).when(name(F.col("path")) == name(F.col("request")), 2).when(F.endswith(F.col("path"), F.col("request")) | F.endswith(F.col("request"), F.col("path")), 3)
-    ranked = requests.join(F.broadcast(files), fit.isNotNull(), "left").withColumn("fit", fit)
-    best = F.min(F.when(F.col("fit").isNotNull(), F.struct("fit", "path"))).alias("b")
-    return ranked.groupBy("request").agg(best).select("request", F.col("b.path").alias("path"), F.col("b.fit").alias("fit"))
+    asked, known = requests.select("request").distinct(), files.select("path").distinct()
+    by_name = asked.withColumn("__name", name("request")).join(known.withColumn("__name", name("path")), "__name").select("request", "path", F.when(F.col("path") == F.col("request"), 1).otherwise(2).alias("fit"))
+    fits = by_name.union(ends_alike(asked, "request", known, "path").select("request", "path", F.lit(3)))
+    best = fits.groupBy("request").agg(F.min(F.struct("fit", "path")).alias("b"))
+    return requests.join(best, "request", "left").groupBy("request").agg(F.min("b").alias("b")).select("request", F.col("b.path").alias("path"), F.col("b.fit").alias("fit"))
 
 
 def links(anchors: DataFrame, sections: DataFrame) -> DataFrame:
-    """kind (internal, external, anchor or unknown), spine item and fragment of each link (link)."""
+    """kind (internal, external, anchor or unknown), spine item and fragment of each link (link), one row a link.
+
+    A link finds the item by file name; of items with one file name, the one whose whole path it states, else the smallest.
+    """
     path, fragment = F.regexp_extract("link", "^([^#]*)", 1), F.nullif(F.regexp_extract("link", "#(.*)$", 1), F.lit(""))
     file = F.regexp_extract(path, r"([^/]*)$", 1)
-    by_file = sections.select(F.regexp_extract("href", r"([^/]*)$", 1).alias("__file"), F.col("spine_item_id").alias("__by_file"))
-    parts = anchors.select("link", path.alias("__path"), file.alias("__name"), fragment.alias("fragment"))
-    joined = parts.join(F.broadcast(by_file), (F.col("__name") == F.col("__file")) & (F.col("__name") != ""), "left")
+    items = sections.groupBy(F.regexp_extract("href", r"([^/]*)$", 1).alias("__file")).agg(F.min("spine_item_id").alias("__by_file")).where("__file <> ''")
+    exact = sections.groupBy(F.col("href").alias("__path")).agg(F.min("spine_item_id").alias("__by_path"))
+    parts = anchors.select("link", path.alias("__path"), file.alias("__file"), fragment.alias("fragment"))
+    joined = parts.join(items, "__file", "left").join(exact, "__path", "left").withColumn("__item", F.coalesce("__by_path", "__by_file"))
     external = F.col("link").rlike("^https?://")
-    kind = F.when(external, "external").when(F.col("__path") == "", "anchor").when(F.col("__by_file").isNotNull(), "internal").otherwise("unknown")
-    return joined.select("link", kind.alias("kind"), F.when(~external, F.col("__by_file")).alias("spine_item_id"), "fragment")
+    kind = F.when(external, "external").when(F.col("__path") == "", "anchor").when(F.col("__item").isNotNull(), "internal").otherwise("unknown")
+    return joined.select("link", kind.alias("kind"), F.when(~external & (F.col("__path") != ""), F.col("__item")).alias("spine_item_id"), "fragment")
 
 
 def linked_styles(sections: DataFrame, files: DataFrame) -> DataFrame:
     """(spine_item_id, css): the style sheets that a section (spine_item_id, html, base_path) links, in order, each with a line end; null if none.
 
     A link finds the file (path, css) by its path below base_path, else by the path as it stands, else by its file name; of files with one
-    name, the one with the smallest path. Files are a book's few and broadcast.
+    name, the one with the smallest path.
     """
     name = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
     link = r"""(?i)<link[^>]+href\s*=\s*["']([^"']+\.css)["'][^>]*>"""
@@ -108,6 +172,6 @@ def linked_styles(sections: DataFrame, files: DataFrame) -> DataFrame:
     known = keys.groupBy(F.col("k.key").alias("key")).agg(F.min_by("css", F.struct("k.by", "path")).alias("css"))
     full = F.when(F.col("base_path") == "", F.col("href")).otherwise(F.concat_ws("/", "base_path", "href"))
     tried = hrefs.select("spine_item_id", "at", F.posexplode(F.array(full, F.col("href"), name(F.col("href")))).alias("try", "key"))
-    found = tried.join(F.broadcast(known), "key").groupBy("spine_item_id", "at").agg(F.min_by("css", "try").alias("css"))
+    found = tried.join(known, "key").groupBy("spine_item_id", "at").agg(F.min_by("css", "try").alias("css"))
     joined = found.groupBy("spine_item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "css"))), lambda x: F.concat(x["css"], F.lit("\n"))), "").alias("css"))
     return sections.select("spine_item_id").join(joined, "spine_item_id", "left")

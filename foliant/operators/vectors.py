@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 K = 10
 BLOCK = 2048  # queries searched in one pass
+PASSES = 16  # passes in one plan; what more passes have found is written first
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,10 +36,30 @@ def normalised(v: Column) -> Column:
 
 def centroids(vectors: DataFrame, group: str) -> DataFrame:
     """The unit-length mean of each group's vectors (embedding), element by element: partial sums combine before the shuffle."""
-    each = vectors.select(group, F.posexplode("embedding").alias("i", "x"))
-    mean = each.groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    listed = mean.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
-    return listed.select(group, normalised(F.col("centroid")).alias("centroid"))
+    return centroids_by(vectors, [group])
+
+
+def centroids_by(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and centroid, as centroids() of several columns."""
+    each = vectors.select(*keys, F.posexplode("embedding").alias("i", "x"))
+    mean = each.groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    listed = mean.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+    return listed.select(*keys, normalised(F.col("centroid")).alias("centroid"))
+
+
+def sparse_cosine(vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """(book_id, a, b, similarity): cosines of sparse vectors (book_id, chapter_id, index, value), chapters a that are asked for (book_id, chapter_id) against all others of their book.
+
+    Keys that one of a pair lacks count as zero, so pairs without a common key are left out: their cosine is 0. An equality join on the key.
+    """
+    norms = vectors.groupBy("book_id", "chapter_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    a = vectors.join(asked.select("book_id", "chapter_id").distinct(), ["book_id", "chapter_id"], "left_semi")
+    left = a.select("book_id", F.col("chapter_id").alias("a"), "index", F.col("value").alias("x"))
+    right = vectors.select("book_id", F.col("chapter_id").alias("b"), "index", F.col("value").alias("y"))
+    dots = left.join(right, ["book_id", "index"]).where("a <> b").groupBy("book_id", "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    both = dots.join(norms.select("book_id", F.col("chapter_id").alias("a"), F.col("norm").alias("n1")), ["book_id", "a"]).join(norms.select("book_id", F.col("chapter_id").alias("b"), F.col("norm").alias("n2")), ["book_id", "b"])
+    n = F.col("n1") * F.col("n2")
+    return both.select("book_id", "a", "b", F.when(n > 0, F.round(F.col("dot") / n, 6)).otherwise(0.0).alias("similarity"))
 
 
 def check(chunks: int, vectors: DataFrame) -> None:
@@ -78,26 +99,35 @@ def embed(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]
 def nearest(index: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", scope: str | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k best of index (key, embedding) for each of queries (query_id, embedding), exactly.
 
-    scope names a column of both; a query then sees only rows with its value (filtered before the cut). Queries are
+    scope names a column of both; a query then sees only rows with its value, or with one of its values where the queries' column is a list (filtered before
+    the cut); a null sees all. Queries are
     a stated set, searched in blocks of BLOCK: each is broadcast, each task keeps the k best of its rows with one matrix product a
     batch, and only those are shuffled. Ties go to the smaller key.
     """
     kind = index.schema[key].dataType.simpleString()
     columns = ["query_id", "embedding", *([scope] if scope else [])]
-    out, block = None, []
-    for row in [*queries.select(*columns).toLocalIterator(), None]:
+    out, block, passes = None, [], 0
+    rows = queries.select(*columns).toLocalIterator()
+    while True:
+        row = next(rows, None)
         if row is not None:
             block.append(tuple(row))
         if block and (row is None or len(block) == BLOCK):
-            part = _block(index, block, k, key, kind, scope)
-            out, block = part if out is None else out.unionByName(part), []
+            part = _block(index, block, k, key, kind, scope, queries.schema["query_id"].dataType.simpleString())
+            out, block, passes = part if out is None else out.unionByName(part), [], passes + 1
+            if passes % PASSES == 0:
+                from ..plans.scratch import written
+
+                out = written(out, "nearest")
+        if row is None:
+            break
     if out is None:
         return index.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind}, score double, rank int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _block(index: DataFrame, block: list[tuple], k: int, key: str, kind: str, scope: str | None) -> DataFrame:
+def _block(index: DataFrame, block: list[tuple], k: int, key: str, kind: str, scope: str | None, id_kind: str) -> DataFrame:
     shared = index.sparkSession.sparkContext.broadcast(block)
 
     def unit(m: np.ndarray) -> np.ndarray:
@@ -106,9 +136,9 @@ def _block(index: DataFrame, block: list[tuple], k: int, key: str, kind: str, sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = shared.value
-        ids = np.array([r[0] for r in rows])
+        ids = [r[0] for r in rows]
         q = unit(np.array([r[1] for r in rows], np.float64))
-        scopes = np.array([r[2] for r in rows], object) if scope else None
+        scopes = [None if r[2] is None else set(r[2]) if isinstance(r[2], list) else {r[2]} for r in rows] if scope else []
         best: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
@@ -117,7 +147,9 @@ def _block(index: DataFrame, block: list[tuple], k: int, key: str, kind: str, sc
             v = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             score = np.round(q @ unit(v).T, 6)
             if scope:
-                score[scopes[:, None] != np.array(batch[scope].to_pylist(), object)[None, :]] = -np.inf
+                values, code = np.unique(np.array([repr(x) for x in batch[scope].to_pylist()]), return_inverse=True)
+                seen = np.array([[True] * len(values) if s is None else [v in s for v in values] for s in ({*map(repr, x)} if x is not None else None for x in scopes)])
+                score[~seen[:, code]] = -np.inf
             all_keys = np.broadcast_to(keys, score.shape)
             if best is not None:
                 score, all_keys = np.concatenate([best[0], score], axis=1), np.concatenate([best[1], all_keys], axis=1)
@@ -125,14 +157,22 @@ def _block(index: DataFrame, block: list[tuple], k: int, key: str, kind: str, sc
             best = [np.take_along_axis(score, order, 1), np.take_along_axis(all_keys, order, 1)]
         if best is not None:
             at, hit = np.nonzero(best[0] > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(best[1][at, hit]), pa.array(best[0][at, hit])], names=["query_id", key, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at]), pa.array(best[1][at, hit]), pa.array(best[0][at, hit])], names=["query_id", key, "score"])
 
     # embeddings of a table have one length; nulls cannot be compared
     rows = index.where("embedding is not null").select(key, "embedding", *([scope] if scope else []))
-    return rows.mapInArrow(run, f"query_id long, {key} {kind}, score double")
+    return rows.mapInArrow(run, f"query_id {id_kind}, {key} {kind}, score double")
 
 
-def pairwise(vectors: DataFrame, key: str, value: str) -> DataFrame:
-    """(a, b, similarity) of a small set, such as a book's centroids."""
-    a, b = vectors.select(F.col(key).alias("a"), F.col(value).alias("__x")), vectors.select(F.col(key).alias("b"), F.col(value).alias("__y"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", cosine(F.col("__x"), F.col("__y")).alias("similarity"))
+def pairwise(vectors: DataFrame, key: str, value: str, cells: int = 16) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b of a set, such as a book's centroids: the result is as large as its square.
+
+    Rows fall in `cells` parts; two parts meet at one key, so no side is broadcast and no task has more than two parts.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(cells)).cast("int")
+    own = vectors.select(F.col(key).alias("k"), F.col(value).alias("v"), part.alias("p"))
+    met = own.select("k", "v", "p", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("q"))
+    met = met.select("k", "v", "p", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
+    x, y = met.select(*[F.col(c).alias(f"x{c}") for c in ("k", "v", "p")], "lo", "hi"), met.select(*[F.col(c).alias(f"y{c}") for c in ("k", "v", "p")], "lo", "hi")
+    apart = ((F.col("lo") == F.col("hi")) | (F.col("xp") != F.col("yp"))) & (F.col("xk") < F.col("yk"))
+    return x.join(y, ["lo", "hi"]).where(apart).select(F.col("xk").alias("a"), F.col("yk").alias("b"), cosine(F.col("xv"), F.col("yv")).alias("similarity"))

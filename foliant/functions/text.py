@@ -122,3 +122,13 @@ def event_label(label: Column, people: Column) -> Column:
     many = F.concat(F.lit("Event: "), F.array_join(F.slice(people, 1, 2), ", "), F.lit(" & others"))
     one = F.concat(F.lit("Event: "), F.get(people, F.lit(0)))
     return F.coalesce(label, F.when(n == 2, pair).when(n > 2, many).when(n == 1, one).otherwise("Unknown Event"))
+
+
+def json_argument(arguments: Column, name: str) -> Column:
+    """A tool call's argument as text; null if the arguments are no JSON object or lack it."""
+    return F.when(F.trim(arguments).startswith("{"), F.get_json_object(arguments, f"$.{name}"))
+
+
+def iso_time(value: Column) -> Column:
+    """Seconds since 1970 of an ISO 8601 time with its zone, whole; null for anything else."""
+    return F.when(value.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"), F.unix_seconds(F.try_to_timestamp(value)))

@@ -37,6 +37,11 @@ FIXTURES = {
     "conversations": _values("conv_id, book_title, updated_ts", "('c1', 'Emma', CAST('2024-01-01' AS TIMESTAMP)), ('c2', 'Emma', CAST('2024-02-01' AS TIMESTAMP)), ('c3', 'Walden', CAST('2024-03-01' AS TIMESTAMP)), ('c4', 'Emma', CAST('2024-02-01' AS TIMESTAMP))"),
     "stored_summaries": _values("chapter_id, summary, key_points, characters", "('s1', 'It begins.', 'a;b', 'Ann'), ('s3', 'It ends.', '', NULL)"),
     "stored_synopses": _values("book_id, synopsis, characters, themes", "('b1', 'A match is made.', 'Emma', 'love;pride'), ('b4', 'A day.', NULL, 'time')"),
+    "tool_calls": _values("id, arguments", """(1, '{"query": "the sea", "scope": "full_book", "limit": 5}'), (2, '{"query": null}'), (3, '[1, 2]'), (4, 'no json'), (5, ''), (6, '{"scope": "current_chapter", "query": "a b"}')"""),
+    "times": _values("id, t", "(1, '2024-05-06T07:08:09Z'), (2, '2024-05-06T07:08:09.250Z'), (3, '2024-05-06T09:08:09+02:00'), (4, '2024-05-06'), (5, 'soon'), (6, '2024-02-31T00:00:00Z')"),
+    "encyclopedia": _values("query, status, body", """('sea', 200, '{"title": "Sea", "description": "body of water", "extract": "A sea is large.", "thumbnail": {"source": "t.jpg", "width": 1, "height": 1}, "content_urls": {"desktop": {"page": "http://e.org/Sea"}}}'), ('ship', 200, '{"title": "Ship", "extract": "A ship floats.", "originalimage": {"source": "o.jpg"}}'), ('gone', 404, '{"title": "Not found."}'), ('busy', 503, ''), ('odd', 200, 'no json')"""),
+    "encyclopedia_search": _values("query, status, body", """('sea', 200, '{"query": {"search": [{"pageid": 1, "title": "Sea", "snippet": "the <b>sea</b> is"}, {"pageid": 2, "title": "Sea ice", "snippet": "ice"}]}}'), ('none', 200, '{"query": {"search": []}}'), ('busy', 500, '{}')"""),
+    "place_search": _values("query, status, body", """('bath', 200, '[{"place_id": 1, "lat": "51.38", "lon": "-2.36", "display_name": "Bath, Somerset, UK", "type": "city", "address": {"city": "Bath", "state": "Somerset", "country": "UK"}}, {"place_id": 2, "lat": "x", "lon": "1", "display_name": "Nowhere", "type": "none"}]'), ('51.4,-2.3', 200, '{"place_id": 3, "lat": "51.4", "lon": "-2.3", "display_name": "Hill Farm, UK", "type": "farm"}'), ('busy', 429, '[]')"""),
 }
 
 

@@ -29,7 +29,7 @@ KEYWORDS = _scored(UNI, KEEP.replace("term", "tf.term"), 50)
 VOCAB = "vocab AS (SELECT * FROM (SELECT book_id, term, score, row_number() OVER (PARTITION BY book_id ORDER BY score DESC, term) - 1 AS index FROM (SELECT book_id, term, round(sum(tfidf), 6) AS score FROM kw GROUP BY 1, 2)) WHERE index < 100)"
 BLOCKS = "b AS (SELECT source AS book_id, doc_id AS chapter_id, generate_subscripts(l, 1) - 1 AS ordinal, unnest(l) AS text FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents))"
 COUNTS = "c AS (SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS spine_index, CAST(greatest(1, ceil(n_chars / 500)) AS INT) AS pages, n_chars AS length FROM documents), s AS (SELECT *, coalesce(sum(pages) OVER (PARTITION BY book_id ORDER BY spine_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS first_page FROM c)"
-ASKED = "asked AS (SELECT item_id AS query_id, lower(regexp_extract(text, '^[A-Za-z]+ [a-z]+')) AS q FROM benchmark), hit AS (SELECT query_id, book_id, chapter_id, ordinal, instr(lower(text), q) - 1 AS match_pos FROM b JOIN asked ON length(q) > 0 AND contains(lower(text), q))"
+ASKED = "asked AS (SELECT item_id AS query_id, lower(array_to_string(regexp_split_to_array(regexp_replace(coalesce(text, ''), '^ +| +$', '', 'g'), '\\s+')[1:2], ' ')) AS q FROM benchmark), hit AS (SELECT query_id, book_id, chapter_id, ordinal, instr(lower(text), q) - 1 AS match_pos FROM b JOIN asked ON length(q) > 0 AND contains(lower(text), q))"
 CENTROID = "m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2), unit AS (SELECT label, i, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS x FROM m)"
 
 
@@ -81,7 +81,7 @@ done AS (SELECT book_id, chapter_id, k AS ordinal, s, coalesce(e, c.n) AS e, tx[
 SELECT substr(sha256(book_id || '|' || chapter_id || '|' || ordinal), 1, 16) AS chunk_id, book_id, chapter_id, ordinal, sha256(array_to_string(parts, chr(10))) AS text_sha256,
   greatest(1, length(array_to_string(parts, chr(10))) // 4) AS token_count, e - s AS n_blocks, CAST(st[s + 1] AS BIGINT) AS start_offset, CAST(st[e] + length(tx[e]) AS BIGINT) AS end_offset FROM done""",
     "p9_lexical_search": f"WITH {BLOCKS}, {ASKED} SELECT * FROM hit",
-    "t3_lexical_display": f"WITH {BLOCKS}, {ASKED} SELECT query_id, rank, book_id, chapter_id, ordinal, total, greatest(total - 3, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY book_id, chapter_id, ordinal) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM hit) WHERE rank <= 3",
+    "t3_lexical_display": f"WITH {BLOCKS}, {ASKED} SELECT query_id, rank, book_id, chapter_id, ordinal, total, greatest(total - 10, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY book_id, chapter_id, ordinal) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM hit) WHERE rank <= 10",
     "w4_surrounding": f"WITH {BLOCKS}, {ASKED}, centres AS (SELECT DISTINCT book_id, chapter_id, ordinal AS centre FROM hit) SELECT book_id, chapter_id, centre, ordinal, length(text) AS n_chars FROM centres JOIN b USING (book_id, chapter_id) WHERE abs(ordinal - centre) <= 2",
     "p5_strip_html": f"SELECT page_id, length({_STRIPPED}) AS n_chars, sha256({_STRIPPED}) AS text_sha256 FROM pages",
     "p6_block_types": f"SELECT tag, CASE lower(tag) WHEN 'p' THEN 'paragraph' WHEN 'li' THEN 'listItem' WHEN 'td' THEN 'listItem' WHEN 'blockquote' THEN 'blockquote' WHEN 'pre' THEN 'preformatted' WHEN 'img' THEN 'image' ELSE CASE WHEN regexp_full_match(lower(tag), 'h[1-6]') THEN 'heading' || tag[2] ELSE 'unknown' END END AS type FROM ({FIXTURES['tags']})",
@@ -94,6 +94,30 @@ SELECT substr(sha256(book_id || '|' || chapter_id || '|' || ordinal), 1, 16) AS
 fit AS (SELECT request, path, CASE WHEN path = request THEN 1 WHEN regexp_extract(path, '[^/]*$') = regexp_extract(request, '[^/]*$') THEN 2 WHEN ends_with(path, request) OR ends_with(request, path) THEN 3 END AS fit FROM r, f),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY fit, path) AS n FROM fit WHERE fit IS NOT NULL) WHERE n = 1)
 SELECT r.request, path, fit, CASE lower(regexp_extract(coalesce(path, ''), '[A-Za-z0-9]+$')) WHEN 'jpg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' WHEN 'svg' THEN 'image/svg+xml' ELSE 'application/octet-stream' END AS media_type FROM r LEFT JOIN best USING (request)""",
+    "tool_lexical_search": f"""WITH {BLOCKS}, r AS (SELECT doc_id AS query_id, source, lower(substr(text, 1, 6)) AS q FROM documents WHERE doc_id % 100 = 0),
+hit AS (SELECT query_id, chapter_id, ordinal, text, row_number() OVER w AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM r JOIN b ON book_id = source AND (query_id % 200 = 0 OR chapter_id = query_id) AND length(q) > 0 AND contains(lower(text), q) WINDOW w AS (PARTITION BY query_id ORDER BY chapter_id, ordinal))
+SELECT query_id, rank, chapter_id, 'Chapter ' || chapter_id AS label, ordinal, sha256(text) AS text_sha256, total, greatest(total - 10, 0) AS more FROM hit WHERE rank <= 10""",
+    "tool_surrounding_context": rf"""WITH {BLOCKS}, k AS (SELECT *, substr(sha256(chapter_id || '|' || lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) || '|' || ordinal), 1, 12) AS id FROM b)
+SELECT c.chapter_id AS query_id, k.id AS block_id, k.ordinal, length(k.text) AS n_chars FROM k c JOIN k ON c.book_id = k.book_id AND c.chapter_id = k.chapter_id AND k.ordinal <= 2 WHERE c.ordinal = 0 AND c.chapter_id % 100 = 0 AND (c.chapter_id % 200 = 0 OR c.chapter_id % 300 <> 0)""",
+    "tool_chapter_full_text": "SELECT doc_id AS query_id, CASE WHEN known THEN doc_id END AS chapter_id, CASE WHEN known THEN 'Chapter ' || doc_id END AS label, CASE WHEN known THEN sha256(replace(text, chr(10), chr(10) || chr(10))) END AS text_sha256 FROM (SELECT *, doc_id % 200 = 0 OR doc_id % 300 <> 0 AS known FROM documents WHERE doc_id % 100 = 0)",
+    "tool_semantic_search_scoped": f"SELECT query_id, rank, vec_id, label AS chapter_id, CAST(trunc(score * 100) AS INT) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, v.label, {_cosine('q.embedding', 'v.embedding')} AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 300 = 0 OR q.label = v.label OR (q.vec_id % 300 = 200 AND v.label = 0) WHERE q.vec_id % 100 = 0)) JOIN documents ON doc_id = vec_id WHERE rank <= 10",
+    "s9_vector_index": "SELECT source AS book_id, doc_id AS chunk_id, length(text) AS n_chars, len(embedding) AS dim FROM documents JOIN embeddings ON doc_id = vec_id WHERE source <> 'src1'",
+    "s10_deleted": "SELECT source AS book_id, count(*) AS n FROM documents WHERE source <> 'src1' GROUP BY 1",
+    "u4_sparse_cosine": f"WITH {KEYWORDS}, {VOCAB}, v AS (SELECT book_id, chapter_id, index, tfidf AS x FROM kw JOIN vocab USING (book_id, term)), norms AS (SELECT book_id, chapter_id, sqrt(sum(x * x)) AS n FROM v GROUP BY 1, 2) SELECT p.book_id, p.a, p.b, CASE WHEN a.n * b.n > 0 THEN round(dot / (a.n * b.n), 6) ELSE CAST(0 AS DOUBLE) END AS similarity FROM (SELECT l.book_id, l.chapter_id AS a, r.chapter_id AS b, sum(l.x * r.x) AS dot FROM v l JOIN v r ON l.book_id = r.book_id AND l.index = r.index AND l.chapter_id <> r.chapter_id WHERE l.chapter_id % 100 = 0 GROUP BY 1, 2, 3) p JOIN norms a ON a.book_id = p.book_id AND a.chapter_id = p.a JOIN norms b ON b.book_id = p.book_id AND b.chapter_id = p.b",
+    "n18_guardrails": "WITH e AS (SELECT user_id AS question_id, event_id AS seq, event_id % 13 > 10 AS late, event_id % 3 = 0 AND event_id % 13 <= 10 AS esc FROM events), c AS (SELECT *, NOT late AND NOT (esc AND sum(CAST(esc AS INT)) OVER w > 1) AS ok FROM e WINDOW w AS (PARTITION BY question_id ORDER BY seq)), u AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY question_id ORDER BY seq) AS used FROM c) SELECT question_id, seq, ok AND used <= 8 AS allowed, CASE WHEN late THEN 'round' WHEN NOT ok THEN 'escalation' WHEN used > 8 THEN 'budget' END AS refused FROM u",
+    "json_arguments": f"""SELECT id, CASE WHEN ok THEN json_extract_string(arguments, '$.query') END AS query, CASE WHEN ok THEN json_extract_string(arguments, '$.scope') END AS scope, CASE WHEN ok THEN CAST(json_extract_string(arguments, '$.limit') AS INT) END AS most
+FROM (SELECT id, CASE WHEN json_valid(arguments) THEN arguments ELSE 'null' END AS arguments, json_valid(arguments) AND starts_with(trim(arguments), '{{') AS ok FROM ({FIXTURES['tool_calls']}))""",
+    "iso_times": f"SELECT id, CASE WHEN contains(t, 'T') THEN CAST(floor(epoch(TRY_CAST(replace(t, 'Z', '+00:00') AS TIMESTAMPTZ))) AS BIGINT) END AS seconds FROM ({FIXTURES['times']})",
+    "s12_summaries": f"""WITH r AS (SELECT query, status, CASE WHEN json_valid(body) THEN body END AS j FROM ({FIXTURES['encyclopedia']})),
+o AS (SELECT *, CASE WHEN status = 404 THEN 'not_found' WHEN status NOT BETWEEN 200 AND 299 THEN 'http_error' WHEN j IS NULL OR json_extract_string(j, '$.title') IS NULL OR json_extract_string(j, '$.extract') IS NULL THEN 'invalid' ELSE 'found' END AS outcome FROM r)
+SELECT query, outcome, CASE outcome WHEN 'found' THEN json_extract_string(j, '$.title') END AS title, CASE outcome WHEN 'found' THEN json_extract_string(j, '$.description') END AS description, CASE outcome WHEN 'found' THEN json_extract_string(j, '$.extract') END AS extract,
+CASE outcome WHEN 'found' THEN coalesce(json_extract_string(j, '$.thumbnail.source'), json_extract_string(j, '$.originalimage.source')) END AS image, CASE outcome WHEN 'found' THEN json_extract_string(j, '$.content_urls.desktop.page') END AS page FROM o""",
+    "s12_search": f"""SELECT query, CAST(rank AS INT) AS rank, json_extract_string(hit, '$.title') AS title, regexp_replace(json_extract_string(hit, '$.snippet'), '<[^>]+>', '', 'g') AS snippet
+FROM (SELECT query, generate_subscripts(hits, 1) AS rank, unnest(hits) AS hit FROM (SELECT query, json_extract(body, '$.query.search[*]') AS hits FROM ({FIXTURES['encyclopedia_search']}) WHERE status BETWEEN 200 AND 299))""",
+    "s12_places": f"""WITH p AS (SELECT query, generate_subscripts(ps, 1) AS rank, unnest(ps) AS p FROM (SELECT query, CASE WHEN starts_with(ltrim(body), '[') THEN json_extract(body, '$[*]') ELSE [CAST(body AS JSON)] END AS ps FROM ({FIXTURES['place_search']}) WHERE status BETWEEN 200 AND 299))
+SELECT query, CAST(rank AS INT) AS rank, TRY_CAST(json_extract_string(p, '$.lat') AS DOUBLE) AS lat, TRY_CAST(json_extract_string(p, '$.lon') AS DOUBLE) AS lon, coalesce(json_extract_string(p, '$.name'), string_split(json_extract_string(p, '$.display_name'), ',')[1]) AS name,
+coalesce(nullif(concat_ws(', ', json_extract_string(p, '$.address.road'), coalesce(json_extract_string(p, '$.address.city'), json_extract_string(p, '$.address.town'), json_extract_string(p, '$.address.village')), json_extract_string(p, '$.address.state'), json_extract_string(p, '$.address.country')), ''), json_extract_string(p, '$.display_name')) AS address
+FROM p WHERE TRY_CAST(json_extract_string(p, '$.lat') AS DOUBLE) IS NOT NULL AND TRY_CAST(json_extract_string(p, '$.lon') AS DOUBLE) IS NOT NULL""",
     "j12_links": f"""WITH a AS (SELECT link, split_part(link, '#', 1) AS path, nullif(regexp_extract(link, '#(.*)$', 1), '') AS fragment FROM ({FIXTURES['anchors']})), m AS ({FIXTURES['manifest']})
 SELECT link, CASE WHEN regexp_matches(link, '^https?://') THEN 'external' WHEN path = '' THEN 'anchor' WHEN id IS NOT NULL THEN 'internal' ELSE 'unknown' END AS kind, CASE WHEN NOT regexp_matches(link, '^https?://') THEN id END AS spine_item_id, fragment
 FROM a LEFT JOIN m ON regexp_extract(path, '[^/]*$') = regexp_extract(href, '[^/]*$') AND path <> ''""",
@@ -130,7 +154,7 @@ x AS (SELECT *, greatest(0, total_pages - 1) AS last FROM g)
 SELECT CAST(start_page AS INT) AS start_page, CAST(current_page AS INT) AS current_page, CAST(total_pages AS INT) AS total_pages, CAST(velocity AS DOUBLE) AS velocity, CAST(spine_index AS INT) AS spine_index, CAST(total_spines AS INT) AS total_spines,
  CASE WHEN velocity > 0.5 AND start_page >= last THEN CASE WHEN spine_index + 1 < total_spines THEN 'transition_forward' ELSE 'bounce' END WHEN velocity < -0.5 AND start_page <= 0 THEN CASE WHEN spine_index > 0 THEN 'transition_backward' ELSE 'bounce' END ELSE 'snap' END AS action,
  CAST(CASE WHEN velocity > 0.5 THEN CASE WHEN start_page < last THEN least(start_page + 1, last) END WHEN velocity < -0.5 THEN CASE WHEN start_page > 0 THEN start_page - 1 END ELSE greatest(0, least(current_page, last)) END AS INT) AS page FROM x""",
-    "scrubber": f"WITH {COUNTS}, t AS (SELECT book_id, sum(pages) AS total FROM c GROUP BY 1) SELECT book_id, CAST(page AS INT) AS page, round((page - 1) / greatest(1, total - 1), 6) AS value, CAST(page AS INT) AS back FROM t, unnest(range(1, CAST(least(total, 40) AS INT) + 1)) AS r(page)",
+    "scrubber": f"WITH {COUNTS}, t AS (SELECT book_id, sum(pages) AS total FROM c GROUP BY 1) SELECT book_id, CAST(page AS INT) AS page, round((page - 1) / greatest(1, total - 1), 6) AS value, CAST(page AS INT) AS back FROM t, unnest(range(1, CAST(total AS INT) + 1)) AS r(page)",
     "formatting": "SELECT p_partkey, CASE WHEN floor(p_retailprice / 100) / 10 < 1 THEN printf('$%.2f', floor(p_retailprice / 100) / 10) ELSE printf('$%.0f', floor(p_retailprice / 100) / 10) END AS price, CASE WHEN p_partkey * 12500 < 1000000 THEN (p_partkey * 12500 // 1000) || 'K' WHEN p_partkey * 12500 % 1000000 = 0 THEN (p_partkey * 12500 // 1000000) || 'M' ELSE format('{:.1f}M', round(p_partkey / 80.0, 1)) END AS context, least(greatest(p_size / 10, 1.0), 2.2) AS font, CASE WHEN length(p_name) > 8 THEN left(p_name, 8) || '...' ELSE p_name END AS preview FROM part",
     "headers_to_bold": rf"SELECT id, regexp_replace(text, '(?m)^(#{{1,6}})\s+(.+)$', '**\2**', 'g') AS text FROM ({FIXTURES['markdown']})",
     "short_address": f"SELECT id, coalesce(nullif(concat_ws(', ', road, coalesce(city, town, village), state, country), ''), name) AS address FROM ({FIXTURES['places']})",
@@ -154,7 +178,7 @@ SELECT s.spine_item_id, (SELECT string_agg(css || chr(10), '' ORDER BY place) FR
     "page_arithmetic": r"SELECT doc_id, greatest(1, CAST(ceil(n_chars / 640.0) AS INT)) AS pages, CAST(greatest(0, least(round(n_chars / 3.0 / 640), greatest(1, ceil(n_chars / 640.0)) - 1)) AS INT) AS page, sha256(array_to_string(regexp_split_to_array(regexp_replace(text, '^ +| +$', '', 'g'), '\s+')[1:5], ' ')) AS head_sha256 FROM documents",
     "s10_store": "SELECT source AS book_id, CASE source WHEN 'src1' THEN -count(*) ELSE count(*) END AS n FROM documents GROUP BY 1",
     "v1_index_shape": "SELECT count(*) AS n, min(len(embedding)) AS least, max(len(embedding)) AS most, min(len(embedding)) = max(len(embedding)) AS valid FROM embeddings",
-    "tool_current_position": f"WITH {BLOCKS}, s AS (SELECT book_id, chapter_id, count(*) AS n_blocks FROM b GROUP BY 1, 2), p AS (SELECT source || '-' || doc_id AS reader_id, source AS book_id, doc_id AS chapter_id, CASE WHEN doc_id % 5 > 0 THEN n_chars % 3 END AS o FROM documents) SELECT reader_id, book_id, chapter_id, 'Chapter ' || chapter_id AS label, CAST(CASE WHEN o < n_blocks THEN o + 1 END AS INT) AS block, n_blocks, CAST(CASE WHEN o < n_blocks THEN round((o + 1) / n_blocks * 100) END AS INT) AS percent FROM p JOIN s USING (book_id, chapter_id)",
+    "tool_current_position": f"WITH {BLOCKS}, s AS (SELECT book_id, chapter_id, count(*) AS n_blocks FROM b GROUP BY 1, 2), p AS (SELECT source || '-' || doc_id AS person_id, source AS book_id, doc_id AS chapter_id, CASE WHEN doc_id % 5 > 0 THEN n_chars % 3 END AS o FROM documents) SELECT person_id, book_id, chapter_id, 'Chapter ' || chapter_id AS label, CAST(CASE WHEN o < n_blocks THEN o + 1 END AS INT) AS block, n_blocks, CAST(CASE WHEN o < n_blocks THEN round((o + 1) / n_blocks * 100) END AS INT) AS percent FROM p JOIN s USING (book_id, chapter_id)",
     "tool_book_structure": f"WITH {BLOCKS} SELECT book_id, chapter_id, 'Chapter ' || chapter_id AS label, count(*) AS n_blocks, chapter_id = min(chapter_id) OVER (PARTITION BY book_id) AS current FROM b GROUP BY 1, 2",
     "tool_semantic_search": f"SELECT query_id, rank, vec_id, label AS chapter_id, CAST(trunc(score * 100) AS INT) AS similarity, sha256(left(text, 300)) AS snippet_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, v.label, {_cosine('q.embedding', 'v.embedding')} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) JOIN documents ON doc_id = vec_id WHERE rank <= 10",
     "tool_chapter_summary": f"SELECT r.chapter_id, current_id, CASE WHEN r.chapter_id = 'current' THEN current_id ELSE spine_item_id END AS resolved, summary, key_points, characters FROM ({FIXTURES['chapter_requests']}) r LEFT JOIN ({FIXTURES['sections']}) s ON r.chapter_id = spine_item_id LEFT JOIN ({FIXTURES['stored_summaries']}) t ON t.chapter_id = CASE WHEN r.chapter_id = 'current' THEN current_id ELSE spine_item_id END",
@@ -168,7 +192,7 @@ INTEGERS = {
     "a12_full_text": "n_chars", "w11_position_percent": "ordinal", "n1_chunks": "token_count n_blocks start_offset end_offset", "p9_lexical_search": "ordinal match_pos",
     "t3_lexical_display": "rank ordinal", "w4_surrounding": "centre ordinal n_chars", "p5_strip_html": "n_chars", "t1_library_order": "place", "w6_global_page": "spine_index",
     "w7_starting_page": "spine_index", "locations": "spine_index i char_offset", "w10_boundaries": "spine_index n", "w10_spine_of_location": "location spine_index",
-    "cfi_generate": "spine_index", "v2_nearest": "rank", "v2_nearest_scoped": "rank", "a7_centroids": "i", "p12_body": "n_chars", "v1_index_shape": "least most", "tool_semantic_search": "rank",
+    "cfi_generate": "spine_index", "v2_nearest": "rank", "v2_nearest_scoped": "rank", "a7_centroids": "i", "p12_body": "n_chars", "v1_index_shape": "least most", "tool_semantic_search": "rank", "tool_semantic_search_scoped": "rank", "tool_lexical_search": "rank ordinal", "tool_surrounding_context": "ordinal n_chars", "s9_vector_index": "n_chars dim",
 }
 for _name, _columns in INTEGERS.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INT) AS {c}' for c in _columns.split())}) FROM ({SQL[_name]})"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cfi, markup, paging, text
 from ..operators import blocks as block_ops
 from ..operators import chunks, concepts, conversations, entities, positions, router, search, tfidf, themes, tools, vectors
-from ..sources import stores
+from ..sources import captured, stores
 from ..sources.tables import blocks, chapters, table
 from . import index
 from .fixtures import FIXTURES
@@ -96,7 +96,9 @@ def n1_chunks(spark, sf):
 
 
 def _asked(spark, sf):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", "^[A-Za-z]+ [a-z]+", 0).alias("query"))
+    """The first two words of each benchmark item, or its only one."""
+    words = F.array_join(F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), 1, 2), " ")
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("query"))
 
 
 @query
@@ -106,7 +108,7 @@ def p9_lexical_search(spark, sf):
 
 @query
 def t3_lexical_display(spark, sf):
-    return search.display(search.lexical_many(blocks(spark, sf), _asked(spark, sf)), 3).select("query_id", "rank", "book_id", "chapter_id", "ordinal", "total", "more")
+    return search.display(search.lexical_many(blocks(spark, sf), _asked(spark, sf))).select("query_id", "rank", "book_id", "chapter_id", "ordinal", "total", "more")
 
 
 @query
@@ -151,7 +153,7 @@ def p15_visible_block(spark, sf):
 @query
 def j1_spine_manifest(spark, sf):
     spine, manifest = fixture(spark, "spine"), fixture(spark, "manifest")
-    return spine.join(F.broadcast(manifest), spine.idref == manifest.id).select("pos", "idref", "href", "media_type")
+    return spine.join(manifest, spine.idref == manifest.id).select("pos", "idref", "href", "media_type")
 
 
 @query
@@ -191,10 +193,7 @@ def chapter_id_resolution(spark, sf):
 @query
 def t1_library_order(spark, sf):
     books = conversations.library_order(fixture(spark, "library"))
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.desc_nulls_last("last_opened_ts"), F.desc("import_ts"), "book_id")
-    return books.select("book_id", F.row_number().over(w).alias("place"))
+    return conversations.numbered(books.select("book_id")).select("book_id", "place")
 
 
 @query
@@ -319,7 +318,7 @@ def swipe(spark, sf):
 @query
 def scrubber(spark, sf):
     c = _counts(spark, sf).groupBy("book_id").agg(F.sum("pages").alias("total"))
-    pages = c.select("book_id", "total", F.explode(F.sequence(F.lit(1), F.least(F.col("total"), F.lit(40)).cast("int"))).alias("page"))
+    pages = c.select("book_id", "total", F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))).alias("page"))
     v = paging.scrub_value(F.col("page"), F.col("total"))
     return pages.select("book_id", "page", F.round(v, 6).alias("value"), paging.scrub_page(v, F.col("total")).alias("back"))
 
@@ -433,7 +432,7 @@ def n12_themes(spark, sf):
 
 def _hits(spark, sf):
     m = index.concept_map(chapters(spark, sf), blocks(spark, sf))
-    first = m.entities.where("rank <= 3").select(F.concat_ws(":", "book_id", "rank").alias("question_id"), "book_id", F.concat(F.lit("who is "), F.col("text"), F.lit(" here")).alias("question"))
+    first = m.entities.select(F.concat_ws(":", "book_id", "rank").alias("question_id"), "book_id", F.concat(F.lit("who is "), F.col("text"), F.lit(" here")).alias("question"))
     return first, concepts.lookup(first, m.entities, m.themes, m.events)
 
 
@@ -474,7 +473,7 @@ def wordpiece(spark, sf):
 
     letters = [chr(c) for c in range(97, 123)]
     vocabulary = {w: i for i, w in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *("##" + c for c in letters), ".", ",", "the", "##er", "##th"])}
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 2048).alias("text"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     made = encode_texts(docs, vocabulary, 512)
     return made.select("id", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n"))
 
@@ -516,7 +515,7 @@ def p11_conversations_of_book(spark, sf):
 def t4_entity_top(spark, sf):
     found = index.written(entities.mentions(blocks(spark, sf)), "mentions")
     known = entities.candidates(found, entities.variations(found))
-    return entities.salience(known, chapters(spark, sf), tfidf.keywords(chapters(spark, sf)), 10).select("book_id", "entity_id", "rank")
+    return entities.salience(known, chapters(spark, sf), tfidf.keywords(chapters(spark, sf))).select("book_id", "entity_id", "rank")
 
 
 @query
@@ -591,8 +590,8 @@ def _sections(spark, sf):
 @query
 def tool_current_position(spark, sf):
     d = table(spark, sf, "documents")
-    readers = d.select(F.concat_ws("-", "source", "doc_id").alias("reader_id"), F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_id"), F.when(F.col("doc_id") % 5 > 0, F.col("n_chars") % 3).cast("int").alias("ordinal"))
-    return tools.current_position(readers, _sections(spark, sf), blocks(spark, sf))
+    people = d.select(F.concat_ws("-", "source", "doc_id").alias("person_id"), F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_id"), F.when(F.col("doc_id") % 5 > 0, F.col("n_chars") % 3).cast("int").alias("ordinal"))
+    return tools.current_position(people, _sections(spark, sf), blocks(spark, sf))
 
 
 @query
@@ -623,3 +622,112 @@ def j11_gathered_summaries(spark, sf):
 @query
 def tool_book_synopsis(spark, sf):
     return tools.stored_synopses(fixture(spark, "library").withColumn("author", F.lit(None).cast("string")), fixture(spark, "stored_synopses"))
+
+
+def _every_hundredth(spark, sf):
+    """The stated set of requests: every document whose id is divisible by 100."""
+    return table(spark, sf, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("source").alias("book_id"), F.col("doc_id").alias("current_id"), "text")
+
+
+@query
+def tool_lexical_search(spark, sf):
+    scope = F.when(F.col("query_id") % 200 == 0, "full_book").otherwise("current_chapter")
+    asked = _every_hundredth(spark, sf).select("query_id", F.substring("text", 1, 6).alias("query"), scope.alias("scope"), "book_id", F.col("current_id").alias("chapter_id"))
+    return tools.lexical_search(blocks(spark, sf), asked, _sections(spark, sf)).select("query_id", "rank", "chapter_id", "label", "ordinal", F.sha2("text", 256).alias("text_sha256"), "total", "more")
+
+
+@query
+def tool_surrounding_context(spark, sf):
+    own = text.block_id(F.col("chapter_id"), F.col("text"), F.col("ordinal"))
+    known = blocks(spark, sf).withColumn("block_id", own)
+    first = known.where("ordinal = 0 and chapter_id % 100 = 0").select(F.col("chapter_id").alias("query_id"), "book_id", F.col("block_id").alias("current_block_id"))
+    asked = first.select("query_id", "book_id", F.when(F.col("query_id") % 200 == 0, "current").when(F.col("query_id") % 300 == 0, "no block").otherwise(F.col("current_block_id")).alias("block_id"), "current_block_id")
+    return tools.surrounding_context(known, asked, 2).select("query_id", "block_id", "ordinal", F.length("text").alias("n_chars"))
+
+
+@query
+def tool_chapter_full_text(spark, sf):
+    wanted = F.when(F.col("query_id") % 200 == 0, "current").when(F.col("query_id") % 300 == 0, "II").otherwise(F.col("query_id").cast("string"))
+    asked = _every_hundredth(spark, sf).select("query_id", "book_id", wanted.alias("chapter_id"), "current_id")
+    found = tools.chapter_full_text(blocks(spark, sf), asked, _sections(spark, sf))
+    return found.select("query_id", "chapter_id", "label", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def tool_semantic_search_scoped(spark, sf):
+    v = table(spark, sf, "embeddings").withColumnRenamed("label", "chapter_id")
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text").join(v.select("vec_id", "chapter_id"), "vec_id")
+    scope = F.when(F.col("vec_id") % 300 == 0, "full_book").when(F.col("vec_id") % 300 == 100, "current_chapter").otherwise("chapters")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", scope.alias("scope"), F.col("chapter_id").alias("current_id"), F.array(F.col("chapter_id"), F.lit(0)).alias("chapter_ids"))
+    found = tools.semantic_search(v, tools.scoped(asked), texts, scope="chapter_id")
+    return found.select("query_id", "rank", "vec_id", "chapter_id", "similarity")
+
+
+@query
+def s9_vector_index(spark, sf):
+    kept = stores.VectorIndex(spark, index.fresh(spark, "vector-index"))
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    chunks_ = table(spark, sf, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chapter_id"), "text").join(v.select("chunk_id"), "chunk_id")
+    kept.save(chunks_, v.join(chunks_.select("book_id", "chunk_id"), "chunk_id"))
+    kept.delete("src1")
+    return kept.load().select("book_id", "chunk_id", F.length("text").alias("n_chars"), F.size("embedding").alias("dim"))
+
+
+@query
+def s10_deleted(spark, sf):
+    store = stores.Store(spark, index.fresh(spark, "store"))
+    store.save(chapters(spark, sf).groupBy("book_id").agg(F.count("*").alias("n")))
+    store.delete("src1")
+    store.delete("no book")
+    return store.load().select("book_id", "n")
+
+
+@query
+def u4_sparse_cosine(spark, sf):
+    keywords = index.written(tfidf.keywords(chapters(spark, sf)), "keywords")
+    sparse = index.written(tfidf.vectors(keywords, tfidf.vocabulary(keywords)), "vectors")
+    return vectors.sparse_cosine(sparse, chapters(spark, sf).where("chapter_id % 100 = 0").select("book_id", "chapter_id"))
+
+
+@query
+def n18_guardrails(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("question_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 13).cast("int").alias("round"), (F.col("event_id") % 3 == 0).alias("escalates"))
+    return conversations.guarded(e).select("question_id", "seq", "allowed", "refused")
+
+
+@query
+def n14_mixed_themes(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chapter_id"), "embedding").join(chapters(spark, sf).select("book_id", "chapter_id"), "chapter_id")
+    return index.concept_map(chapters(spark, sf), blocks(spark, sf), v).themes
+
+
+@query
+def json_arguments(spark, sf):
+    return fixture(spark, "tool_calls").select("id", *[text.json_argument(F.col("arguments"), n).alias(n) for n in ("query", "scope")], text.json_argument(F.col("arguments"), "limit").cast("int").alias("most"))
+
+
+@query
+def iso_times(spark, sf):
+    return fixture(spark, "times").select("id", text.iso_time(F.col("t")).alias("seconds"))
+
+
+@query
+def s12_summaries(spark, sf):
+    return captured.summaries(fixture(spark, "encyclopedia"))
+
+
+@query
+def s12_search(spark, sf):
+    return captured.search_hits(fixture(spark, "encyclopedia_search"))
+
+
+@query
+def s12_places(spark, sf):
+    return captured.places(fixture(spark, "place_search"))
+
+
+@query
+def s7_images(spark, sf):
+    from ..sources.epub import read_resources
+
+    return read_resources(_archive(spark)).select("path", "resource", "file_name", "media_type", F.octet_length("content").alias("n_bytes"))

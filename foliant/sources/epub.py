@@ -127,6 +127,34 @@ def read_sections(archives: DataFrame, content: bool = True, most: int | None =
     return archives.select("path", "content").mapInPandas(run, SECTIONS)
 
 
+RESOURCES = "path string, resource string, file_name string, media_type string, content binary"
+
+
+def read_resources(archives: DataFrame, kinds: str = "image/") -> DataFrame:
+    """RESOURCES rows of the manifest's items whose media type begins with `kinds`; an item that the archive lacks, and a broken archive, give none.
+
+    resource is the item's path in the archive; file_name is what relative references may name it by.
+    """
+    names = [x.split()[0] for x in RESOURCES.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, data in zip(frame["path"], frame["content"], strict=True):
+                rows = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                        there = set(z.namelist())
+                        root = container_path(z.read("META-INF/container.xml"))
+                        for item, kind in package(z.read(root), posixpath.dirname(root))["manifest"].values():
+                            if kind.startswith(kinds) and item in there:
+                                rows.append((path, item, posixpath.basename(item), kind, z.read(item)))
+                except (EpubError, zipfile.BadZipFile, ET.ParseError, KeyError, TypeError):
+                    rows = []
+                yield pd.DataFrame(rows, columns=names)
+
+    return archives.select("path", "content").mapInPandas(run, RESOURCES)
+
+
 def section_at(archives: DataFrame, index: int) -> DataFrame:
     """The section at a place in the spine of each archive that has one; a negative place has none."""
     found = read_sections(archives, most=index + 1) if index >= 0 else read_sections(archives, content=False, most=0)

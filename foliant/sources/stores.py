@@ -33,7 +33,41 @@ class Store:
     def exists(self, book: str) -> bool:
         return bool(self.load(book).limit(1).count())
 
+    def delete(self, book: str) -> None:
+        """Remove one book's rows, which are a folder of their own; a book that the store lacks is no error."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(self.key, book)
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path.rstrip('/')}/{folder}")
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
 
 def cascade(deleted: DataFrame, *derived: DataFrame, key: str = "book_id") -> list[DataFrame]:
     """Each derived table without the deleted books' rows."""
     return [d.join(deleted.select(key).distinct(), key, "left_anti") for d in derived]
+
+
+class VectorIndex:
+    """Chunks and their vectors, kept by book in two tables below a path."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.chunks, self.vectors = Store(spark, f"{path.rstrip('/')}/chunks"), Store(spark, f"{path.rstrip('/')}/embeddings")
+
+    def save(self, chunks: DataFrame, vectors: DataFrame) -> None:
+        """Replace the books that chunks (book_id, chunk_id, chapter_id, text) has; vectors (book_id, chunk_id, embedding) must be one a chunk, of one length."""
+        off = chunks.select("book_id", "chunk_id", F.lit(True).alias("c")).join(vectors.select("book_id", "chunk_id", F.lit(True).alias("v"), F.size("embedding").alias("n")), ["book_id", "chunk_id"], "full")
+        n, wrong, low, high = off.agg(F.count("*"), F.count_if(F.col("c").isNull() | F.col("v").isNull()), F.min("n"), F.max("n")).first()
+        if wrong or low != high:
+            raise ValueError(f"{wrong} of {n} chunks and vectors have no counterpart; dimensions {low} to {high}")
+        self.chunks.save(chunks)
+        self.vectors.save(vectors)
+
+    def load(self, book: str | None = None) -> DataFrame:
+        """(book_id, chunk_id, chapter_id, text, embedding)"""
+        return self.chunks.load(book).join(self.vectors.load(book), ["book_id", "chunk_id"])
+
+    def exists(self, book: str) -> bool:
+        return self.vectors.exists(book)
+
+    def delete(self, book: str) -> None:
+        self.chunks.delete(book)
+        self.vectors.delete(book)

@@ -255,8 +255,8 @@ def test_tools(spark):
         tools.call("x")
     blocks_ = spark.createDataFrame([("b", 1, i, t) for i, t in enumerate(("one", "two", "two"))], "book_id string, chapter_id long, ordinal int, text string")
     sections = spark.createDataFrame([("b", 1, "I"), ("b", 2, None)], "book_id string, chapter_id long, label string")
-    asked = spark.createDataFrame([("r1", "b", 1, 1), ("r2", "b", 1, 9), ("r3", "b", 1, None), ("r4", "c", 1, 0), ("r5", None, None, None)], "reader_id string, book_id string, chapter_id long, ordinal int")
-    got = {r.reader_id: (r.label, r.block, r.n_blocks, r.percent) for r in tools.call("get_current_position", asked, sections, blocks_).collect()}
+    asked = spark.createDataFrame([("r1", "b", 1, 1), ("r2", "b", 1, 9), ("r3", "b", 1, None), ("r4", "c", 1, 0), ("r5", None, None, None)], "person_id string, book_id string, chapter_id long, ordinal int")
+    got = {r.person_id: (r.label, r.block, r.n_blocks, r.percent) for r in tools.call("get_current_position", asked, sections, blocks_).collect()}
     assert got == {"r1": ("I", 2, 3, 67), "r2": ("I", None, 3, None), "r3": ("I", None, 3, None), "r4": (None,) * 4, "r5": (None,) * 4}
     listed = tools.call("get_book_structure", sections, blocks_, asked.limit(1)).collect()
     assert {(r.chapter_id, r.n_blocks, r.current) for r in listed} == {(1, 3, True), (2, 0, False)}

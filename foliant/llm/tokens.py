@@ -29,7 +29,7 @@ SPACE = BYTES[32]
 class PrefixCounter:
     """Counts for a byte-level vocabulary whose pieces the public pattern `PATTERN` separates."""
 
-    def __init__(self, path: str, limit: int = 112 << 20):
+    def __init__(self, path: str, limit: int = 288 << 20):
         """limit: about how many bytes the memos take."""
         import public_tokenizers
         import regex
@@ -39,10 +39,10 @@ class PrefixCounter:
         self.ids, self.longest = self.v.ids, self.v.longest
         #: What tokens end with, and the token itself where it is one.
         self.ends = {t[i:]: "" for t in self.ids for i in range(1, len(t))} | {t: t for t in self.ids}
-        self.pairs: Memo = Memo(lambda p: self.v.tokens(p[0] + p[1]) == [t for t in p if t], limit // 8, 330)
+        self.pairs: Memo = Memo(lambda p: self.v.tokens(p[0] + p[1]) == [t for t in p if t], limit // 3, 330)
         self.prefixes: dict[str, tuple[int, str]] = {"": (0, "")}
-        self.spaced: Memo = Memo(lambda c: self.count_piece(SPACE + mapped(c)) if c.isalpha() else self.count_chunk(" " + c), limit // 4)
-        self.first: Memo = Memo(self.count_chunk, limit // 8)
+        self.spaced: Memo = Memo(lambda c: self.count_piece(SPACE + mapped(c)) if c.isalpha() else self.count_chunk(" " + c), limit * 7 // 16)
+        self.first: Memo = Memo(self.count_chunk, limit // 16)
 
     def grow(self, piece: str, known: dict[str, tuple[int, str]]) -> tuple[int, str]:
         """Fill in known[prefix] = (count, last token) for each prefix of a piece that lacks it; the piece's own is returned."""

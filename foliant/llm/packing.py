@@ -31,7 +31,7 @@ END = 1
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes, of a vocabulary of words that drops white space."""
 
-    def __init__(self, path: str, limit: int = 96 << 20):
+    def __init__(self, path: str, limit: int = 144 << 20):
         import regex
 
         self.v = Vocabulary(path)

@@ -61,6 +61,8 @@ class WuManber:
         starts = np.flatnonzero(left >= n)
         rows = self.stream[starts[:, None] + np.arange(n)] if n < 3 else np.lib.stride_tricks.sliding_window_view(self.stream, n)[starts]
         h = hashed(rows)
+        #: Hashes of the windows, to tell at once that there is none.
+        self.some = {x for a in range(0, len(rows), 10_000) for x in map(hash, map(tuple, rows[a : a + 10_000].tolist()))}
         del rows
         order = np.argsort(h, kind="stable")
         self.hashes, self.at, self.owner = h[order], starts[order], owner[starts[order]]
@@ -85,7 +87,7 @@ class WuManber:
 
     def search(self, words: list[bytes], ids: dict[bytes, int]) -> Iterator[tuple[int, np.ndarray]]:
         """(start, items) of each occurrence of each window."""
-        n, shift, total, number = self.length, self.shift.get, len(words), ids.get
+        n, shift, total, number, some = self.length, self.shift.get, len(words), ids.get, self.some
         known: dict[tuple[int, ...], np.ndarray] = {}
         end, jump = n, n - 1
         while end <= total:
@@ -102,11 +104,12 @@ class WuManber:
             window = [number(w, -1) for w in words[end - n : end]]
             if window[0] >= 0 and min(window) >= 0:
                 key = tuple(window)
-                found = known.get(key)
-                if found is None:
-                    found = known[key] = self.same(window)
-                if len(found):
-                    yield end - n, found
+                if hash(key) in some:
+                    found = known.get(key)
+                    if found is None:
+                        found = known[key] = self.same(window)
+                    if len(found):
+                        yield end - n, found
             end += 1
 
 

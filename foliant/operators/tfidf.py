@@ -28,10 +28,11 @@ def term_counts(chapters: DataFrame, terms: Column) -> DataFrame:
 
 def scored(counts: DataFrame, chapters: DataFrame, top: int, keep: Column | None = None) -> DataFrame:
     """(book_id, chapter_id, term, tf, df, tfidf, rank): tf x ln(chapters / df) of terms with tf of 2 and more, the best of each chapter."""
+    # words that are left out anyway are not counted, and both branches use the same columns, so that texts are not cut into words twice
+    counts = counts.where(keep) if keep is not None else counts
     size = chapters.groupBy("book_id").agg(F.count_distinct("chapter_id").alias("n"))
-    df = counts.groupBy("book_id", "term").agg(F.count("*").alias("df"))
+    df = counts.groupBy("book_id", "term").agg(F.sum(F.when(F.col("tf") > 0, F.lit(1).cast("long"))).alias("df"))
     rare = counts.where("tf >= 2")
-    rare = rare.where(keep) if keep is not None else rare
     score = rare.join(df, ["book_id", "term"]).join(size, "book_id").withColumn("tfidf", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6))
     rank = F.row_number().over(Window.partitionBy("book_id", "chapter_id").orderBy(F.desc("tfidf"), "term"))
     return score.select("book_id", "chapter_id", "term", "tf", "df", "tfidf", rank.alias("rank")).where(F.col("rank") <= top)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.words import STOPWORDS
+from ..functions.words import COMMON_WORDS, STOPWORDS
 from ..operators.router import BOOK_PATTERNS, OTHER_PATTERNS, QUESTION_WORDS
 from .fixtures import FIXTURES
 
@@ -33,6 +33,24 @@ ASKED = "asked AS (SELECT item_id AS query_id, lower(array_to_string(regexp_spli
 CENTROID = "m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2), unit AS (SELECT label, i, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS x FROM m)"
 
 
+#: Names as in N5: letters beyond ASCII count as letters at a word's edge (here as _), other characters beyond ASCII do not (here as ~).
+MENTIONS = rf"""{BLOCKS},
+plain AS (SELECT book_id, chapter_id, ordinal, regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{{L}}\p{{N}}]', '~', 'g'), '[^\x00-\x7F]', '_', 'g') AS t, text AS whole FROM b),
+cut AS (SELECT book_id, chapter_id, ordinal, whole, generate_subscripts(p, 1) AS i, unnest(p) AS piece FROM (SELECT *, string_split(regexp_replace(t, '(\b[A-Z][a-z]+(?:[\s''-]+[A-Z][a-z]+){{0,3}}\b)', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS p FROM plain)),
+placed AS (SELECT *, CAST(coalesce(sum(length(replace(piece, chr(2), ''))) OVER (PARTITION BY book_id, chapter_id, ordinal ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS pos FROM cut),
+found AS (SELECT book_id, chapter_id, ordinal, split_part(piece, chr(2), 1) AS text, pos, whole, regexp_extract(left(whole, pos), '(\S)\s*$', 1) AS last FROM placed WHERE i > 1),
+m AS (SELECT book_id, chapter_id, ordinal, text, pos AS "offset" FROM found WHERE (contains(text, ' ') OR NOT (pos = 0 OR last IN ('.', '!', '?') OR (last = '' AND left(whole, 1) = chr(10)))) AND lower(text) NOT IN ({', '.join(f"'{w}'" for w in COMMON_WORDS)}))"""
+ENTITIES = """names AS (SELECT DISTINCT book_id, lower(text) AS v FROM m),
+canon AS (SELECT book_id, v, coalesce((SELECT arg_min(w.v, struct_pack(a := -length(w.v), b := w.v)) FROM names w WHERE w.book_id = n.book_id AND w.v <> n.v AND contains(w.v, n.v)), v) AS c FROM names n),
+said AS (SELECT m.book_id, 'entity_' || left(replace(c, ' ', '_'), 50) AS entity_id, CASE WHEN lower(m.text) = c THEN m.text END AS text, chapter_id FROM m JOIN canon ON canon.book_id = m.book_id AND canon.v = lower(m.text)),
+e AS (SELECT book_id, entity_id, min(text) AS text, count(*) AS frequency, list_sort(list(DISTINCT chapter_id)) AS chapter_ids FROM said GROUP BY 1, 2 HAVING count(*) >= 3)"""
+SALIENCE = """size AS (SELECT source AS book_id, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1),
+words AS (SELECT book_id, entity_id, chapter_id, unnest(string_split(lower(text), ' ')) AS term FROM (SELECT book_id, entity_id, text, unnest(chapter_ids) AS chapter_id FROM e)),
+boost AS (SELECT w.book_id, entity_id, sum(tfidf / 10) AS boost FROM words w JOIN kw USING (book_id, chapter_id, term) GROUP BY 1, 2),
+scored AS (SELECT e.*, round((0.4 * least(1.0, frequency / 50) + 0.4 * least(1.0, len(chapter_ids) / greatest(1, n // 3)) + least(0.3, coalesce(boost, 0.0) / greatest(1, len(chapter_ids)))) * CASE WHEN len(chapter_ids) >= 2 THEN 1.0 ELSE 0.5 END, 6) AS salience FROM e JOIN size USING (book_id) LEFT JOIN boost USING (book_id, entity_id)),
+ranked AS (SELECT * FROM (SELECT book_id, entity_id, text, frequency, chapter_ids, salience, CAST(row_number() OVER (PARTITION BY book_id ORDER BY salience DESC, entity_id) AS INT) AS rank FROM scored) WHERE rank <= 500)"""
+
+
 def _patterns(patterns: list[tuple[str, float]]) -> str:
     tests = [f"CASE WHEN regexp_matches(question, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN {w} ELSE 0.0 END" for p, w in patterns]
     return f"CAST(greatest({', '.join(tests)}) AS DOUBLE)"
@@ -61,6 +79,10 @@ SQL = {
     "a2_document_frequency": f"WITH {TOKENS}, {UNI} SELECT book_id, term, count(*) AS df FROM tf GROUP BY 1, 2",
     "n4_vocabulary": f"WITH {KEYWORDS}, {VOCAB} SELECT * FROM vocab",
     "n4_vectors": f"WITH {KEYWORDS}, {VOCAB} SELECT book_id, chapter_id, index, tfidf AS value FROM kw JOIN vocab USING (book_id, term)",
+    "n5_mentions": f'WITH {MENTIONS} SELECT * FROM m',
+    "n6_entities": f"WITH {MENTIONS}, {ENTITIES} SELECT book_id, entity_id, text, frequency, array_to_string(chapter_ids, ',') AS chapter_ids FROM e",
+    "n9_salience": f"WITH {KEYWORDS}, {MENTIONS}, {ENTITIES}, {SALIENCE} SELECT book_id, entity_id, text, frequency, array_to_string(chapter_ids, ',') AS chapter_ids, CAST(salience AS DOUBLE) AS salience, rank FROM ranked",
+    "t4_entity_top": f"WITH {KEYWORDS}, {MENTIONS}, {ENTITIES}, {SALIENCE} SELECT book_id, entity_id, rank FROM ranked",
     "p7_block_ids": rf"WITH {BLOCKS} SELECT book_id, chapter_id, ordinal, substr(sha256(chapter_id || '|' || lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) || '|' || ordinal), 1, 12) AS block_id, greatest(1, length(text) // 4) AS tokens FROM b",
     "w2_block_offsets": f"WITH {BLOCKS} SELECT book_id, chapter_id, ordinal, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY book_id, chapter_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset FROM b",
     "a10_structure": f"WITH {BLOCKS} SELECT book_id, chapter_id, count(*) AS n_blocks, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM b GROUP BY 1, 2",
@@ -188,7 +210,7 @@ SELECT s.spine_item_id, (SELECT string_agg(css || chr(10), '' ORDER BY place) FR
 
 #: Columns that the queries give as 32-bit integers where DuckDB's functions give 64 bits.
 INTEGERS = {
-    "n2_keywords": "rank", "n3_bigrams": "rank", "n4_vocabulary": "index", "n4_vectors": "index", "p7_block_ids": "ordinal tokens", "w2_block_offsets": "ordinal",
+    "n2_keywords": "rank", "n3_bigrams": "rank", "n4_vocabulary": "index", "n4_vectors": "index", "n5_mentions": "ordinal", "p7_block_ids": "ordinal tokens", "w2_block_offsets": "ordinal",
     "a12_full_text": "n_chars", "w11_position_percent": "ordinal", "n1_chunks": "token_count n_blocks start_offset end_offset", "p9_lexical_search": "ordinal match_pos",
     "t3_lexical_display": "rank ordinal", "w4_surrounding": "centre ordinal n_chars", "p5_strip_html": "n_chars", "t1_library_order": "place", "w6_global_page": "spine_index",
     "w7_starting_page": "spine_index", "locations": "spine_index i char_offset", "w10_boundaries": "spine_index n", "w10_spine_of_location": "location spine_index",

@@ -404,7 +404,12 @@ def n5_mentions(spark, sf):
 @query
 def n6_entities(spark, sf):
     found = index.written(entities.mentions(blocks(spark, sf)), "mentions")
-    return entities.candidates(found, entities.variations(found))
+    return entities.candidates(found, entities.variations(found)).withColumn("chapter_ids", _listed("chapter_ids"))
+
+
+def _listed(column):
+    """A list as text, comma-joined."""
+    return F.concat_ws(",", F.transform(column, lambda c: c.cast("string")))
 
 
 @query
@@ -416,7 +421,7 @@ def n8_cooccurrence(spark, sf):
 def n9_salience(spark, sf):
     found = index.written(entities.mentions(blocks(spark, sf)), "mentions")
     known = entities.candidates(found, entities.variations(found))
-    return entities.salience(known, chapters(spark, sf), tfidf.keywords(chapters(spark, sf)))
+    return entities.salience(known, chapters(spark, sf), tfidf.keywords(chapters(spark, sf))).withColumn("chapter_ids", _listed("chapter_ids"))
 
 
 @query

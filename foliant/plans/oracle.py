@@ -44,6 +44,15 @@ ENTITIES = """names AS (SELECT DISTINCT book_id, lower(text) AS v FROM m),
 canon AS (SELECT book_id, v, coalesce((SELECT arg_min(w.v, struct_pack(a := -length(w.v), b := w.v)) FROM names w WHERE w.book_id = n.book_id AND w.v <> n.v AND contains(w.v, n.v)), v) AS c FROM names n),
 said AS (SELECT m.book_id, 'entity_' || left(replace(c, ' ', '_'), 50) AS entity_id, CASE WHEN lower(m.text) = c THEN m.text END AS text, chapter_id FROM m JOIN canon ON canon.book_id = m.book_id AND canon.v = lower(m.text)),
 e AS (SELECT book_id, entity_id, min(text) AS text, count(*) AS frequency, list_sort(list(DISTINCT chapter_id)) AS chapter_ids FROM said GROUP BY 1, 2 HAVING count(*) >= 3)"""
+COOCCURRENCE = """wanted AS (SELECT canon.book_id, v, e.entity_id FROM canon JOIN e ON e.book_id = canon.book_id AND e.entity_id = 'entity_' || left(replace(c, ' ', '_'), 50)),
+parts AS (SELECT book_id, chapter_id, entity_id, v, string_split(t, v) AS p FROM (SELECT source AS book_id, doc_id AS chapter_id, lower(replace(text, chr(10), ' ')) AS t FROM documents) JOIN wanted USING (book_id) WHERE contains(t, v)),
+pieces AS (SELECT book_id, chapter_id, entity_id, v, len(p) AS k, generate_subscripts(p, 1) AS i, unnest(p) AS piece FROM parts),
+occ AS (SELECT book_id, chapter_id, entity_id, pos FROM (SELECT *, sum(length(piece) + length(v)) OVER (PARTITION BY book_id, chapter_id, entity_id, v ORDER BY i) - length(v) AS pos FROM pieces) WHERE i < k),
+co AS (SELECT a.book_id, a.entity_id AS e1, b.entity_id AS e2, count(*) AS n FROM occ a JOIN occ b ON a.book_id = b.book_id AND a.chapter_id = b.chapter_id AND a.entity_id <> b.entity_id AND b.pos BETWEEN a.pos - 500 AND a.pos + 500 GROUP BY 1, 2, 3)"""
+EVENTS = """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id, e1 ORDER BY n DESC, e2) AS r FROM co) WHERE r <= 3 AND n >= 3),
+met AS (SELECT best.book_id, least(e1, e2) || '_' || greatest(e1, e2) AS event_id, CASE WHEN e1 < e2 THEN [x.text, y.text] ELSE [y.text, x.text] END AS who, list_sort(list_intersect(x.chapter_ids, y.chapter_ids)) AS ids FROM best JOIN ranked x ON x.book_id = best.book_id AND x.entity_id = e1 JOIN ranked y ON y.book_id = best.book_id AND y.entity_id = e2),
+ev AS (SELECT book_id, event_id, min(who) AS who, min(ids) AS ids FROM met WHERE len(ids) > 0 GROUP BY 1, 2),
+events_ AS (SELECT *, CAST(row_number() OVER (PARTITION BY book_id ORDER BY len(ids) DESC, event_id) AS INT) AS rank FROM ev)"""
 SALIENCE = """size AS (SELECT source AS book_id, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1),
 words AS (SELECT book_id, entity_id, chapter_id, unnest(string_split(lower(text), ' ')) AS term FROM (SELECT book_id, entity_id, text, unnest(chapter_ids) AS chapter_id FROM e)),
 boost AS (SELECT w.book_id, entity_id, sum(tfidf / 10) AS boost FROM words w JOIN kw USING (book_id, chapter_id, term) GROUP BY 1, 2),
@@ -82,6 +91,8 @@ SQL = {
     "n5_mentions": f'WITH {MENTIONS} SELECT * FROM m',
     "n6_entities": f"WITH {MENTIONS}, {ENTITIES} SELECT book_id, entity_id, text, frequency, array_to_string(chapter_ids, ',') AS chapter_ids FROM e",
     "n9_salience": f"WITH {KEYWORDS}, {MENTIONS}, {ENTITIES}, {SALIENCE} SELECT book_id, entity_id, text, frequency, array_to_string(chapter_ids, ',') AS chapter_ids, CAST(salience AS DOUBLE) AS salience, rank FROM ranked",
+    "n8_cooccurrence": f"WITH {MENTIONS}, {ENTITIES}, {COOCCURRENCE} SELECT * FROM co",
+    "n13_events": f"WITH {KEYWORDS}, {MENTIONS}, {ENTITIES}, {SALIENCE}, {COOCCURRENCE}, {EVENTS} SELECT book_id, event_id, array_to_string(who, ';') AS participants, array_to_string(ids, ',') AS chapter_ids, 'Interaction: ' || array_to_string(who, ' & ') AS label, rank FROM events_ WHERE rank <= 500",
     "t4_entity_top": f"WITH {KEYWORDS}, {MENTIONS}, {ENTITIES}, {SALIENCE} SELECT book_id, entity_id, rank FROM ranked",
     "p7_block_ids": rf"WITH {BLOCKS} SELECT book_id, chapter_id, ordinal, substr(sha256(chapter_id || '|' || lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) || '|' || ordinal), 1, 12) AS block_id, greatest(1, length(text) // 4) AS tokens FROM b",
     "w2_block_offsets": f"WITH {BLOCKS} SELECT book_id, chapter_id, ordinal, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY book_id, chapter_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset FROM b",

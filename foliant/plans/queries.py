@@ -426,7 +426,8 @@ def n9_salience(spark, sf):
 
 @query
 def n13_events(spark, sf):
-    return index.concept_map(chapters(spark, sf), blocks(spark, sf)).events
+    made = index.concept_map(chapters(spark, sf), blocks(spark, sf)).events
+    return made.withColumn("participants", F.array_join("participants", ";")).withColumn("chapter_ids", _listed("chapter_ids"))
 
 
 @query

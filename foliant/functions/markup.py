@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 VOID = ["area", "base", "br", "col", "command", "embed", "hr", "img", "input", "keygen", "link", "meta", "param", "source", "track", "wbr"]
 SCHEME = "epub"
 
+#: Patterns of a body, an empty element and an image.
 _BODY = r"(?is)<body[^>]*>(.*?)</body>"
 _EMPTY = r"(?s)^<([a-zA-Z][a-zA-Z0-9]*)\b([^>]*?)\s*/>(.*)$"
 _IMAGE = r"""(?is)^<img([^>]*)src\s*=\s*["']([^"']+)["']([^>]*)>(.*)$"""

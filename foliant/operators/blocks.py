@@ -21,6 +21,7 @@ IMAGES = [
     re.compile(r"<svg[^>]*>[\s\S]*?<image[^>]*(?:xlink:)?href\s*=\s*[\"']([^\"']+)[\"'][^>]*>[\s\S]*?</svg>", re.I),
     re.compile(r"<img[^>]*src\s*=\s*[\"']([^\"']+)[\"'][^>]*/?\s*>", re.I),
 ]
+#: How images name their files.
 IMAGE_PATHS = [re.compile(r"<img[^>]*src\s*=\s*[\"']([^\"']+)[\"']"), re.compile(r"xlink:href\s*=\s*[\"']([^\"']+)[\"']"), re.compile(r"<image[^>]*href\s*=\s*[\"']([^\"']+)[\"']")]
 
 SCHEMA = "spine_item_id string, ordinal int, block_id string, type string, text string, html string, start int"

@@ -18,6 +18,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,10 @@ from .common import map_batches, with_text
 WORDS = re.compile(r"[^\W\d_]+")
 LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 MARK = "▁"
-SHORT = 6
-SPLIT = 30  # longer words are scored in log space, without the prefix memo
+SPLIT = 30  # longer words are scored in log space, one by one
+TOGETHER = 2_000  # words that are scored together
 LONG = 96  # bytes of a chunk that is remembered: texts in scripts without spaces are one chunk
-PART = 20_000  # chunks of a text that are looked up between two looks at the memory
+PART = 20_000  # chunks that are looked up between two looks at the memory
 
 
 @dataclass
@@ -96,14 +97,18 @@ def fit(labelled: DataFrame, vocabulary: str, per_lang: int = 1500, alpha: float
 
 
 class Scorer:
-    """Log likelihoods of words and texts under a LangModel, with at most about `limit` bytes of memos."""
+    """Log likelihoods of words and texts under a LangModel, with at most about `limit` bytes of memos.
+
+    Words that recur are looked up. The others of many texts are scored together: the pieces in them are found one by one, and
+    the forward algorithm then takes one step for all words that have a piece which ends at a place.
+    """
 
     def __init__(self, model: LangModel, limit: int = 96 << 20):
         self.m, self.n, self.limit = model, len(model.langs), limit
-        #: What pieces end with, and the piece's probabilities where it is one.
-        self.ends = {p[i:]: None for p in model.pieces for i in range(1, len(p))} | model.pieces
-        self.alphas: dict[str, tuple[float, ...]] = {"": (1.0,) * self.n}
-        self.most = max(1_000, limit // 2 // (220 + 32 * self.n))
+        #: Number of each piece, from 1; 0 for what pieces begin with. An unknown character has the probabilities of number 0.
+        self.begins = {p[:i]: 0 for p in model.pieces for i in range(1, len(p))} | {p: k for k, p in enumerate(model.pieces, 1)}
+        self.probs = np.array([model.floor, *model.pieces.values()]).reshape(1 + len(model.pieces), self.n)
+        self.size = len(self.probs)
         self.reset()
 
     def reset(self) -> None:
@@ -111,76 +116,121 @@ class Scorer:
         self.chunks: dict[bytes, int] = {}
         self.held = 0
 
-    def ending(self, text: str, j: int) -> list[tuple[int, tuple[float, ...]]]:
-        """(start, probabilities) of each piece that ends at j; an unknown character is a piece of its own."""
-        found, i, ends = [], j - 1, self.ends
-        while i >= 0 and (tail := text[i:j]) in ends:
-            if p := ends[tail]:
-                found.append((i, p))
-            i -= 1
-        if not found or found[0][0] != j - 1:
-            found.append((j - 1, self.m.floor))
-        return found
-
-    def alpha(self, text: str) -> tuple[float, ...]:
-        """The summed probability of all segmentations, one value a language: the forward algorithm.
-
-        Prefixes are memoised, as words share them.
+    def cuts(self, text: str, base: int, stride: int, out: list[int]) -> None:
+        """Append a number for each piece within a text: base + stride x its end + size x its beginning + its own number.
+
+        A character that is no piece is unknown, and a piece of its own.
         """
-        known, k = self.alphas, len(text)
-        while text[:k] not in known:
-            k -= 1
-        for j in range(k + 1, len(text) + 1):
-            total = None
-            for i, p in self.ending(text, j):
-                before = known[text[:i]]
-                total = [a * b for a, b in zip(before, p)] if total is None else [t + a * b for t, a, b in zip(total, before, p)]  # noqa: B905
-            known[text[:j]] = tuple(total)
-        return known[text]
-
-    def word(self, word: str) -> np.ndarray:
-        """Log likelihood of a lower-cased word, one value a language."""
-        text = MARK + word
-        if len(text) <= SPLIT:
-            return np.log(self.alpha(text))
-        logs = [np.zeros(self.n)]
-        for j in range(1, len(text) + 1):
-            logs.append(np.logaddexp.reduce([logs[i] + np.log(p) for i, p in self.ending(text, j)]))
+        get, size, n = self.begins.get, self.size, len(text)
+        for i in range(n):
+            j = i + 1
+            piece = get(text[i])
+            out.append(base + j * stride + (piece or 0))
+            while piece is not None and j < n:
+                j += 1
+                piece = get(text[i:j])
+                if piece:
+                    out.append(base + j * stride + piece)
+            base += size
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log likelihoods of lower-cased words, a row each: the summed probability of all segmentations."""
+        out = np.empty((len(words), self.n))
+        short = [k for k, w in enumerate(words) if len(w) < SPLIT]
+        for a in range(0, len(short), TOGETHER):
+            part = short[a : a + TOGETHER]
+            out[part] = self.forward([MARK + words[k] for k in part])
+        for k, w in enumerate(words):
+            if len(w) >= SPLIT:
+                out[k] = self.forward_log(MARK + w)
+        return out
+
+    def forward(self, texts: list[str]) -> np.ndarray:
+        """The forward algorithm for texts of at most SPLIT characters, in step: by place, a sum for each text with a piece that ends there."""
+        width, numbers = SPLIT + 1, []
+        stride = len(texts) * width * self.size
+        for k, text in enumerate(texts):
+            self.cuts(text, k * width * self.size, stride, numbers)
+        end, rest = np.divmod(np.sort(np.array(numbers, np.int64)), stride)
+        begin, piece = np.divmod(rest, self.size)
+        of = begin // width
+        sums = np.zeros((len(texts) * width, self.n))
+        sums[::width] = 1
+        edges = np.searchsorted(end, np.arange(1, SPLIT + 2))
+        for j, (a, b) in enumerate(pairwise(edges.tolist()), 1):
+            if a < b:
+                first = np.flatnonzero(np.diff(of[a:b], prepend=-1))
+                sums[of[a:b][first] * width + j] = np.add.reduceat(sums[begin[a:b]] * self.probs[piece[a:b]], first, axis=0)
+        return np.log(sums[np.arange(len(texts)) * width + np.fromiter(map(len, texts), np.int64, len(texts))])
+
+    def forward_log(self, text: str) -> np.ndarray:
+        """The forward algorithm for one text of any length, in log space."""
+        numbers: list[int] = []
+        stride = len(text) * self.size
+        self.cuts(text, 0, stride, numbers)
+        logs, known = np.full((len(text) + 1, self.n), -np.inf), np.log(self.probs)
+        logs[0] = 0
+        for number in sorted(numbers):
+            j, rest = divmod(number, stride)
+            i, piece = divmod(rest, self.size)
+            logs[j] = np.logaddexp(logs[j], logs[i] + known[piece])
         return logs[-1]
 
-    def row(self, chunk: bytes) -> int:
-        """Where the table has a chunk's log likelihoods and letters; a long chunk's row is not found again."""
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        row, text = self.table[self.used], chunk.decode("utf-8", "surrogatepass")
-        for w in (text,) if text.isalpha() else WORDS.findall(text):
-            row[:-1] += self.word(w)
-            row[-1] += len(w)
-            if len(self.alphas) > self.most:
-                # short prefixes are in use throughout
-                self.alphas = {k: v for k, v in self.alphas.items() if len(k) <= SHORT}
-                if len(self.alphas) > self.most // 2:
-                    self.alphas = {"": (1.0,) * self.n}
-        if len(chunk) <= LONG:
-            self.chunks[chunk] = self.used
-            self.held += 140 + len(chunk) + 8 * (self.n + 1)
-        self.used += 1
-        return self.used - 1
-
-    def text(self, text: str | None) -> tuple[str, float]:
-        """The predicted language and its posterior under equal priors; `und` and 0 without letters."""
-        if not text or not self.n:
-            return "und", 0.0
-        # ASCII other than letters separates words; what else does is left to WORDS
-        chunks = text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split()
-        total, known = np.zeros(self.n + 1), self.chunks
-        for a in range(0, len(chunks), PART):
-            part = chunks[a : a + PART]
-            rows = np.fromiter((i if (i := known.get(c)) is not None else self.row(c) for c in part), np.int64, len(part))
-            total += self.table[rows].sum(axis=0)
-            if self.held > self.limit // 2 or self.used > self.limit // 8 // (8 * (self.n + 1)):
+    def rows(self, chunks: list[bytes]) -> np.ndarray:
+        """Where the table has the chunks' log likelihoods and letters; a long chunk's row is not found again."""
+        rows = np.fromiter(map(self.chunks.get, chunks, repeat(-1)), np.int64, len(chunks))
+        lack = np.flatnonzero(rows < 0)
+        if not len(lack):
+            return rows
+        new: dict[bytes, int] = {}
+        rows[lack] = [self.used + new.setdefault(chunks[k], len(new)) for k in lack.tolist()]
+        words, of = [], []
+        for k, chunk in enumerate(new):
+            text = chunk.decode("utf-8", "surrogatepass")
+            found = (text,) if text.isalpha() else WORDS.findall(text)
+            words += found
+            of += [k] * len(found)
+        block = np.zeros((len(new), self.n + 1))
+        if words:
+            np.add.at(block, of, np.column_stack([self.words(words), np.fromiter(map(len, words), np.int64, len(words))]))
+        if self.used + len(new) > len(self.table):
+            self.table = np.concatenate([self.table[: self.used], np.zeros((self.used + 2 * len(new), self.n + 1))])
+        self.table[self.used : self.used + len(new)] = block
+        short = {c: self.used + k for c, k in new.items() if len(c) <= LONG}
+        self.chunks |= short
+        self.held += sum(map(len, short)) + len(short) * (140 + 8 * (self.n + 1))
+        self.used += len(new)
+        return rows
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Each text's predicted language and its posterior under equal priors; `und` and 0 without letters.
+
+        Texts are looked up together, about PART chunks at a time; a text's sum has the same parts whatever its neighbours.
+        """
+        totals = np.zeros((len(texts), self.n + 1))
+        part, of, first = [], [], []
+
+        def look_up() -> None:
+            if part:
+                rows = self.rows(part)
+                totals[of] += np.add.reduceat(self.table[rows], first, axis=0)
+            part.clear(), of.clear(), first.clear()
+            if self.held > self.limit * 5 // 8 or self.used > self.limit // 6 // (8 * (self.n + 1)):
                 self.reset()
-                known = self.chunks
+
+        for k, text in enumerate(texts if self.n else ()):
+            # ASCII other than letters separates words; what else does is left to WORDS
+            chunks = text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split() if text else []
+            for a in range(0, len(chunks), PART):
+                of.append(k)
+                first.append(len(part))
+                part += chunks[a : a + PART]
+                if len(part) >= PART:
+                    look_up()
+        look_up()
+        return [self.decide(total) for total in totals]
+
+    def decide(self, total: np.ndarray) -> tuple[str, float]:
         if not total[-1]:
             return "und", 0.0
         logs = total[:-1]
@@ -203,7 +253,7 @@ def identify(docs: DataFrame, model: LangModel, keep: tuple[str, ...] = ("doc_id
         scorer = Scorer(shared.value)
 
         def step(batch: pa.RecordBatch) -> dict:
-            found = [scorer.text(x.as_py()) for x in batch[text]]
+            found = scorer.texts(batch[text].to_pylist())
             return {c: batch[c] for c in keep} | {"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
 
         return step

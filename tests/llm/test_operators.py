@@ -50,16 +50,26 @@ def all_segmentations(text, m):
 def test_forward_sums_all_segmentations():
     m = tiny_model()
     s = langid.Scorer(m)
-    for w in ("a", "ab", "abb", "babba", "aczb"):
-        assert np.allclose(s.word(w), np.log(all_segmentations("▁" + w, m)))
-    long = "ab" * 40  # in log space
-    assert np.all(np.isfinite(s.word(long)))
-    short = langid.Scorer(m)
-    langid_split, langid.SPLIT = langid.SPLIT, 0
-    try:
-        assert np.allclose(short.word("babba"), s.word("babba"))
-    finally:
-        langid.SPLIT = langid_split
+    some = ["a", "ab", "abb", "babba", "aczb", "z", "ab" * 40, "b" * 29, "b" * 30]
+    got = s.words(some)
+    for w, logs in zip(some[:6], got, strict=False):
+        assert np.allclose(logs, np.log(all_segmentations("▁" + w, m)))
+    assert np.all(np.isfinite(got))  # the long ones in log space
+    for w, logs in zip(some, got, strict=True):
+        assert np.allclose(s.forward_log("▁" + w), logs) and np.array_equal(s.words([w])[0], logs)
+    assert s.words([]).shape == (0, 2)
+
+
+def test_texts_together_and_alone():
+    m, rng = tiny_model(), random.Random(5)
+    some = ["".join(rng.choices("abz 1漢", k=rng.choice([0, 1, 40, 2000]))) for _ in range(60)] + [None, "", "ab " * 25_000, "ab", "1 2", "“ab”—ba"]
+    together = langid.Scorer(m).texts(some)
+    s = langid.Scorer(m)
+    assert together == [s.texts([t])[0] for t in some]
+    for text, (lang, score) in zip(some[:60], together, strict=False):
+        logs = sum((s.forward_log("▁" + w) for w in langid.WORDS.findall(text)), np.zeros(2))
+        p = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        assert lang == (m.langs[int(np.argmax(p))] if langid.WORDS.search(text) else "und") and abs(score - (p.max() if lang != "und" else 0)) < 1e-5
 
 
 def test_memos_stay_within_their_bytes():
@@ -69,7 +79,7 @@ def test_memos_stay_within_their_bytes():
     small, whole = langid.Scorer(m, 40_000), langid.Scorer(m)
     rng = random.Random(14)
     some = ["".join(rng.choices("ab ", k=3000)) for _ in range(30)] + ["漢字" * 5000] * 2
-    assert [small.text(t) for t in some] == [whole.text(t) for t in some]
+    assert [small.texts([t]) for t in some] == [whole.texts([t]) for t in some]
     assert len(small.chunks) * 150 < 60_000 and not any(len(c) > langid.LONG for c in whole.chunks)
     memo = Memo(len, 10_000)
     assert [memo[str(i)] for i in range(5000)] == [len(str(i)) for i in range(5000)] and memo["x" * 100] == 100

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, media, packing, secrets, simhash, tokens, urlfilter, warc
+from . import decontaminate, exact, html, langid, media, negatives, packing, secrets, simhash, tokens, turns, urlfilter, warc
 from .common import rows_of
 
 
@@ -131,10 +131,47 @@ def op10_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     return packing.pack(rows_of(spark, sf_dir, "documents", "doc_id", "text"), path or vocabulary("word_bpe_49k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows_of(spark, sf_dir, "embeddings", F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(rows_of(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP12_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damage(rows_of(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_language_id, op2_url_filter, op3_warc, op4_secrets, op5_simhash, op6_decontamination, op7_media, op8_html_extraction, op9_token_counts, op10_packing]
+    ops = [op1_language_id, op2_url_filter, op3_warc, op4_secrets, op5_simhash, op6_decontamination, op7_media, op8_html_extraction, op9_token_counts, op10_packing, op11_hard_negatives, op12_exact_dedup, op13_turns]
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL, "op6_decontamination": OP6_SQL}
+    return {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL, "op6_decontamination": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op12_exact_dedup": OP12_SQL}

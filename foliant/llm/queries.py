@@ -168,10 +168,63 @@ def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(turns.damage(rows_of(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
 
 
+#: The programme of op13 backwards in a recursion: of each state the cheapest {cost, audit, lines}, compared in that order.
+_OPTION = "{{'c': {cost}, 'a': '{op}' || {of}.a, 'r': {line} || {of}.r}}"
+_NEXT = {0: 2, 1: 2, 2: 3, 3: 2}
+
+
+def _state(q: int) -> str:
+    role = {2: "user", 3: "assistant"}[_NEXT[q]]
+    keep = {0: "CASE code WHEN 'u' THEN b2 WHEN 's' THEN b1 END", 2: "CASE code WHEN 'a' THEN b3 END"}.get(q, "CASE code WHEN 'u' THEN b2 END")
+    stay = "CASE fault WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE 1000000000 END"
+    kept = _OPTION.format(cost=f"({keep}).c + {stay}", op="K", of=f"({keep})", line="chr(10) || role || ':' || text")
+    kept = f"CASE WHEN ({keep}) IS NULL THEN {{'c': 1000000000, 'a': '', 'r': ''}} ELSE {kept} END"
+    rerole = _OPTION.format(cost=f"b{_NEXT[q]}.c + 1 + {stay}", op="R", of=f"b{_NEXT[q]}", line=f"chr(10) || '{role}:' || text")
+    return f"list_min([{_OPTION.format(cost=f'b{q}.c + 2', op='D', of=f'b{q}', line="''")}, {kept}, {rerole}]) AS n{q}"
+
+
+def _inserted(q: int) -> str:
+    one, two = _NEXT[q], _NEXT[_NEXT[q]]
+    line = {2: "chr(10) || 'user:'", 3: "chr(10) || 'assistant:'"}
+    return f"list_min([n{q}, {_OPTION.format(cost=f'n{one}.c + 5', op='I', of=f'n{one}', line=line[one])}, {_OPTION.format(cost=f'n{two}.c + 10', op='II', of=f'n{two}', line=f'{line[one]} || {line[two]}')}]) AS b{q}"
+
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_BITS = "flatten(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: list_transform(range(8), lambda i: (ord(c) >> i) & 1)))"
+OP13_SQL = f"""
+WITH RECURSIVE cases AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, {_BITS}), lambda acc, b: xor(acc >> 1, 3988292384 * (xor(acc, b) & 1))), 4294967295) % 20 AS k
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM cases, unnest(CASE k WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS u(copy)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS t, left(role, 1) AS code, rtrim(text, {_WHITE}) AS body FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY t) > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lead(code) OVER (PARTITION BY conv_id ORDER BY t) AS following
+  FROM placed),
+told AS (
+  SELECT conv_id, max(t) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+    count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (code || following NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+least AS (
+  SELECT conv_id, n AS t, {", ".join(map(_inserted, range(4)))}
+  FROM (SELECT conv_id, n, {", ".join(f"{{'c': {0 if q in (0, 3) else 1000000000}, 'a': '', 'r': ''}} AS n{q}" for q in range(4))} FROM told)
+  UNION ALL
+  SELECT conv_id, t, {", ".join(map(_inserted, range(4)))}
+  FROM (SELECT l.conv_id, l.t - 1 AS t, {", ".join(map(_state, range(4)))} FROM least l JOIN judged j ON j.conv_id IS NOT DISTINCT FROM l.conv_id AND j.t = l.t))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(b0.c, 0) AS BIGINT) AS cost, coalesce(b0.a, '') AS audit, sha256(coalesce(substr(b0.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN least ON least.conv_id IS NOT DISTINCT FROM c.conv_id AND least.t = 0
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [op1_language_id, op2_url_filter, op3_warc, op4_secrets, op5_simhash, op6_decontamination, op7_media, op8_html_extraction, op9_token_counts, op10_packing, op11_hard_negatives, op12_exact_dedup, op13_turns]
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL, "op6_decontamination": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op12_exact_dedup": OP12_SQL}
+    return {"op2_url_filter": OP2_SQL, "op3_warc": OP3_SQL, "op6_decontamination": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_turns": OP13_SQL}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cfi, markup, paging, text
 from ..operators import blocks as block_ops
 from ..operators import chunks, concepts, conversations, entities, positions, router, search, tfidf, themes, tools, vectors
-from ..sources import captured, stores
+from ..sources import captured, cells, stores
 from ..sources.tables import blocks, chapters, table
 from . import index
 from .fixtures import FIXTURES
@@ -373,6 +373,33 @@ def v2_nearest(spark, sf):
     return vectors.nearest(v.select("vec_id", "embedding"), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
 
 
+def _indexed(spark, sf):
+    """A new cell index of all embeddings, and the stated queries: ids divisible by 100."""
+    v = table(spark, sf, "embeddings")
+    return cells.CellIndex.build(v, index.fresh(spark, "cells"), scopes=("label",)), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+
+
+@query
+def v2_index_exact(spark, sf):
+    made, asked = _indexed(spark, sf)
+    return made.search(asked, exact=True)
+
+
+@query
+def v2_index_scoped(spark, sf):
+    made, asked = _indexed(spark, sf)
+    return made.search(asked, 5, scope="label", exact=True)
+
+
+@query
+def v2_index_recall(spark, sf):
+    """Of each query, how many of its ten nearest rows the index finds, whether it finds the row itself first, and the part of the table that it looks at."""
+    made, asked = _indexed(spark, sf)
+    true = vectors.nearest(table(spark, sf, "embeddings"), asked).select("query_id", "vec_id", F.lit(1).alias("true"))
+    hits = made.search(asked).join(true, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("true").alias("found"), F.max((F.col("rank") == 1) & (F.col("vec_id") == F.col("query_id"))).alias("itself"))
+    return hits.join(made.share(asked), "query_id")
+
+
 @query
 def v2_nearest_scoped(spark, sf):
     v = table(spark, sf, "embeddings")

@@ -192,6 +192,13 @@ SELECT CAST(start_page AS INT) AS start_page, CAST(current_page AS INT) AS curre
     "headers_to_bold": rf"SELECT id, regexp_replace(text, '(?m)^(#{{1,6}})\s+(.+)$', '**\2**', 'g') AS text FROM ({FIXTURES['markdown']})",
     "short_address": f"SELECT id, coalesce(nullif(concat_ws(', ', road, coalesce(city, town, village), state, country), ''), name) AS address FROM ({FIXTURES['places']})",
     "selection_context": "SELECT doc_id, sha256(CASE WHEN instr(text, s) > 0 THEN substring(text, greatest(1, instr(text, s) - 60), instr(text, s) + length(s) + 60 - greatest(1, instr(text, s) - 60)) ELSE s END) AS context_sha256 FROM (SELECT *, substring(text, 40, 12) AS s FROM documents)",
+    "n10_similar_pairs": f"""WITH {KEYWORDS}, {VOCAB}, v AS (SELECT book_id, chapter_id, index, tfidf AS x FROM kw JOIN vocab USING (book_id, term) WHERE tfidf <> 0),
+u AS (SELECT book_id, chapter_id, index, round(x / sqrt(sum(x * x) OVER (PARTITION BY book_id, chapter_id)), 12) AS x FROM v),
+k AS (SELECT book_id, chapter_id, string_agg(index || ':' || x, ',' ORDER BY index) AS k FROM u GROUP BY 1, 2),
+c AS (SELECT book_id, chapter_id, min(chapter_id) OVER same AS class_id, count(*) OVER same AS n FROM k WINDOW same AS (PARTITION BY book_id, k)),
+r AS (SELECT u.*, n FROM u JOIN c USING (book_id, chapter_id) WHERE chapter_id = class_id)
+SELECT l.book_id, l.chapter_id AS a, r.chapter_id AS b, round(sum(l.x * r.x), 6) AS similarity, any_value(l.n) AS n_a, any_value(r.n) AS n_b
+FROM r l JOIN r ON l.book_id = r.book_id AND l.index = r.index AND l.chapter_id < r.chapter_id GROUP BY 1, 2, 3 HAVING round(sum(l.x * r.x), 6) >= 0.3""",
     "v2_nearest": f"SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, {_cosine('q.embedding', 'v.embedding')} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE rank <= 10",
     "v2_nearest_scoped": f"SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, {_cosine('q.embedding', 'v.embedding')} AS score FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id % 100 = 0)) WHERE rank <= 5",
     "a7_centroids": f"WITH {CENTROID} SELECT label, i, round(x, 6) AS x FROM unit",

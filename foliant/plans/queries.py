@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cfi, markup, paging, text
 from ..operators import blocks as block_ops
-from ..operators import chunks, concepts, conversations, entities, positions, router, search, tfidf, themes, tools, vectors
+from ..operators import chunks, concepts, conversations, entities, positions, router, search, similar, tfidf, themes, tools, vectors
 from ..sources import captured, cells, stores
 from ..sources.tables import blocks, chapters, table
 from . import index
@@ -722,6 +722,16 @@ def u4_sparse_cosine(spark, sf):
     return vectors.sparse_cosine(sparse, chapters(spark, sf).where("chapter_id % 100 = 0").select("book_id", "chapter_id"))
 
 
+@query
+def n10_similar_pairs(spark, sf):
+    """Classes of chapters whose keyword vectors have a cosine of .3 or more, with the number of chapters in each."""
+    keywords = index.written(tfidf.keywords(chapters(spark, sf)), "keywords")
+    pairs, member = similar.similar_pairs(tfidf.vectors(keywords, tfidf.vocabulary(keywords)), 0.3)
+    sizes = member.groupBy("book_id", "class_id").agg(F.count("*").alias("n"))
+    both = pairs.join(sizes.select("book_id", F.col("class_id").alias("a"), F.col("n").alias("n_a")), ["book_id", "a"])
+    return both.join(sizes.select("book_id", F.col("class_id").alias("b"), F.col("n").alias("n_b")), ["book_id", "b"]).select("book_id", "a", "b", "similarity", "n_a", "n_b")
+
+
 @query
 def n18_guardrails(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("question_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 13).cast("int").alias("round"), (F.col("event_id") % 3 == 0).alias("escalates"))

@@ -78,8 +78,7 @@ def test_dense_vectors_are_mixed_where_the_first_has_one(spark):
     for r in themes.assign(v, chapters, centroids).collect():
         clusters.setdefault(r.theme, []).append(r.chapter_id)
     assert sorted(map(sorted, clusters.values())) == sorted(map(sorted, themes.cluster(got)))
-    with pytest.raises(Exception, match="6 chapters, of which 5"):
-        themes.assign(v, chapters, most=5).count()
+    assert themes.assign(v, chapters, most=5).select("chapter_id").distinct().count() == 6  # in rounds
 
 
 def test_sparse_cosine_against_dense_rows(spark):

@@ -107,9 +107,9 @@ def section_label(sections: DataFrame) -> DataFrame:
 
 
 def chapter_ids(requests: DataFrame, sections: DataFrame) -> DataFrame:
-    """resolved: `current` or an exact section id, null for anything else."""
-    known = sections.select(F.col("spine_item_id").alias("__known")).distinct()
-    joined = requests.join(known, requests.chapter_id == F.col("__known"), "left")
+    """requests (book_id, chapter_id, current_id) with resolved: `current` or an exact section id (book_id, spine_item_id) of its book, null for anything else."""
+    known = sections.select(F.col("book_id").alias("__book"), F.col("spine_item_id").alias("__known")).distinct()
+    joined = requests.join(known, (requests.book_id == F.col("__book")) & (requests.chapter_id == F.col("__known")), "left")
     return joined.select(*requests.columns, F.when(F.col("chapter_id") == "current", F.col("current_id")).otherwise(F.col("__known")).alias("resolved"))
 
 
@@ -119,59 +119,60 @@ def suffixes(c: Column) -> Column:
 
 
 def ends_alike(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
-    """Pairs (a, b) of distinct values of which one ends with the other."""
-    x, y = left.select(F.col(a).alias("a")).distinct(), right.select(F.col(b).alias("b")).distinct()
-    longer_a = x.select("a", F.explode(suffixes(F.col("a"))).alias("b")).join(y, "b").select("a", "b")
-    longer_b = y.select("b", F.explode(suffixes(F.col("b"))).alias("a")).join(x, "a").select("a", "b")
-    return longer_a.union(longer_b).distinct().select(F.col("a").alias(a), F.col("b").alias(b))
+    """(book_id, a, b): pairs of distinct values of a book of which one ends with the other."""
+    x, y = left.select("book_id", F.col(a).alias("a")).distinct(), right.select("book_id", F.col(b).alias("b")).distinct()
+    longer_a = x.select("book_id", "a", F.explode(suffixes(F.col("a"))).alias("b")).join(y, ["book_id", "b"]).select("book_id", "a", "b")
+    longer_b = y.select("book_id", "b", F.explode(suffixes(F.col("b"))).alias("a")).join(x, ["book_id", "a"]).select("book_id", "a", "b")
+    return longer_a.union(longer_b).distinct().select("book_id", F.col("a").alias(a), F.col("b").alias(b))
 
 
 def attach_labels(sections: DataFrame, points: DataFrame) -> DataFrame:
-    """The label of the last navigation point (ord, label, src) whose target ends with a section's href or the reverse."""
-    targets = points.select("ord", "label", F.regexp_replace("src", "#.*$", "").alias("__src"))
-    labels = ends_alike(sections, "href", targets, "__src").join(targets, "__src").groupBy("href").agg(F.max_by("label", "ord").alias("ncx_label"))
-    return sections.join(labels, "href", "left").groupBy("spine_item_id", "href").agg(F.max("ncx_label").alias("ncx_label"))
+    """sections (book_id, spine_item_id, href) with the label of their book's last navigation point (book_id, ord, label, src) whose target ends with the section's href or the reverse."""
+    targets = points.select("book_id", "ord", "label", F.regexp_replace("src", "#.*$", "").alias("__src"))
+    labels = ends_alike(sections, "href", targets, "__src").join(targets, ["book_id", "__src"]).groupBy("book_id", "href").agg(F.max_by("label", "ord").alias("ncx_label"))
+    return sections.join(labels, ["book_id", "href"], "left").groupBy("book_id", "spine_item_id", "href").agg(F.max("ncx_label").alias("ncx_label"))
 
 
 def resources(requests: DataFrame, files: DataFrame) -> DataFrame:
-    """The file of each request (request): exact path, else file name, else suffix; with its rank of fit."""
+    """The file (book_id, path) of each request (book_id, request) in its book: exact path, else file name, else suffix; with its rank of fit."""
     name = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
-    asked, known = requests.select("request").distinct(), files.select("path").distinct()
-    by_name = asked.withColumn("__name", name("request")).join(known.withColumn("__name", name("path")), "__name").select("request", "path", F.when(F.col("path") == F.col("request"), 1).otherwise(2).alias("fit"))
-    fits = by_name.union(ends_alike(asked, "request", known, "path").select("request", "path", F.lit(3)))
-    best = fits.groupBy("request").agg(F.min(F.struct("fit", "path")).alias("b"))
-    return requests.join(best, "request", "left").groupBy("request").agg(F.min("b").alias("b")).select("request", F.col("b.path").alias("path"), F.col("b.fit").alias("fit"))
+    asked, known = requests.select("book_id", "request").distinct(), files.select("book_id", "path").distinct()
+    by_name = asked.withColumn("__name", name("request")).join(known.withColumn("__name", name("path")), ["book_id", "__name"])
+    by_name = by_name.select("book_id", "request", "path", F.when(F.col("path") == F.col("request"), 1).otherwise(2).alias("fit"))
+    fits = by_name.union(ends_alike(asked, "request", known, "path").select("book_id", "request", "path", F.lit(3)))
+    best = fits.groupBy("book_id", "request").agg(F.min(F.struct("fit", "path")).alias("b"))
+    return asked.join(best, ["book_id", "request"], "left").select("book_id", "request", F.col("b.path").alias("path"), F.col("b.fit").alias("fit"))
 
 
 def links(anchors: DataFrame, sections: DataFrame) -> DataFrame:
-    """kind (internal, external, anchor or unknown), spine item and fragment of each link (link), one row a link.
+    """kind (internal, external, anchor or unknown), spine item and fragment of each link (book_id, link), one row a link.
 
-    A link finds the item by file name; of items with one file name, the one whose whole path it states, else the smallest.
+    A link finds an item (book_id, spine_item_id, href) of its book by file name; of items with one file name, the one whose whole path it states, else the smallest.
     """
     path, fragment = F.regexp_extract("link", "^([^#]*)", 1), F.nullif(F.regexp_extract("link", "#(.*)$", 1), F.lit(""))
     file = F.regexp_extract(path, r"([^/]*)$", 1)
-    items = sections.groupBy(F.regexp_extract("href", r"([^/]*)$", 1).alias("__file")).agg(F.min("spine_item_id").alias("__by_file")).where("__file <> ''")
-    exact = sections.groupBy(F.col("href").alias("__path")).agg(F.min("spine_item_id").alias("__by_path"))
-    parts = anchors.select("link", path.alias("__path"), file.alias("__file"), fragment.alias("fragment"))
-    joined = parts.join(items, "__file", "left").join(exact, "__path", "left").withColumn("__item", F.coalesce("__by_path", "__by_file"))
+    items = sections.groupBy("book_id", F.regexp_extract("href", r"([^/]*)$", 1).alias("__file")).agg(F.min("spine_item_id").alias("__by_file")).where("__file <> ''")
+    exact = sections.groupBy("book_id", F.col("href").alias("__path")).agg(F.min("spine_item_id").alias("__by_path"))
+    parts = anchors.select("book_id", "link", path.alias("__path"), file.alias("__file"), fragment.alias("fragment"))
+    joined = parts.join(items, ["book_id", "__file"], "left").join(exact, ["book_id", "__path"], "left").withColumn("__item", F.coalesce("__by_path", "__by_file"))
     external = F.col("link").rlike("^https?://")
     kind = F.when(external, "external").when(F.col("__path") == "", "anchor").when(F.col("__item").isNotNull(), "internal").otherwise("unknown")
-    return joined.select("link", kind.alias("kind"), F.when(~external & (F.col("__path") != ""), F.col("__item")).alias("spine_item_id"), "fragment")
+    return joined.select("book_id", "link", kind.alias("kind"), F.when(~external & (F.col("__path") != ""), F.col("__item")).alias("spine_item_id"), "fragment")
 
 
 def linked_styles(sections: DataFrame, files: DataFrame) -> DataFrame:
-    """(spine_item_id, css): the style sheets that a section (spine_item_id, html, base_path) links, in order, each with a line end; null if none.
+    """(book_id, spine_item_id, css): the style sheets that a section (book_id, spine_item_id, html, base_path) links, in order, each with a line end; null if none.
 
-    A link finds the file (path, css) by its path below base_path, else by the path as it stands, else by its file name; of files with one
-    name, the one with the smallest path.
+    A link finds the file (book_id, path, css) of its book by its path below base_path, else by the path as it stands, else by its file name; of files with one
+    name, the one with the smallest path, then the smallest content.
     """
     name = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
     link = r"""(?i)<link[^>]+href\s*=\s*["']([^"']+\.css)["'][^>]*>"""
-    hrefs = sections.select("spine_item_id", "base_path", F.posexplode(F.regexp_extract_all("html", F.lit(link), F.lit(1))).alias("at", "href"))
-    keys = files.select(F.explode(F.array(F.struct(F.lit(1).alias("by"), F.col("path").alias("key")), F.struct(F.lit(2).alias("by"), name(F.col("path")).alias("key")))).alias("k"), "path", "css")
-    known = keys.groupBy(F.col("k.key").alias("key")).agg(F.min_by("css", F.struct("k.by", "path")).alias("css"))
+    hrefs = sections.select("book_id", "spine_item_id", "base_path", F.posexplode(F.regexp_extract_all("html", F.lit(link), F.lit(1))).alias("at", "href"))
+    keys = files.select("book_id", F.explode(F.array(F.struct(F.lit(1).alias("by"), F.col("path").alias("key")), F.struct(F.lit(2).alias("by"), name(F.col("path")).alias("key")))).alias("k"), "path", "css")
+    known = keys.groupBy("book_id", F.col("k.key").alias("key")).agg(F.min_by("css", F.struct("k.by", "path", "css")).alias("css"))
     full = F.when(F.col("base_path") == "", F.col("href")).otherwise(F.concat_ws("/", "base_path", "href"))
-    tried = hrefs.select("spine_item_id", "at", F.posexplode(F.array(full, F.col("href"), name(F.col("href")))).alias("try", "key"))
-    found = tried.join(known, "key").groupBy("spine_item_id", "at").agg(F.min_by("css", "try").alias("css"))
-    joined = found.groupBy("spine_item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "css"))), lambda x: F.concat(x["css"], F.lit("\n"))), "").alias("css"))
-    return sections.select("spine_item_id").join(joined, "spine_item_id", "left")
+    tried = hrefs.select("book_id", "spine_item_id", "at", F.posexplode(F.array(full, F.col("href"), name(F.col("href")))).alias("try", "key"))
+    found = tried.join(known, ["book_id", "key"]).groupBy("book_id", "spine_item_id", "at").agg(F.min_by("css", "try").alias("css"))
+    joined = found.groupBy("book_id", "spine_item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "css"))), lambda x: F.concat(x["css"], F.lit("\n"))), "").alias("css"))
+    return sections.select("book_id", "spine_item_id").join(joined, ["book_id", "spine_item_id"], "left")

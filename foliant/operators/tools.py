@@ -101,15 +101,15 @@ def scoped(requests: DataFrame, column: str = "chapter_id") -> DataFrame:
 
 
 def stored_summaries(requests: DataFrame, sections: DataFrame, stored: DataFrame) -> DataFrame:
-    """requests (chapter_id, current_id) with what is stored for the chapter that each resolves to; nothing is made anew."""
+    """requests (book_id, chapter_id, current_id) with what is stored (book_id, chapter_id, ...) for the chapter of its book that each resolves to; nothing is made anew."""
     asked = search.chapter_ids(requests, sections)
-    kept = stored.select(F.col("chapter_id").alias("resolved"), "summary", "key_points", "characters")
-    return asked.join(kept, "resolved", "left").select(*requests.columns, "resolved", "summary", "key_points", "characters")
+    kept = stored.select("book_id", F.col("chapter_id").alias("resolved"), "summary", "key_points", "characters")
+    return asked.join(kept, ["book_id", "resolved"], "left").select(*requests.columns, "resolved", "summary", "key_points", "characters")
 
 
 def gathered_summaries(chapters: DataFrame, stored: DataFrame) -> DataFrame:
-    """(book_id, n, text) of books whose chapters (book_id, chapter_id, place) have stored summaries: those alone, in order."""
-    own = chapters.join(stored.select("chapter_id", "summary"), "chapter_id")
+    """(book_id, n, text) of books whose chapters (book_id, chapter_id, place) have stored summaries (book_id, chapter_id, summary): those alone, in order."""
+    own = chapters.join(stored.select("book_id", "chapter_id", "summary"), ["book_id", "chapter_id"])
     listed = F.array_sort(F.collect_list(F.struct("place", "chapter_id", "summary")))
     return own.groupBy("book_id").agg(F.count("*").alias("n"), F.array_join(F.transform(listed, lambda x: x["summary"]), "\n\n").alias("text"))
 

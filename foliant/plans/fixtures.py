@@ -1,4 +1,4 @@
-"""Small fixed tables, as SQL that both engines read, for operators whose columns the parquet tables lack."""
+"""Small fixed tables for tests, as SQL that both engines read, and questions that the router's query adds to those of the tables."""
 
 from __future__ import annotations
 
@@ -11,34 +11,11 @@ def _values(columns: str, rows: str) -> str:
 
 
 FIXTURES = {
-    "tags": _values("tag", "('p'), ('H1'), ('h2'), ('h3'), ('h4'), ('h5'), ('h6'), ('LI'), ('td'), ('blockquote'), ('pre'), ('img'), ('div'), ('')"),
-    "css": _values("id, css", "(1, 'p { margin-left: 56%; }'), (2, 'p { margin: 1.25em 45%; }'), (3, 'div { padding: 0 10% 2em; width: 80%; }'), (4, 'a { Padding-Left: 5%; MARGIN-RIGHT:3%; }'), (5, 'b { color: red }')"),
-    "boxes": _values("view_id, block_id, y0, y1, view_top, view_bottom", "(1, 'a', 0, 10, 10, 50), (1, 'b', 10, 20, 10, 50), (1, 'c', 20, 60, 10, 50), (2, 'a', 0, 10, 5, 8), (3, 'a', 0, 10, 90, 99)"),
-    "spine": _values("pos, idref", "(0, 'c1'), (1, 'c2'), (2, 'gone'), (3, 'c3')"),
-    "manifest": _values("id, href, media_type", "('c1', 'OPS/ch1.xhtml', 'application/xhtml+xml'), ('c2', 'OPS/text/ch2.xhtml', 'application/xhtml+xml'), ('c3', 'OPS/ch3.xhtml', 'text/html'), ('cover', 'OPS/img/cover.jpg', 'image/jpeg')"),
-    "points": _values("ord, label, src", "(1, 'One', 'ch1.xhtml'), (2, 'Two', 'text/ch2.xhtml#a'), (3, 'Two again', 'ch2.xhtml#b'), (4, 'Nowhere', 'x.xhtml')"),
-    "sections": _values("spine_item_id, title, ncx_label", "('s1', 'First', 'I'), ('s2', 'Second', NULL), ('s3', NULL, NULL)"),
-    "chapter_requests": _values("chapter_id, current_id", "('current', 's1'), ('s2', 's1'), ('II', 's1'), ('chapter ii', 's1'), ('2', 's1')"),
-    "requests": _values("request", "('OPS/img/cover.jpg'), ('cover.jpg'), ('img/plate.png'), ('none.gif'), ('fig.svg')"),
-    "files": _values("path", "('OPS/img/cover.jpg'), ('OPS/cover.jpg'), ('OPS/img/plate.png'), ('x/fig.svg')"),
-    "anchors": _values("link", "('ch1.xhtml'), ('text/ch2.xhtml#n1'), ('#top'), ('https://example.org/ch1.xhtml'), ('other.xhtml')"),
-    "found": _values("title, file_path", "('Emma', 'a.epub'), ('EMMA', 'b.epub'), ('Persuasion', 'c.epub'), ('persuasion', 'd.epub'), ('Walden', 'e.epub')"),
-    "library": _values("book_id, title, last_opened_ts, import_ts", "('b1', 'Emma', CAST('2024-01-02' AS TIMESTAMP), CAST('2023-01-01' AS TIMESTAMP)), ('b2', 'Ivanhoe', NULL, CAST('2024-05-01' AS TIMESTAMP)), ('b3', 'Dracula', CAST('2024-03-02' AS TIMESTAMP), CAST('2022-01-01' AS TIMESTAMP)), ('b4', 'Ulysses', NULL, CAST('2024-06-01' AS TIMESTAMP))"),
     "questions": _values("question_id, question, title, author", "('f1', 'In this book, what happens in chapter 3?', 'Alice', 'Lewis Carroll'), ('f2', 'What is the capital of France?', 'Alice', 'Lewis Carroll'), ('f3', 'Who is Alice?', 'Wonderland', NULL), ('f4', 'What did Carroll mean?', 'Wonderland', 'Lewis Carroll'), ('f5', 'Tell me about the plot and the story', 'Wonderland', NULL), ('f6', 'Please search for cats', 'Wonderland', NULL), ('f7', 'Hello', '', NULL), ('f8', 'Why did Victor go north when all the others stayed behind in the town?', 'Wonderland', NULL), ('f9', '', NULL, NULL)"),
-    "cfis": _values("cfi", "('epubcfi(/6/4[ch02]!)'), ('epubcfi(/6/2!)'), ('epubcfi(/6/2!/4/2)'), ('epubcfi(/6/4[ch02]!/4/2/1:42)'), ('epubcfi(/6/8[chapter3]!/4/2)'), ('epubcfi(/6/3!)'), ('epubcfi(/5/4!)'), ('invalid'), ('epubcfi(/6/4!) tail'), ('epubcfi(/6/0!)'), ('epubcfi(/6/6[a]!/4[id]/10:x)')"),
-    "markdown": _values("id, text", "(1, '# Head'), (2, 'a\n## Two words\nb'), (3, '####### seven'), (4, 'no head # here')"),
-    "places": _values("id, road, city, town, village, state, country, name", "(1, 'Main St', 'Bath', NULL, NULL, 'Somerset', 'UK', 'x'), (2, NULL, NULL, 'Whitby', 'Sleights', NULL, 'UK', 'y'), (3, CAST(NULL AS VARCHAR(9)), NULL, NULL, CAST(NULL AS VARCHAR(9)), NULL, NULL, 'Somewhere')"),
     "summaries": _values("id, reply", "(1, 'SUMMARY: It begins.\nIt goes on.\n\nKEY_POINTS:\n- first\n-second\nno point\nCHARACTERS: Ann, Bob ,, Cy'), (2, 'free text'), (3, 'summary:\n a \nKEY POINTS:\n- p\nCHARACTERS:\nDee')"),
     "synopses": _values("id, reply", "(1, 'SYNOPSIS: All of it.\nMore.\nCHARACTERS:\n- Ann: the heroine: brave\n- Bob\n- : none\nTHEMES:\n- love\n- '), (2, 'nothing here')"),
     "markup": _values("id, html", "(1, '<p>a<i/>b<br/>c<Span class=\"x\" />d</p>'), (2, 'plain'), (3, '<div/><hr/><a id=\"n\"/>'), (4, '')"),
     "pictures": _values("id, base_path, html", "(1, 'OPS/text', '<p><img alt=\"a\" src=\"../img/cover.jpg\"/>x<img src=\"none.png\"></p>'), (2, '', '<IMG SRC=''fig.svg''>'), (3, 'OPS', '<img src=\"img/plate.png\" width=\"3\"> and <b>text</b>')"),
-    "styled": _values("spine_item_id, base_path, html", "('s1', 'OPS', '<link rel=\"stylesheet\" href=\"a.css\"/><LINK href=''x/b.css''>'), ('s2', '', '<link href=\"OPS/a.css\">'), ('s3', 'OPS', '<link href=\"gone.css\"><link href=\"q/c.css\">'), ('s4', 'OPS', '<p>none</p>')"),
-    "styles": _values("path, css", "('OPS/a.css', 'p {}'), ('OPS/x/b.css', 'b {}'), ('lib/c.css', 'c1 {}'), ('other/c.css', 'c2 {}')"),
-    "conversations": _values("conv_id, book_title, updated_ts", "('c1', 'Emma', CAST('2024-01-01' AS TIMESTAMP)), ('c2', 'Emma', CAST('2024-02-01' AS TIMESTAMP)), ('c3', 'Walden', CAST('2024-03-01' AS TIMESTAMP)), ('c4', 'Emma', CAST('2024-02-01' AS TIMESTAMP))"),
-    "stored_summaries": _values("chapter_id, summary, key_points, characters", "('s1', 'It begins.', 'a;b', 'Ann'), ('s3', 'It ends.', '', NULL)"),
-    "stored_synopses": _values("book_id, synopsis, characters, themes", "('b1', 'A match is made.', 'Emma', 'love;pride'), ('b4', 'A day.', NULL, 'time')"),
-    "tool_calls": _values("id, arguments", """(1, '{"query": "the sea", "scope": "full_book", "limit": 5}'), (2, '{"query": null}'), (3, '[1, 2]'), (4, 'no json'), (5, ''), (6, '{"scope": "current_chapter", "query": "a b"}')"""),
-    "times": _values("id, t", "(1, '2024-05-06T07:08:09Z'), (2, '2024-05-06T07:08:09.250Z'), (3, '2024-05-06T09:08:09+02:00'), (4, '2024-05-06'), (5, 'soon'), (6, '2024-02-31T00:00:00Z')"),
     "encyclopedia": _values("query, status, body", """('sea', 200, '{"title": "Sea", "description": "body of water", "extract": "A sea is large.", "thumbnail": {"source": "t.jpg", "width": 1, "height": 1}, "content_urls": {"desktop": {"page": "http://e.org/Sea"}}}'), ('ship', 200, '{"title": "Ship", "extract": "A ship floats.", "originalimage": {"source": "o.jpg"}}'), ('gone', 404, '{"title": "Not found."}'), ('busy', 503, ''), ('odd', 200, 'no json')"""),
     "encyclopedia_search": _values("query, status, body", """('sea', 200, '{"query": {"search": [{"pageid": 1, "title": "Sea", "snippet": "the <b>sea</b> is"}, {"pageid": 2, "title": "Sea ice", "snippet": "ice"}]}}'), ('none', 200, '{"query": {"search": []}}'), ('busy', 500, '{}')"""),
     "place_search": _values("query, status, body", """('bath', 200, '[{"place_id": 1, "lat": "51.38", "lon": "-2.36", "display_name": "Bath, Somerset, UK", "type": "city", "address": {"city": "Bath", "state": "Somerset", "country": "UK"}}, {"place_id": 2, "lat": "x", "lon": "1", "display_name": "Nowhere", "type": "none"}]'), ('51.4,-2.3', 200, '{"place_id": 3, "lat": "51.4", "lon": "-2.3", "display_name": "Hill Farm, UK", "type": "farm"}'), ('busy', 429, '[]')"""),

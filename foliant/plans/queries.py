@@ -13,6 +13,7 @@ from ..operators import chunks, concepts, conversations, entities, positions, ro
 from ..sources import captured, cells, stores
 from ..sources.tables import blocks, chapters, table
 from . import index
+from .derived import derived
 from .fixtures import FIXTURES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +25,6 @@ def query(f: Query) -> Query:
     return f
 
 
-def fixture(spark: SparkSession, name: str) -> DataFrame:
-    return spark.sql(FIXTURES[name])
-
-
 @query
 def n2_keywords(spark, sf):
     return tfidf.keywords(chapters(spark, sf))
@@ -137,62 +134,63 @@ def p2_annotated_html(spark, sf):
 
 @query
 def p6_block_types(spark, sf):
-    return fixture(spark, "tags").select("tag", text.block_type(F.col("tag")).alias("type"))
+    """The elements of each page, by name."""
+    tags = F.explode(F.regexp_extract_all("html", F.lit("<([A-Za-z][A-Za-z0-9]*)"), F.lit(1))).alias("tag")
+    return table(spark, sf, "pages").select("page_id", tags).groupBy("page_id", "tag").agg(F.count("*").alias("n")).select("page_id", "tag", "n", text.block_type(F.col("tag")).alias("type"))
 
 
 @query
 def p13_css(spark, sf):
-    return fixture(spark, "css").select("id", text.sanitise_css(F.col("css")).alias("css"))
+    return derived(spark, sf, "css").select("id", text.sanitise_css(F.col("css")).alias("css"))
 
 
 @query
 def p15_visible_block(spark, sf):
-    return positions.visible_block(fixture(spark, "boxes"))
+    return positions.visible_block(derived(spark, sf, "boxes"))
 
 
 @query
 def j1_spine_manifest(spark, sf):
-    spine, manifest = fixture(spark, "spine"), fixture(spark, "manifest")
-    return spine.join(manifest, spine.idref == manifest.id).select("pos", "idref", "href", "media_type")
+    return derived(spark, sf, "spine").join(derived(spark, sf, "manifest").withColumnRenamed("id", "idref"), ["book_id", "idref"]).select("book_id", "pos", "idref", "href", "media_type")
 
 
 @query
 def j2_navigation_labels(spark, sf):
-    sections = fixture(spark, "manifest").select(F.col("id").alias("spine_item_id"), "href")
-    return search.attach_labels(sections, fixture(spark, "points"))
+    sections = derived(spark, sf, "manifest").select("book_id", F.col("id").alias("spine_item_id"), "href")
+    return search.attach_labels(sections, derived(spark, sf, "points"))
 
 
 @query
 def j3_section_labels(spark, sf):
-    return search.section_label(fixture(spark, "sections")).select("spine_item_id", "label")
+    return search.section_label(derived(spark, sf, "sections")).select("book_id", "spine_item_id", "label")
 
 
 @query
 def s8_resources(spark, sf):
-    return search.resources(fixture(spark, "requests"), fixture(spark, "files")).withColumn("media_type", text.media_type(F.col("path")))
+    return search.resources(derived(spark, sf, "requests"), derived(spark, sf, "files")).withColumn("media_type", text.media_type(F.col("path")))
 
 
 @query
 def j12_links(spark, sf):
-    sections = fixture(spark, "manifest").select(F.col("id").alias("spine_item_id"), "href")
-    return search.links(fixture(spark, "anchors"), sections)
+    sections = derived(spark, sf, "manifest").select("book_id", F.col("id").alias("spine_item_id"), "href")
+    return search.links(derived(spark, sf, "anchors"), sections)
 
 
 @query
 def s14_new_books(spark, sf):
     from ..sources.epub import new_books
 
-    return new_books(fixture(spark, "found"), fixture(spark, "library").select("title"))
+    return new_books(derived(spark, sf, "found"), derived(spark, sf, "owned"))
 
 
 @query
 def chapter_id_resolution(spark, sf):
-    return search.chapter_ids(fixture(spark, "chapter_requests"), fixture(spark, "sections"))
+    return search.chapter_ids(derived(spark, sf, "chapter_requests"), derived(spark, sf, "sections"))
 
 
 @query
 def t1_library_order(spark, sf):
-    books = conversations.library_order(fixture(spark, "library"))
+    books = conversations.library_order(derived(spark, sf, "library"))
     return conversations.numbered(books.select("book_id")).select("book_id", "place")
 
 
@@ -236,7 +234,7 @@ def a9_trace_time(spark, sf):
 
 def _questions(spark, sf):
     own = table(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"), F.lit("Frankenstein or the Modern Tale").alias("title"), F.lit("Mary Shelley").alias("author"))
-    return own.union(fixture(spark, "questions").select("question_id", "question", "title", "author"))
+    return own.union(spark.sql(FIXTURES["questions"]).select("question_id", "question", "title", "author"))
 
 
 @query
@@ -301,17 +299,16 @@ def cfi_generate(spark, sf):
 
 @query
 def cfi_parse(spark, sf):
-    c = fixture(spark, "cfis")
+    c = derived(spark, sf, "cfis")
     base, full = cfi.parse_base(F.col("cfi")), cfi.parse_full(F.col("cfi"))
-    return c.select("cfi", base["spine_index"].alias("base_spine"), base["idref"].alias("base_idref"), full["spine_index"].alias("spine"), full["idref"].alias("idref"), F.array_join(full["dom_path"], ",").alias("dom_path"), full["char_offset"].alias("char_offset"))
+    return c.select("id", "cfi", base["spine_index"].alias("base_spine"), base["idref"].alias("base_idref"), full["spine_index"].alias("spine"), full["idref"].alias("idref"), F.array_join(full["dom_path"], ",").alias("dom_path"), full["char_offset"].alias("char_offset"))
 
 
 @query
 def swipe(spark, sf):
-    grid = spark.range(6 * 6 * 3 * 5 * 3 * 2)
-    n = lambda by, over: F.floor(F.col("id") / by) % over
-    cols = grid.select((n(1, 6) - 1).cast("int").alias("start_page"), (n(6, 6) - 1).cast("int").alias("current_page"), (n(36, 3) * 2).cast("int").alias("total_pages"), ((n(108, 5) - 2) * 0.5).alias("velocity"), n(540, 3).cast("int").alias("spine_index"), (n(1620, 2) * 2 + 1).cast("int").alias("total_spines"))
-    s = paging.swipe(F.col("start_page"), F.col("current_page"), F.col("total_pages"), F.col("velocity"), F.col("spine_index"), F.col("total_spines"))
+    asked = ("start_page", "current_page", "total_pages", "velocity", "spine_index", "total_spines")
+    cols = derived(spark, sf, "swipes").select("id", *[F.col(c) if c == "velocity" else F.col(c).cast("int").alias(c) for c in asked])
+    s = paging.swipe(*map(F.col, asked))
     return cols.select("*", s["action"].alias("action"), s["page"].alias("page"))
 
 
@@ -331,13 +328,13 @@ def formatting(spark, sf):
 
 @query
 def headers_to_bold(spark, sf):
-    return fixture(spark, "markdown").select("id", text.bold_headers(F.col("text")).alias("text"))
+    return derived(spark, sf, "markdown").select("id", F.sha2(text.bold_headers(F.col("text")), 256).alias("text_sha256"))
 
 
 @query
 def short_address(spark, sf):
     names = ("road", "city", "town", "village", "state", "country", "name")
-    return fixture(spark, "places").select("id", text.short_address(*map(F.col, names)).alias("address"))
+    return derived(spark, sf, "addresses").select("id", text.short_address(*map(F.col, names)).alias("address"))
 
 
 @query
@@ -350,14 +347,14 @@ def selection_context(spark, sf):
 def summary_replies(spark, sf):
     from ..operators.replies import parse_summary
 
-    return parse_summary(fixture(spark, "summaries"))
+    return parse_summary(derived(spark, sf, "summaries")).select("id", "summary", F.array_join("key_points", ";").alias("key_points"), F.array_join("characters", ";").alias("characters"))
 
 
 @query
 def synopsis_replies(spark, sf):
     from ..operators.replies import parse_synopsis
 
-    found = parse_synopsis(fixture(spark, "synopses"))
+    found = parse_synopsis(derived(spark, sf, "synopses"))
     return found.select("id", "synopsis", F.array_join(F.transform("characters", lambda c: F.concat_ws("=", c["name"], c["description"])), ";").alias("characters"), F.array_join("themes", ";").alias("themes"))
 
 
@@ -494,10 +491,8 @@ def a11_build_stats(spark, sf):
 @query
 def epub_sections(spark, sf):
     from ..sources.epub import read_sections
-    from .fixtures import sample_epub
 
-    archive = spark.createDataFrame([("sample.epub", bytearray(sample_epub())), ("broken.epub", bytearray(b"x"))], "path string, content binary")
-    return read_sections(archive).select("path", "title", "spine_index", "spine_item_id", "ncx_label", F.length("html").alias("n_chars"), "error")
+    return read_sections(_archive(spark, sf)).select("path", "title", "spine_index", "spine_item_id", "ncx_label", F.length("html").alias("n_chars"), F.col("error").isNotNull().alias("broken"))
 
 
 @query
@@ -519,29 +514,29 @@ def p12_body(spark, sf):
 
 @query
 def p12_self_closing(spark, sf):
-    return fixture(spark, "markup").select("id", markup.close_empty(F.col("html")).alias("html"))
+    closed = markup.close_empty(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", F.length(closed).alias("n_chars"), F.sha2(closed, 256).alias("html_sha256"))
 
 
 @query
 def p12_image_links(spark, sf):
-    paths = fixture(spark, "files").agg(F.array_sort(F.collect_list("path")).alias("images"))
-    pictures = fixture(spark, "pictures").crossJoin(F.broadcast(paths))
-    return pictures.select("id", markup.image_links(F.col("html"), F.col("base_path"), F.col("images")).alias("html"))
+    images = derived(spark, sf, "files").groupBy("book_id").agg(F.array_sort(F.collect_set("path")).alias("images"))
+    return derived(spark, sf, "pictures").join(images, "book_id", "left").select("book_id", "id", markup.image_links(F.col("html"), F.col("base_path"), F.coalesce("images", F.array().cast("array<string>"))).alias("html"))
 
 
 @query
 def p14_linked_styles(spark, sf):
-    return search.linked_styles(fixture(spark, "styled"), fixture(spark, "styles"))
+    return search.linked_styles(derived(spark, sf, "styled"), derived(spark, sf, "styles"))
 
 
 @query
 def p10_title(spark, sf):
-    return tools.by_title(fixture(spark, "library"), "U").select("book_id", "title")
+    return tools.by_title(derived(spark, sf, "library"), "U").select("book_id", "title")
 
 
 @query
 def p11_conversations_of_book(spark, sf):
-    return conversations.by_book(fixture(spark, "conversations"), "Emma").select("conv_id", "updated_ts")
+    return conversations.by_book(derived(spark, sf, "asked_conversations"), "1-URGENT").select("conv_id", "updated_ts")
 
 
 @query
@@ -573,20 +568,27 @@ def page_arithmetic(spark, sf):
 def s2_epub_metadata(spark, sf):
     from ..sources.epub import read_sections
 
-    return read_sections(_archive(spark), content=False).select("path", "title", "author", "spine_index", "spine_item_id", "href", "media_type", "ncx_label", F.col("html").isNull().alias("unread"), "error")
+    return read_sections(_archive(spark, sf), content=False).select("path", "title", "author", "spine_index", "spine_item_id", "href", "media_type", "ncx_label", F.col("html").isNull().alias("unread"), F.col("error").isNotNull().alias("broken"))
 
 
 @query
 def s3_epub_section(spark, sf):
     from ..sources.epub import section_at
 
-    return section_at(_archive(spark), 1).select("path", "spine_index", "spine_item_id", F.sha2("html", 256).alias("html_sha256"))
+    return section_at(_archive(spark, sf), 1).select("path", "spine_index", "spine_item_id", F.sha2("html", 256).alias("html_sha256"))
 
 
-def _archive(spark):
-    from .fixtures import sample_epub
+def _archive(spark, sf):
+    """Archives of four documents each, every seventh a broken one."""
+    from ..sources.epub import write_archives
 
-    return spark.createDataFrame([("sample.epub", bytearray(sample_epub())), ("broken.epub", bytearray(b"x"))], "path string, content binary")
+    docs = table(spark, sf, "documents")
+    book = F.floor(F.col("doc_id") / 4).cast("string")
+    html = F.concat(F.lit("<html><body><p>"), F.coalesce("text", F.lit("")), F.lit("</p></body></html>"))
+    label = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Chapter "), F.col("doc_id").cast("string")))
+    sections = docs.select(book.alias("path"), F.concat(F.lit("Book "), book).alias("title"), F.lit("A. Writer").alias("author"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("spine_item_id"), F.col("doc_id").alias("place"), label.alias("label"), html.alias("html"), F.when(F.col("doc_id") % 2 == 0, F.encode(F.coalesce("source", F.lit("")), "utf-8")).alias("image"))
+    broken = F.when(F.pmod(F.col("path").cast("long"), F.lit(7)) == 0, F.lit("no archive").cast("binary")).otherwise(F.col("content"))
+    return write_archives(sections).select("path", broken.alias("content"))
 
 
 @query
@@ -643,18 +645,17 @@ def tool_semantic_search(spark, sf):
 
 @query
 def tool_chapter_summary(spark, sf):
-    return tools.stored_summaries(fixture(spark, "chapter_requests"), fixture(spark, "sections"), fixture(spark, "stored_summaries"))
+    return tools.stored_summaries(derived(spark, sf, "chapter_requests"), derived(spark, sf, "sections"), derived(spark, sf, "stored_summaries"))
 
 
 @query
 def j11_gathered_summaries(spark, sf):
-    places = spark.sql("SELECT * FROM VALUES ('b1', 's3', 0), ('b1', 's1', 1), ('b1', 's2', 2), ('b2', 's2', 0) AS t(book_id, chapter_id, place)")
-    return tools.gathered_summaries(places, fixture(spark, "stored_summaries"))
+    return tools.gathered_summaries(derived(spark, sf, "places"), derived(spark, sf, "stored_summaries"))
 
 
 @query
 def tool_book_synopsis(spark, sf):
-    return tools.stored_synopses(fixture(spark, "library").withColumn("author", F.lit(None).cast("string")), fixture(spark, "stored_synopses"))
+    return tools.stored_synopses(derived(spark, sf, "library").withColumn("author", F.lit(None).cast("string")), derived(spark, sf, "stored_synopses"))
 
 
 def _every_hundredth(spark, sf):
@@ -746,31 +747,31 @@ def n14_mixed_themes(spark, sf):
 
 @query
 def json_arguments(spark, sf):
-    return fixture(spark, "tool_calls").select("id", *[text.json_argument(F.col("arguments"), n).alias(n) for n in ("query", "scope")], text.json_argument(F.col("arguments"), "limit").cast("int").alias("most"))
+    return derived(spark, sf, "tool_calls").select("id", *[text.json_argument(F.col("arguments"), n).alias(n) for n in ("query", "scope")], text.json_argument(F.col("arguments"), "limit").cast("int").alias("most"))
 
 
 @query
 def iso_times(spark, sf):
-    return fixture(spark, "times").select("id", text.iso_time(F.col("t")).alias("seconds"))
+    return derived(spark, sf, "times").select("id", text.iso_time(F.col("t")).alias("seconds"))
 
 
 @query
 def s12_summaries(spark, sf):
-    return captured.summaries(fixture(spark, "encyclopedia"))
+    return captured.summaries(derived(spark, sf, "encyclopedia"))
 
 
 @query
 def s12_search(spark, sf):
-    return captured.search_hits(fixture(spark, "encyclopedia_search"))
+    return captured.search_hits(derived(spark, sf, "encyclopedia_search"))
 
 
 @query
 def s12_places(spark, sf):
-    return captured.places(fixture(spark, "place_search"))
+    return captured.places(derived(spark, sf, "place_search"))
 
 
 @query
 def s7_images(spark, sf):
     from ..sources.epub import read_resources
 
-    return read_resources(_archive(spark)).select("path", "resource", "file_name", "media_type", F.octet_length("content").alias("n_bytes"))
+    return read_resources(_archive(spark, sf)).select("path", "resource", "file_name", "media_type", F.octet_length("content").alias("n_bytes"))

@@ -11,6 +11,7 @@ import posixpath
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -155,6 +156,36 @@ def read_resources(archives: DataFrame, kinds: str = "image/") -> DataFrame:
     return archives.select("path", "content").mapInPandas(run, RESOURCES)
 
 
+def write_archives(sections: DataFrame) -> DataFrame:
+    """(path, content): an archive of the sections (path, title, author, spine_item_id, place, label, html, image) of each path, by place.
+
+    A null label is no navigation point, a null image (binary, PNG) no item of the manifest.
+
+    An archive is one row, so the sections of a path meet in one task.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = list(frame.sort_values("place").itertuples(index=False))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("mimetype", "application/epub+zip")
+            z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OPS/content.opf"/></rootfiles></container>')
+            items = [f'<item id={quoteattr(r.spine_item_id)} href="s{i}.xhtml" media-type="application/xhtml+xml"/>' for i, r in enumerate(rows)]
+            items += [f'<item id="image{i}" href="img/p{i}.png" media-type="image/png"/>' for i, r in enumerate(rows) if r.image is not None]
+            refs = [f"<itemref idref={quoteattr(r.spine_item_id)}/>" for r in rows]
+            head = f"<dc:title>{escape(rows[0].title or '')}</dc:title><dc:creator>{escape(rows[0].author or '')}</dc:creator>"
+            z.writestr("OPS/content.opf", f'<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata>{head}</metadata><manifest>{"".join(items)}<item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine>{"".join(refs)}</spine></package>')
+            points = [f'<navPoint><navLabel><text>{escape(r.label)}</text></navLabel><content src="s{i}.xhtml"/></navPoint>' for i, r in enumerate(rows) if r.label]
+            z.writestr("OPS/toc.ncx", f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap>{"".join(points)}</navMap></ncx>')
+            for i, r in enumerate(rows):
+                z.writestr(f"OPS/s{i}.xhtml", (r.html or "").encode("utf-8", "replace"))
+                if r.image is not None:
+                    z.writestr(f"OPS/img/p{i}.png", bytes(r.image))
+        return pd.DataFrame([(rows[0].path, out.getvalue())], columns=["path", "content"])
+
+    return sections.groupBy("path").applyInPandas(run, "path string, content binary")
+
+
 def section_at(archives: DataFrame, index: int) -> DataFrame:
     """The section at a place in the spine of each archive that has one; a negative place has none."""
     found = read_sections(archives, most=index + 1) if index >= 0 else read_sections(archives, content=False, most=0)

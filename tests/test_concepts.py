@@ -209,8 +209,8 @@ def test_places_against_a_scan(spark):
 
 
 def test_links_have_one_row_each(spark):
-    sections = spark.createDataFrame([("s1", "a/ch.xhtml"), ("s2", "b/ch.xhtml"), ("s3", "c.xhtml")], "spine_item_id string, href string")
-    anchors = spark.createDataFrame([(x,) for x in ("b/ch.xhtml#p", "ch.xhtml", "x/c.xhtml", "#top", "http://e.org/c.xhtml", "gone.xhtml")], "link string")
+    sections = spark.createDataFrame([("b", "s1", "a/ch.xhtml"), ("b", "s2", "b/ch.xhtml"), ("b", "s3", "c.xhtml"), ("d", "s0", "gone.xhtml")], "book_id string, spine_item_id string, href string")
+    anchors = spark.createDataFrame([("b", x) for x in ("b/ch.xhtml#p", "ch.xhtml", "x/c.xhtml", "#top", "http://e.org/c.xhtml", "gone.xhtml")], "book_id string, link string")
     got = {r.link: (r.kind, r.spine_item_id, r.fragment) for r in search.links(anchors, sections).collect()}
     assert got == {"b/ch.xhtml#p": ("internal", "s2", "p"), "ch.xhtml": ("internal", "s1", None), "x/c.xhtml": ("internal", "s3", None), "#top": ("anchor", None, "top"), "http://e.org/c.xhtml": ("external", None, None), "gone.xhtml": ("unknown", None, None)}
     assert search.links(anchors, sections).count() == 6

@@ -43,15 +43,21 @@ BOILER_TAGS = {"head", "nav", "footer", "aside", "form", "dialog", "menu", "butt
 BOILER_WORDS = {"nav", "navbar", "navigation", "menu", "header", "masthead", "footer", "sidebar", "side", "aside", "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "form", "subscribe", "subscription", "newsletter", "signup", "login", "search", "comment", "comments", "reply", "replies", "disqus", "discussion", "respond", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "widget", "widgets", "toolbar", "copyright", "complementary", "contentinfo", "disclaimer", "skip", "tags"}
 CONTENT_WORDS = {"article", "content", "post", "entry", "story", "main", "maincontent", "articlebody", "text", "body"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|(\Z))|[^<]+|<", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: A quote that nothing closes is part of a value that ends at white space or the tag's end.
+VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^ \t\n\f\r>]*))"""
+NAME = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*"
+EQUALS = r"[ \t\n\f\r]*=[ \t\n\f\r]*"
+ATTRIBUTE = re.compile(rf"({NAME})(?:{EQUALS}{VALUE})?|[ \t\n\f\r/]+")
+_BARE = VALUE.replace("(", "").replace(")", "").replace("?:", "")
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[ \t\n\f\r/]+|{NAME}(?:{EQUALS}(?:{_BARE}))?)*+)(?:>|(\Z))|[^<]+|<", re.S)
+NAMED = ("class", "id", "role")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 DIGITS = re.compile(r"\d+")
 #: Distinct pages that a text of a class must be on to be the template's.
 SUPPORT = 3
 #: Neutral siblings up to this number have roles by their place; more are one repeating role.
 PLACES = 8
-#: Containers nested deeper are content of the one at this depth.
+#: Containers nested deeper are content of the one at this depth, but for menus, notices and so on, which stand directly in it.
 DEPTH = 64
 
 
@@ -64,7 +70,8 @@ class Page:
         self.stack: list[tuple[str, int]] = []  # open containers: tag, number
         self.opened: dict[str, int] = {}
         self.words: list[str] = []
-        self.links = self.in_link = 0
+        self.linked: list[list[str]] = []  # the words of each link of the block
+        self.in_link = False
         self.read(source)
         roles = self.roles()
         self.blocks = [(roles[n], text, links) for n, text, links in self.found]
@@ -91,8 +98,8 @@ class Page:
         if self.words:
             text = " ".join("".join(self.words).split())
             if text:
-                self.found.append((self.stack[-1][1] if self.stack else -1, text, self.links))
-        self.words, self.links = [], 0
+                self.found.append((self.stack[-1][1] if self.stack else -1, text, sum(len(" ".join("".join(x).split())) for x in self.linked)))
+        self.words, self.linked = [], []
 
     def read(self, source: str) -> None:
         at, lower = 0, None
@@ -102,7 +109,9 @@ class Page:
                 if m[0][0] != "<" or m[0] == "<":
                     self.words.append(html.unescape(m[0]))
                     if self.in_link:
-                        self.links += len(m[0])
+                        if not self.linked:
+                            self.linked.append([])
+                        self.linked[-1].append(self.words[-1])
                 continue
             if m[4] is not None:
                 break  # the page ends within a tag
@@ -119,22 +128,29 @@ class Page:
                 at = source.find(">", end) + 1 or len(source)
                 continue
             if tag == "a":
-                self.in_link = 0 if closing else 1
+                self.in_link = not closing
+                if self.in_link:
+                    self.linked.append([])
             elif tag == "br":
                 self.words.append(" ")
             if tag in BLOCKS:
                 self.flush()
-                self.in_link = 0
+                self.in_link = False
                 self.close(tag) if closing else self.open(tag, m[3])
         self.flush()
 
     def open(self, tag: str, attributes: str) -> None:
         if tag not in CONTAINERS and tag not in LISTS:
             return
-        names = sorted({DIGITS.sub("#", x).replace("/", "|") for a in NAMES.findall(attributes) for x in "".join(a).split()}) if attributes else []
+        names = sorted({DIGITS.sub("#", x).replace("/", "|") for name, *value in ATTRIBUTE.findall(attributes) if name.lower() in NAMED for x in "".join(value).split()}) if attributes else []
         number = self.stack[-1][1] if self.stack else -1
-        if (tag in CONTAINERS or names) and len(self.stack) < DEPTH:
-            self.nodes.append((number, ".".join([tag, *names])))
+        element = ".".join([tag, *names])
+        if len(self.stack) >= DEPTH and number >= 0:
+            new = is_boiler(f"/article/{element}") and not is_boiler(f"/article/{self.nodes[number][1]}")
+        else:
+            new = tag in CONTAINERS or bool(names)
+        if new:
+            self.nodes.append((number, element))
             number = len(self.nodes) - 1
         self.stack.append((tag, number))
         self.opened[tag] = self.opened.get(tag, 0) + 1
@@ -298,14 +314,13 @@ def extract(page: Page, template: Template) -> str:
     """The article's blocks, joined by line ends.
 
     Inside the article's containers nothing is left out for being repeated or a link. Where the page itself is the slot, texts of the
-    template go, unless they are most of the page, and so do blocks that are links alone. Without any template the whole page is the text.
+    template go, unless they are most of the page. Without any template the whole page is the text.
     """
     tops, out = template.main(page)
     kept = [x for x in page.blocks if (not tops or any(below(x[0], t) for t in tops)) and not (out and (x[0] in out or any(p in out for p in prefixes(x[0]))))]
     if not tops and template.rows:
         slot = [x for x in kept if text_key(*x[:2]) not in template.fixed] if template.fixed else kept
         kept = slot if 2 * sum(len(x[1]) for x in slot) >= sum(len(x[1]) for x in kept) else kept
-        kept = [x for x in kept if x[2] < len(x[1])]
     return "\n".join(text for _, text, _ in kept)
 
 

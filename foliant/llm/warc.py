@@ -283,13 +283,15 @@ def page_records(pages: DataFrame, least: int = 1000, salts: int = 16) -> DataFr
     Of the pages with equal payloads of at least `least` bytes, the one with the largest page_id is
     the response and the others revisit it; rows with that same id are responses too, and a null id is less than any. Digests are made by Spark; the largest
     ids are found by an aggregation that combines before it shuffles, and only digests that occur more than once take part
-    in the join, salted, so that a payload that a third of all pages share lands in many tasks.
+    in the join, salted, so that a payload that a third of all pages share lands in many tasks. Smaller payloads have salts that nothing is joined to, one of very many each.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload")).withColumn("payload_digest", F.sha1("payload"))
     big = F.octet_length("payload") >= least
     first = rows.where(big).groupBy("payload_digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null")
     first = first.select("payload_digest", "top", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    joined = rows.withColumn("salt", F.when(big, F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))).join(first, ["payload_digest", "salt"], "left")
+    own = F.xxhash64("page_id", "url")
+    salt = F.when(big, F.pmod(own, F.lit(salts))).otherwise(-1 - F.pmod(own, F.lit(1 << 20))).cast("int")
+    joined = rows.withColumn("salt", salt).join(first, ["payload_digest", "salt"], "left")
     again = F.col("top").isNotNull() & ~F.col("top").eqNullSafe(F.col("page_id"))
     return joined.select("page_id", "url", "payload", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("top")).alias("refers_to"))
 

@@ -144,6 +144,7 @@ def test_cooccurrence_within_chapters_equals_the_range_join(spark):
     known = spark.createDataFrame([("b", "entity_ann_lee"), ("b", "entity_bob"), ("b", "entity_sea"), ("c", "entity_bob")], "book_id string, entity_id string")
     want = {tuple(r) for r in entities.cooccurrence(entities.occurrences(chapters, names, known)).collect()}
     assert want and {tuple(r) for r in entities.cooccurrence_in(chapters, names, known).collect()} == want
+    assert {tuple(r) for r in entities.cooccurrence_in(chapters, names, known, most=2).collect()} == want  # books in several passes
 
 
 def test_near_counts_in_small_blocks():
@@ -157,7 +158,10 @@ def test_near_counts_in_small_blocks():
             if codes[i] != codes[j] and abs(places[i] - places[j]) <= 500:
                 want[codes[i], codes[j]] += 1
     for cells in (5, 64, 1 << 22):
-        assert (entities.near_counts(codes, places, 5, cells=cells) == want).all()
+        got = np.zeros((len(want), len(want)), int)
+        a, b, n = entities.near_counts(codes, places, cells=cells)
+        got[a, b] = got[b, a] = n
+        assert (got == want).all() and (a < b).all() and (n > 0).all()
 
 
 def test_clusters_stop_at_the_least_and_by_distance():

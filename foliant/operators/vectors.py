@@ -35,14 +35,63 @@ def normalised(v: Column) -> Column:
 
 
 def centroids(vectors: DataFrame, group: str) -> DataFrame:
-    """The unit-length mean of each group's vectors (embedding), element by element: partial sums combine before the shuffle."""
+    """The unit-length mean of each group's vectors (embedding)."""
     return centroids_by(vectors, [group])
 
 
+#: Groups whose sums a task holds; beyond that they are handed on and begun anew.
+GROUPS = 10_000
+
+
 def centroids_by(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and centroid, as centroids() of several columns."""
-    each = vectors.select(*keys, F.posexplode("embedding").alias("i", "x"))
-    mean = each.groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    """keys and centroid, as centroids() of several columns.
+
+    Each task adds up whole vectors, so what is shuffled is a vector a group and task. Null components don't count, and vectors may differ in length.
+    """
+    from pyspark.sql.types import StructType
+
+    sums = StructType.fromDDL("total array<double>, n array<long>")
+    target = StructType([*vectors.select(*keys).schema, *sums])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, held = to_arrow_schema(target), {}
+
+        def told() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in held], schema[i].type) for i in range(len(keys))]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array([v[i] for v in held.values()], schema[len(keys) + i].type) for i in (0, 1))], schema=schema)
+
+        for batch in batches:
+            codes, places = {}, np.empty(batch.num_rows, np.int64)
+            for i, key in enumerate(zip(*(batch[k].to_pylist() for k in keys), strict=True)):
+                places[i] = codes.setdefault(key, len(codes))
+            lengths = np.diff(batch["embedding"].offsets.to_numpy())
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            flat = batch["embedding"].flatten()
+            there = flat.is_valid().to_numpy(zero_copy_only=False)
+            value = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            width = int(lengths.max(initial=0))
+            cell = places[row] * width + at
+            total, n = np.bincount(cell, value, len(codes) * width).reshape(len(codes), width), np.bincount(cell, there, len(codes) * width).astype(np.int64).reshape(len(codes), width)
+            longest = np.zeros(len(codes), np.int64)
+            np.maximum.at(longest, places, lengths)
+            for key, i in codes.items():
+                own = total[i, : longest[i]], n[i, : longest[i]]
+                if key in held:
+                    wide = max(longest[i], len(held[key][0]))
+                    own = tuple(np.pad(x, (0, wide - len(x))) + np.pad(y, (0, wide - len(y))) for x, y in zip(held[key], own, strict=True))
+                held[key] = own
+            if len(held) > GROUPS:
+                yield told()
+                held.clear()
+        if held:
+            yield told()
+
+    parts = vectors.where("embedding is not null").select(*keys, "embedding").mapInArrow(run, target)
+    each = parts.select(*keys, F.posexplode(F.arrays_zip("total", "n")).alias("i", "s"))
+    mean = each.groupBy(*keys, "i").agg(F.try_divide(F.sum("s.total"), F.sum("s.n")).alias("m"))
     listed = mean.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
     return listed.select(*keys, normalised(F.col("centroid")).alias("centroid"))
 

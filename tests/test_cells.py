@@ -102,3 +102,19 @@ def test_centres_and_probes():
     assert enough(x, found, 10, 1.0) <= 12 and enough(x, found, 10, 0.5) <= enough(x, found, 10, 0.99)
     same = np.repeat(x[:1], 20, axis=0)
     assert centres(same, 4).shape == (4, 5)
+
+
+def test_centroids_add_whole_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    data = [(("a", "b", None)[i % 3], i % 2, rng.normal(size=4).tolist()) for i in range(90)] + [("c", 1, [1.0, None, 3.0, 4.0]), ("c", 1, [3.0, 2.0]), ("c", 1, None), ("d", 1, [])]
+    v = spark.createDataFrame(data, "book_id string, chapter_id int, embedding array<double>").repartition(3)
+    expected = {}
+    for b in ("a", "b", None):
+        for c in (0, 1):
+            m = np.mean([x for k, d, x in data if k == b and d == c], axis=0)
+            expected[b, c] = m / np.sqrt((m * m).sum())
+    expected["c", 1] = np.array([2.0, 2.0, 3.0, 4.0]) / np.sqrt(33)
+    for groups in (vectors.GROUPS, 1):
+        monkeypatch.setattr(vectors, "GROUPS", groups)
+        got = {(r.book_id, r.chapter_id): r.centroid for r in vectors.centroids_by(v, ["book_id", "chapter_id"]).collect()}
+        assert set(got) == set(expected) and all(np.allclose(got[k], expected[k]) for k in got)

@@ -256,4 +256,4 @@ INTEGERS = {
 for _name, _columns in INTEGERS.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INT) AS {c}' for c in _columns.split())}) FROM ({SQL[_name]})"
 SQL["l2_norms"] = SQL["l2_norms"].replace("1.0 AS unit", "CAST(1 AS DOUBLE) AS unit")
-SQL |= {"v2_index_exact": SQL["v2_nearest"], "v2_index_scoped": SQL["v2_nearest_scoped"]}
+SQL |= {"v2_index_exact": SQL["v2_nearest"], "v2_index_scoped": SQL["v2_nearest_scoped"], "p9_indexed_search": SQL["p9_lexical_search"]}

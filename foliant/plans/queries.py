@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cfi, markup, paging, text
 from ..operators import blocks as block_ops
 from ..operators import chunks, concepts, conversations, entities, positions, router, search, similar, tfidf, themes, tools, vectors
-from ..sources import captured, cells, stores
+from ..sources import captured, cells, grams, stores
 from ..sources.tables import blocks, chapters, table
 from . import index
 from .derived import derived
@@ -103,6 +103,18 @@ def p9_lexical_search(spark, sf):
     return search.lexical_many(blocks(spark, sf), _asked(spark, sf))
 
 
+@query
+def p9_indexed_search(spark, sf):
+    return grams.GramIndex.build(blocks(spark, sf), index.fresh(spark, "grams")).search(_asked(spark, sf))
+
+
+@query
+def p9_index_share(spark, sf):
+    """Of each query, the blocks that the index reads, and that it has."""
+    made = grams.GramIndex.build(blocks(spark, sf), index.fresh(spark, "grams"))
+    return made.candidates(_asked(spark, sf)).groupBy("query_id").agg(F.count("*").alias("n_read")).withColumn("n_blocks", F.lit(made.blocks().count()))
+
+
 @query
 def t3_lexical_display(spark, sf):
     return search.display(search.lexical_many(blocks(spark, sf), _asked(spark, sf))).select("query_id", "rank", "book_id", "chapter_id", "ordinal", "total", "more")

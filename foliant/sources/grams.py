@@ -14,8 +14,10 @@ from ..operators import search
 from ..operators.contain import GRAM, grams
 from ..plans.scratch import small, written
 
-#: Partitions of blocks and of postings; runs of a query whose postings are intersected, the rarest ones.
-PARTS, BUCKETS, RAREST = 64, 256, 3
+#: Runs of a query whose postings are intersected: the rarest ones.
+RAREST = 3
+#: Blocks in a partition of blocks, and in one of postings; the most partitions of either.
+PART, BUCKET, MOST = 1_000_000, 100_000, 4096
 
 
 class GramIndex:
@@ -25,9 +27,10 @@ class GramIndex:
         self.spark, self.path = spark, path.rstrip("/")
 
     @classmethod
-    def build(cls, blocks: DataFrame, path: str, parts: int = PARTS, buckets: int = BUCKETS) -> GramIndex:
-        """Index blocks (book_id, chapter_id, ordinal, text); null texts are kept, but found by nothing."""
-        index = cls(blocks.sparkSession, path)
+    def build(cls, blocks: DataFrame, path: str, parts: int | None = None, buckets: int | None = None) -> GramIndex:
+        """Index blocks (book_id, chapter_id, ordinal, text); null texts are kept, but found by nothing. Partitions follow the number of blocks, if not given."""
+        index, n = cls(blocks.sparkSession, path), blocks.count()
+        parts, buckets = parts or min(MOST, max(8, n // PART)), buckets or min(MOST, max(16, n // BUCKET))
         part = F.pmod(F.xxhash64("book_id", "chapter_id"), F.lit(parts)).cast("int")
         numbered = blocks.select(F.monotonically_increasing_id().alias("block"), "book_id", "chapter_id", "ordinal", "text", part.alias("part"))
         # a chapter that holds very many blocks is several ranges
@@ -63,7 +66,7 @@ class GramIndex:
         """What search.lexical_many gives for the same blocks and queries (query_id, query, and book_id and chapter_id that limit them where there are such)."""
         limits = [c for c in ("book_id", "chapter_id") if c in queries.columns]
         found = written(self.candidates(queries), "candidates")
-        parts = [r[0] for r in found.select("part").distinct().collect()]  # at most PARTS
+        parts = [r[0] for r in found.select("part").distinct().collect()]  # at most MOST
         asked = queries.select("query_id", F.lower("query").alias("q"), *[F.col(c).alias(f"__{c}") for c in limits])
         near = found.join(small(asked), "query_id")
         read = self.blocks().where(F.col("part").isin(parts)).join(small(near), ["part", "block"])

@@ -10,9 +10,7 @@ from ..operators.chunks import chunk
 
 
 def chunk_stream(chapters: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Chunk a stream of chapters (book_id, chapter_id, text) into Parquet below path, partitioned by book.
-
-    A batch that is repeated after a failure replaces its own rows, as its number is a partition.
+    """Chunk a stream of chapters (book_id, chapter_id, text) into Parquet below path, partitioned by batch: a batch that is repeated after a failure replaces its own rows.
     """
 
     def put(batch: DataFrame, number: int) -> None:

@@ -253,7 +253,11 @@ INTEGERS = {
     "w7_starting_page": "spine_index", "locations": "spine_index i char_offset", "w10_boundaries": "spine_index n", "w10_spine_of_location": "location spine_index",
     "cfi_generate": "spine_index", "v2_nearest": "rank", "v2_nearest_scoped": "rank", "a7_centroids": "i", "p12_body": "n_chars", "p12_self_closing": "n_chars", "v1_index_shape": "least most", "tool_semantic_search": "rank", "tool_semantic_search_scoped": "rank", "tool_lexical_search": "rank ordinal", "tool_surrounding_context": "ordinal n_chars", "s9_vector_index": "n_chars dim",
 }
+_CHUNKS = SQL["n1_chunks"]
 for _name, _columns in INTEGERS.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INT) AS {c}' for c in _columns.split())}) FROM ({SQL[_name]})"
 SQL["l2_norms"] = SQL["l2_norms"].replace("1.0 AS unit", "CAST(1 AS DOUBLE) AS unit")
 SQL |= {"v2_index_exact": SQL["v2_nearest"], "v2_index_scoped": SQL["v2_nearest_scoped"], "p9_indexed_search": SQL["p9_lexical_search"]}
+#: Each book as one chapter: the recursion of n1 over the blocks of all its documents.
+_BOOK = BLOCKS.replace("b AS (", "lines AS (", 1) + ", b AS (SELECT book_id, CAST(0 AS BIGINT) AS chapter_id, row_number() OVER (PARTITION BY book_id ORDER BY chapter_id, ordinal) - 1 AS ordinal, text FROM lines)"
+SQL["n1_book_chunks"] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('ordinal', 'first_block', 'n_blocks'))}, CAST(token_count AS INT) AS token_count) FROM ({_CHUNKS.replace(BLOCKS, _BOOK).replace('e - s AS n_blocks', 's AS first_block, e - s AS n_blocks')})"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cfi, markup, paging, text
 from ..operators import blocks as block_ops
-from ..operators import chunks, concepts, conversations, entities, positions, router, search, similar, tfidf, themes, tools, vectors
+from ..operators import chunks, concepts, conversations, entities, parts, positions, router, search, similar, tfidf, themes, tools, vectors
 from ..sources import captured, cells, grams, stores
 from ..sources.tables import blocks, chapters, table
 from . import index
@@ -92,6 +92,13 @@ def n1_chunks(spark, sf):
     return made.select("chunk_id", "book_id", "chapter_id", "ordinal", F.sha2("text", 256).alias("text_sha256"), "token_count", "n_blocks", "start_offset", "end_offset")
 
 
+@query
+def n1_book_chunks(spark, sf):
+    """Each book as one chapter, cut in parts."""
+    made = parts.chunk_parts(parts.whole_books(blocks(spark, sf)))
+    return made.select("chunk_id", "book_id", "chapter_id", "ordinal", F.sha2("text", 256).alias("text_sha256"), "token_count", "first_block", "n_blocks", "start_offset", "end_offset")
+
+
 def _asked(spark, sf):
     """The first two words of each benchmark item, or its only one."""
     words = F.array_join(F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), 1, 2), " ")

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import cfi, markup, paging, text
 from ..operators import blocks as block_ops
-from ..operators import chunks, concepts, conversations, entities, parts, positions, router, search, similar, tfidf, themes, tools, vectors
+from ..operators import chunks, concepts, conversations, dom, entities, parts, positions, router, search, similar, tfidf, themes, tools, vectors
 from ..sources import captured, cells, grams, stores
 from ..sources.tables import blocks, chapters, table
 from . import index
 from .derived import derived
 from .fixtures import FIXTURES
+from .scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -316,6 +317,29 @@ def cfi_generate(spark, sf):
     return c.select("book_id", "spine_index", made.alias("cfi"), cfi.generate_base(F.col("spine_index"), F.lit(None).cast("string")).alias("base"))
 
 
+def _trees(spark, sf):
+    return written(dom.parse(table(spark, sf, "pages").select(F.col("page_id").alias("id"), "html")), "trees")
+
+
+@query
+def dom_cfis(spark, sf):
+    """The identifier of a place in each text node of each page: behind its last character."""
+    at = dom.positions(_trees(spark, sf))
+    named = cfi.generate_full(F.col("id").cast("int"), F.concat(F.lit("p"), F.col("id")), F.col("dom_path"), F.col("char_offset"))
+    return at.select(F.col("id").alias("page_id"), "node", "element", named.alias("cfi"))
+
+
+@query
+def dom_round_trip(spark, sf):
+    """Of each page, its text nodes, and those that the identifier of their middle leads back to."""
+    trees = _trees(spark, sf)
+    at = dom.positions(trees, "middle")
+    named = at.select("id", "node", "node_offset", cfi.parse_full(cfi.generate_full(F.lit(0), F.lit(None).cast("string"), F.col("dom_path"), F.col("char_offset"))).alias("c"))
+    back = dom.resolve(trees, named.select("id", "node", "node_offset", "c.dom_path", "c.char_offset"))
+    same = (F.col("node") == F.col("to_node")) & (F.col("node_offset") == F.col("to_offset"))
+    return back.groupBy(F.col("id").alias("page_id")).agg(F.count("*").alias("n_nodes"), F.count_if(F.coalesce(same, F.lit(False))).alias("n_same"))
+
+
 @query
 def cfi_parse(spark, sf):
     c = derived(spark, sf, "cfis")

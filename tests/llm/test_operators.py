@@ -308,7 +308,7 @@ def brute_battery(value, encoding=None):
     bare = bare.lower() if e == "hex" else bare.translate(str.maketrans("-_=", "+//")) if e == "base64" else bare
     d, k = np.array([ORDER[e].index(c) for c in bare]), len(ORDER[e])
     n = len(d)
-    wilson = lambda x, f: two_sided(((max(x, 0.0) / f) ** (1 / 3) - (1 - 2 / (9 * f))) / math.sqrt(2 / (9 * f)))
+    wilson = lambda x, f: math.erfc(((max(x, 0.0) / f) ** (1 / 3) - (1 - 2 / (9 * f))) / math.sqrt(2 / (9 * f)) / math.sqrt(2)) / 2
     chi = sum((c - n / k) ** 2 / (n / k) for c in np.bincount(d, minlength=k))
     edges = np.cumsum([0, *CELLS[e]])
     cells = sum((((d >= a) & (d < b)).sum() - n * (b - a) / k) ** 2 / (n * (b - a) / k) for a, b in zip(edges, edges[1:], strict=False))
@@ -318,7 +318,8 @@ def brute_battery(value, encoding=None):
     runs = two_sided((1 + (high[1:] != high[:-1]).sum() - mean) / math.sqrt(spread)) if spread > 0 else 0.0
     x = d - (k - 1) / 2
     serial = two_sided((x[1:] * x[:-1]).sum() / ((k * k - 1) / 12) / math.sqrt(n - 1))
-    return e, n, min(1.0, 4 * min(wilson(chi, k - 1), wilson(cells, len(CELLS[e]) - 1), runs, serial))
+    less = -sum(math.log(max(p, 1e-30)) for p in (wilson(chi, k - 1), wilson(cells, len(CELLS[e]) - 1), runs, serial))
+    return e, n, math.exp(-less) * sum(less**i / math.factorial(i) for i in range(4))
 
 
 def brute_added(texts, q=0.05):

@@ -69,6 +69,13 @@ def cosines(data):
     return {(b, i, j): sum(x * by[b, j].get(t, 0) for t, x in by[b, i].items()) / (norm[b, i] * norm[b, j]) for (b, i) in by for (c, j) in by if b == c and i < j and norm[b, i] and norm[c, j]}
 
 
+def test_similar_pairs_that_rounding_lifts_to_the_cut(spark):
+    c = 0.2999997
+    rows = [("b", 1, 0, 1.0), ("b", 2, 0, c), ("b", 2, 1, (1 - c * c) ** 0.5), ("b", 3, 0, 0.2999994), ("b", 3, 2, (1 - 0.2999994**2) ** 0.5)]
+    pairs, _ = similar.similar_pairs(spark.createDataFrame(rows, "book_id string, chapter_id long, index int, value double"), 0.3)
+    assert [tuple(r) for r in pairs.collect()] == [("b", 1, 2, 0.3)]
+
+
 @pytest.mark.parametrize("cut", [0.05, 0.6, 1.0])
 def test_similar_pairs_equal_all_pairs(spark, cut):
     data = sparse(70, 5, copies=6)

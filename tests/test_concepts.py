@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -261,3 +262,35 @@ def test_captured_replies(spark):
     assert got == {"sea": ("found", "Sea", "t.jpg", "http://e.org/Sea"), "ship": ("found", "Ship", "o.jpg", None), "gone": ("not_found", None, None, None), "busy": ("http_error", None, None, None), "odd": ("invalid", None, None, None)}
     assert [tuple(r) for r in captured.places(spark.sql(FIXTURES["place_search"])).collect()] == [("bath", 1, 51.38, -2.36, "Bath", "Bath, Somerset, UK"), ("51.4,-2.3", 1, 51.4, -2.3, "Hill Farm", "Hill Farm, UK")]
     assert [(r.rank, r.snippet) for r in captured.search_hits(spark.sql(FIXTURES["encyclopedia_search"])).collect()] == [(1, "the sea is"), (2, "ice")]
+
+
+def test_a_dense_text_is_counted_by_its_entities_not_by_its_pairs():
+    rng = np.random.default_rng(5)
+    codes, places = rng.integers(0, 40, 60_000), rng.integers(0, 15_000, 60_000)  # 120 million pairs within a window
+    began = time.process_time()
+    a, b, n = entities.near_counts(codes, places)
+    assert time.process_time() - began < 4
+    at = np.zeros((40, 15_000 + 2 * entities.WINDOW), np.int64)
+    np.add.at(at, (codes, places + entities.WINDOW), 1)
+    upto = np.pad(at.cumsum(axis=1), ((0, 0), (1, 0)))
+    near = upto[:, 2 * entities.WINDOW + 1 :] - upto[:, : -2 * entities.WINDOW - 1]
+    whole = at[:, entities.WINDOW : -entities.WINDOW] @ near.T
+    assert len(n) == 40 * 39 // 2 and (whole[a, b] == n).all()
+
+
+@pytest.mark.parametrize("cells", [1, 30, 1 << 16])
+def test_pairs_of_the_first_entities_alone(cells):
+    rng = np.random.default_rng(6)
+    codes, places = rng.integers(0, 25, 300) * 2, rng.integers(0, 900, 300)
+    every = {(i, j): k for i, j, k in zip(*(x.tolist() for x in entities.near_counts(codes, places, 40)), strict=True)}
+    some = entities.near_counts(codes, places, 40, cells, first=11)
+    assert {(i, j): k for i, j, k in zip(*(x.tolist() for x in some), strict=True)} == {p: k for p, k in every.items() if p[0] < 11}
+    total = entities.PairCounts(50, 100, 40)
+    got = {}
+    for _ in range(3):
+        total.add(*entities.near_counts(codes, places, 40))
+        for i, j, k in (t for part in total.taken(False) for t in zip(*(x.tolist() for x in part), strict=True)) if total.full() else ():
+            got[i, j] = got.get((i, j), 0) + k
+    for i, j, k in (t for part in total.taken() for t in zip(*(x.tolist() for x in part), strict=True)):
+        got[i, j] = got.get((i, j), 0) + k
+    assert got == {p: 3 * k for p, k in every.items()}

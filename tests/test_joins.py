@@ -140,6 +140,22 @@ def test_rounds_with_dense_vectors(spark):
         themes.assign(v, own, d.where("chapter_id <> 3"), most=0)
 
 
+def test_rounds_where_the_last_chapters_have_no_dense_vector(spark):
+    data, rng = random_points(56, 18), np.random.default_rng(18)
+    dense = {(b, i): rng.normal(size=5) for b, i, *_ in data if i < (30 if b == "p" else 99)}
+    v = spark.createDataFrame(data, VECTORS)
+    d = spark.createDataFrame([(b, i, x.tolist()) for (b, i), x in dense.items()], "book_id string, chapter_id long, centroid array<double>")
+    got = themes.assign(v, v.select("book_id", "chapter_id").distinct(), d, most=0, block=16, local=20)
+    m, x, has = np.zeros((56, 40)), np.zeros((56, 5)), np.arange(56) < 30
+    for b, i, t, y in data:
+        if b == "p":
+            m[i, t] = y
+    for i in range(30):
+        x[i] = dense["p", i]
+    want = [("p", k, i) for k, g in enumerate(themes.cluster(themes.similarity(m, x, has))) for i in g]
+    assert rows(got) == sorted(want + one_by_one(data, "q", dense))
+
+
 def test_rounds_with_ties_copies_and_chapters_without_words(spark):
     rng = random.Random(9)
     data = [("p", i, t, 1.0) for i in range(90) for t in rng.sample(range(12), 2)] + [("p", 200 + i, 50, 2.0) for i in range(60)] + [("q", 1, 1, 1.0)]

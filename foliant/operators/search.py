@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
+
 DISPLAY = 10
 
 
@@ -113,30 +115,45 @@ def chapter_ids(requests: DataFrame, sections: DataFrame) -> DataFrame:
     return joined.select(*requests.columns, F.when(F.col("chapter_id") == "current", F.col("current_id")).otherwise(F.col("__known")).alias("resolved"))
 
 
-def suffixes(c: Column) -> Column:
-    """All ends of a string, the empty one last: what it ends with is then an equality, and a join needs no broadcast."""
-    return F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(c, i, F.length(c)))
+def suffixes(c: Column, lengths: Column | None = None) -> Column:
+    """All ends of a string, or those of some lengths (an array), the empty one last: what it ends with is then an equality, and a join needs no broadcast."""
+    if lengths is None:
+        return F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(c, i, F.length(c)))
+    return F.transform(F.filter(lengths, lambda n: n <= F.length(c)), lambda n: F.substring(c, F.length(c) - n + 1, n))
+
+
+def _lengths(values: DataFrame, c: str) -> Column:
+    """The lengths that a column's strings have, longest first, as an array: no more numbers than the longest string has characters."""
+    there = sorted((r[0] for r in values.select(F.length(c)).distinct().collect() if r[0] is not None), reverse=True)
+    return F.array(*map(F.lit, there)).cast("array<int>")
 
 
 def ends_alike(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
-    """(book_id, a, b): pairs of distinct values of a book of which one ends with the other."""
-    x, y = left.select("book_id", F.col(a).alias("a")).distinct(), right.select("book_id", F.col(b).alias("b")).distinct()
-    longer_a = x.select("book_id", "a", F.explode(suffixes(F.col("a"))).alias("b")).join(y, ["book_id", "b"]).select("book_id", "a", "b")
-    longer_b = y.select("book_id", "b", F.explode(suffixes(F.col("b"))).alias("a")).join(x, ["book_id", "a"]).select("book_id", "a", "b")
-    return longer_a.union(longer_b).distinct().select("book_id", F.col("a").alias(a), F.col("b").alias(b))
+    """(book_id, a, b and right's other columns): pairs of values of a book of which one ends with the other, for tables that are at hand (written) with each value of a book once.
+
+    Only ends as long as some value on the other side are made.
+    """
+    ends = lambda df, c, other, to, least: df.select("*", F.explode(suffixes(F.col(c), F.filter(_lengths(other, to), lambda n: n + least <= F.length(c)))).alias(to))
+    left, names = left.select("book_id", a), ["book_id", a, b, *[c for c in right.columns if c not in ("book_id", b)]]
+    longer_a = ends(left, a, right, b, 0).join(right, ["book_id", b]).select(names)
+    longer_b = ends(right, b, left, a, 1).join(left, ["book_id", a]).select(names)
+    return longer_a.union(longer_b)
 
 
 def attach_labels(sections: DataFrame, points: DataFrame) -> DataFrame:
     """sections (book_id, spine_item_id, href) with the label of their book's last navigation point (book_id, ord, label, src) whose target ends with the section's href or the reverse."""
     targets = points.select("book_id", "ord", "label", F.regexp_replace("src", "#.*$", "").alias("__src"))
-    labels = ends_alike(sections, "href", targets, "__src").join(targets, ["book_id", "__src"]).groupBy("book_id", "href").agg(F.max_by("label", "ord").alias("ncx_label"))
-    return sections.join(labels, ["book_id", "href"], "left").groupBy("book_id", "spine_item_id", "href").agg(F.max("ncx_label").alias("ncx_label"))
+    last = written(targets.groupBy("book_id", "__src").agg(F.max_by("label", "ord").alias("label"), F.max("ord").alias("ord")), "targets")
+    own = written(sections.select("book_id", "spine_item_id", "href").distinct(), "sections")
+    hrefs = written(own.select("book_id", "href").distinct(), "hrefs")
+    labels = ends_alike(hrefs, "href", last, "__src").groupBy("book_id", "href").agg(F.max_by("label", "ord").alias("ncx_label"))
+    return own.join(labels, ["book_id", "href"], "left").select("book_id", "spine_item_id", "href", "ncx_label")
 
 
 def resources(requests: DataFrame, files: DataFrame) -> DataFrame:
     """The file (book_id, path) of each request (book_id, request) in its book: exact path, else file name, else suffix; with its rank of fit."""
     name = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
-    asked, known = requests.select("book_id", "request").distinct(), files.select("book_id", "path").distinct()
+    asked, known = written(requests.select("book_id", "request").distinct(), "requests"), written(files.select("book_id", "path").distinct(), "files")
     by_name = asked.withColumn("__name", name("request")).join(known.withColumn("__name", name("path")), ["book_id", "__name"])
     by_name = by_name.select("book_id", "request", "path", F.when(F.col("path") == F.col("request"), 1).otherwise(2).alias("fit"))
     fits = by_name.union(ends_alike(asked, "request", known, "path").select("book_id", "request", "path", F.lit(3)))

@@ -5,8 +5,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from foliant.operators import contain, entities, linkage, similar, themes
+from foliant.operators import contain, entities, linkage, search, similar, themes
 
 
 def rows(df):
@@ -179,3 +180,22 @@ def test_finish_equals_one_by_one():
     for a, b, _, _ in sorted(made, key=lambda m: (-m[2], m[3]))[: 60 - 25]:
         groups[a] |= groups.pop(b)
     assert sorted(members(groups.values())) == sorted(members(themes.cluster(themes.similarity(x), 25, 25)))
+
+
+def test_only_ends_of_lengths_that_the_other_side_has_are_made(spark):
+    rng = random.Random(3)
+    paths = ["", *("".join(rng.choices("a/b", k=rng.randint(1, 6))) for _ in range(60)), "x" * 400]
+    left = spark.createDataFrame([(k, p) for k in ("b", "c") for p in sorted(set(paths))] + [("b", None), (None, "a")], "book_id string, a string")
+    right = spark.createDataFrame([(k, p, len(p)) for k in ("b", "d") for p in sorted(set(paths[:20]))], "book_id string, b string, n int")
+    want = {("b", x, y, len(y)) for x in paths for y in paths[:20] if x.endswith(y) or y.endswith(x)}
+    got = [tuple(r) for r in search.ends_alike(left, "a", right, "b").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    long = spark.range(1).select(search.suffixes(F.lit("y" * 300 + "ab"), F.array(F.lit(303), F.lit(2), F.lit(0))).alias("s")).first().s
+    assert long == ["ab", ""]  # 303 ends before
+
+
+def test_labels_of_repeated_sections_and_points(spark):
+    sections = spark.createDataFrame([("b", "s1", "t/a.x"), ("b", "s1", "t/a.x"), ("b", "s2", "t/a.x"), ("b", None, "q"), ("b", "s3", None), ("c", "s1", "a.x")], "book_id string, spine_item_id string, href string")
+    points = spark.createDataFrame([("b", 1, "one", "a.x#1"), ("b", 3, "three", "u/t/a.x"), ("b", 2, "two", "a.x#2"), ("b", 9, "nine", "z"), ("c", 1, None, "a.x"), ("c", None, "none", "x")], "book_id string, ord int, label string, src string")
+    got = sorted((tuple(r) for r in search.attach_labels(sections, points).collect()), key=str)
+    assert got == sorted([("b", "s1", "t/a.x", "three"), ("b", "s2", "t/a.x", "three"), ("b", None, "q", None), ("b", "s3", None, None), ("c", "s1", "a.x", None)], key=str)

@@ -55,12 +55,16 @@ def chunk(chapters: DataFrame, target: int = TARGET, overlap: int = OVERLAP) ->
     return made.select(chunk_id(F.col("book_id"), F.col("chapter_id"), F.col("ordinal")).alias("chunk_id"), "*")
 
 
+#: Characters of pieces that are handed on at once.
+HELD = 4_000_000
+
+
 def pack_paragraphs(texts: DataFrame, most: int) -> DataFrame:
     """(id, piece, text): paragraphs (split at blank lines) packed greedily up to `most` tokens, without overlap."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            rows, chars = [], 0
             for key, text in zip(frame["id"], frame["text"], strict=True):
                 piece, held, n = "", 0, 0
                 for p in (text or "").split("\n\n"):
@@ -72,6 +76,10 @@ def pack_paragraphs(texts: DataFrame, most: int) -> DataFrame:
                         piece, held = (piece + "\n\n" + p if piece else p), held + size
                 if piece:
                     rows.append((key, n, piece.strip()))
+                chars += len(text or "")
+                if chars > HELD:
+                    yield pd.DataFrame(rows, columns=["id", "piece", "text"])
+                    rows, chars = [], 0
             yield pd.DataFrame(rows, columns=["id", "piece", "text"])
 
     kind = texts.schema["id"].dataType.simpleString()

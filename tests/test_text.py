@@ -264,3 +264,16 @@ def test_tools(spark):
     assert got == {"r1": ("I", 2, 3, 67), "r2": ("I", None, 3, None), "r3": ("I", None, 3, None), "r4": (None,) * 4, "r5": (None,) * 4}
     listed = tools.call("get_book_structure", sections, blocks_, asked.limit(1)).collect()
     assert {(r.chapter_id, r.n_blocks, r.current) for r in listed} == {(1, 3, True), (2, 0, False)}
+
+
+def test_packed_paragraphs_are_handed_on_in_bounded_frames(spark):
+    import pandas as pd
+
+    texts = spark.createDataFrame([(1, "a")], "id long, text string")
+    caught = []
+    texts.select = lambda *c: type("Caught", (), {"mapInPandas": lambda self, run, schema: caught.append(run)})()
+    chunks.pack_paragraphs(texts, 200)
+    frame = pd.DataFrame({"id": range(30), "text": ["word " * 100_000 + "\n\nend"] * 29 + [None]})
+    got = list(caught[0](iter([frame])))
+    assert len(got) > 1 and max(f["text"].str.len().sum() for f in got) < 2 * chunks.HELD
+    assert [tuple(r) for f in got for r in f[["id", "piece"]].itertuples(index=False)] == [(i, n) for i in range(29) for n in (0, 1)]

@@ -277,3 +277,21 @@ def test_packed_paragraphs_are_handed_on_in_bounded_frames(spark):
     got = list(caught[0](iter([frame])))
     assert len(got) > 1 and max(f["text"].str.len().sum() for f in got) < 2 * chunks.HELD
     assert [tuple(r) for f in got for r in f[["id", "piece"]].itertuples(index=False)] == [(i, n) for i in range(29) for n in (0, 1)]
+
+
+def test_archives_are_made_and_handed_on_one_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = [(f"b{b}", f"T{b}", None, f"c{i}", None if i == 2 else i, f"L{i}" if i else None, "x" * 50_000, bytearray(b"png") if i == 1 else None) for b in range(4) for i in (2, 0, 1)]
+    made = epub.write_archives(spark.createDataFrame(rows, "path string, title string, author string, spine_item_id string, place int, label string, html string, image binary"))
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+    got = sorted((r.path, r.spine_index, r.title, r.spine_item_id, r.ncx_label, len(r.html)) for r in epub.read_sections(made).collect())
+    assert got == [(f"b{b}", i, f"T{b}", f"c{i}", f"L{i}" if i else None, 50_000) for b in range(4) for i in range(3)]
+    assert sorted((r.path, r.file_name, bytes(r.content)) for r in epub.read_resources(made).collect()) == [(f"b{b}", "p1.png", b"png") for b in range(4)]
+    monkeypatch.setattr(epub, "HELD", 100_000)
+    held = made.toArrow().combine_chunks().to_batches()
+    caught = []
+    made.select = lambda *c: type("Caught", (), {"mapInArrow": lambda self, run, schema: caught.append(run)})()
+    epub.read_sections(made)
+    batches = list(caught[0](iter(held)))
+    assert sum(b.num_rows for b in batches) == 12 and max(b.num_rows for b in batches) <= 3 and isinstance(batches[0], pa.RecordBatch)

@@ -295,3 +295,18 @@ def test_archives_are_made_and_handed_on_one_at_a_time(spark, monkeypatch):
     epub.read_sections(made)
     batches = list(caught[0](iter(held)))
     assert sum(b.num_rows for b in batches) == 12 and max(b.num_rows for b in batches) <= 3 and isinstance(batches[0], pa.RecordBatch)
+
+
+def test_wordpiece_ids_are_handed_on_in_bounded_batches(spark):
+    import pyarrow as pa
+
+    v = {w: i for i, w in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "a", "##b"])}
+    texts, caught = spark.createDataFrame([(1, "a")], "id long, text string"), []
+    texts.select = lambda *c: type("Caught", (), {"mapInArrow": lambda self, run, schema: caught.append(run)})()
+    wordpiece.encode_texts(texts, v, 512)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1300)), "text": ["ab a. " * (i % 7) if i % 5 else None for i in range(1300)]})
+    got = list(caught[0](iter([batch])))
+    assert max(b.num_rows for b in got) * 512 <= wordpiece.HELD and [i for b in got for i in b["id"].to_pylist()] == list(range(1300))
+    assert [tuple(r) for b in got for r in zip(b["ids"].to_pylist(), b["mask"].to_pylist())] == [wordpiece.encode(t or "", v, 512) for t in batch["text"].to_pylist()]
+    listed = wordpiece.words("one, two")
+    assert next(listed) == "one" and list(listed) == [",", "two"]  # no more words than a length has room for are looked for

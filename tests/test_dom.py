@@ -120,3 +120,15 @@ def test_long_and_deep_pages_take_linear_time():
     deep = dom.Tree("<div>" * 50_000 + "x")
     assert len(deep.path(deep.texts[0][0])) == 50_000
     assert dom.Tree("<" * 200_000).length == 200_000 and dom.Tree("<a b='" * 50_000).length == 0
+
+
+def test_pages_are_read_one_at_a_time(spark):
+    import pyarrow as pa
+
+    pages = spark.createDataFrame([(1, "<p>a</p>")], "id long, html string")
+    assert "MapInPandas" not in dom.parse(pages)._jdf.queryExecution().toString()
+    caught = []
+    pages.select = lambda *c: type("Caught", (), {"where": lambda self, w: self, "mapInArrow": lambda self, run, schema: caught.append(run)})()
+    dom.parse(pages)
+    got = list(caught[0](iter([pa.RecordBatch.from_pydict({"id": [7, 8], "html": ["<p>a</p>" * 40_000, "<p>b</p>" * 40_000]})])))
+    assert len(got) > 1 and max(b.num_rows for b in got) <= dom.BATCH and sum(b.num_rows for b in got) == 2 * (1 + 80_000)

@@ -46,7 +46,7 @@ CLASSES = {"hex": (10, 16), "base32": (26, 32), "base64": (26, 52)}
 STRUCTURE = {"hex": 0.3, "base32": 0.06, "base64": 0.3}
 PRIOR = 20
 BASE, SPREAD = 0.3, 0.4
-#: Strings of prose cut for a candidate; of a document with more than DRAWN candidates, for about that many, chosen by a hash of their places.
+#: Strings of prose cut for a candidate. Where strings are asked for of some candidates alone, of a document with more than DRAWN for about that many, chosen by a hash of their places.
 DRAWS, DRAWN = 4, 50
 PART = 256
 
@@ -205,11 +205,11 @@ def folded(prose: Column, encoding: Column) -> Column:
     return F.when(encoding == "hex", F.regexp_replace(F.lower(prose), "[^0-9a-f]", "")).when(encoding == "base32", F.regexp_replace(F.upper(prose), "[^A-Z2-7]", "")).otherwise(prose)
 
 
-def draws(text: Column, tested: Column) -> Column:
+def draws(text: Column, tested: Column, drawn: int | None = DRAWN) -> Column:
     """array<struct<encoding,n,p>>: the battery's results for strings of prose as long as the tested candidates.
 
     For each of DRAWS strings a candidate, a stretch of the text is cut, at a place that follows from where the candidate begins; its runs of candidate length go, then
-    what is not of the alphabet. A stretch with less prose left than the candidate is long gives none.
+    what is not of the alphabet. A stretch with less prose left than the candidate is long gives none. drawn: about how many candidates of a document have strings; None for all.
     """
 
     def cut(t: Column, r: Column) -> Column:
@@ -224,12 +224,12 @@ def draws(text: Column, tested: Column) -> Column:
         whole = F.filter(strings, lambda v: F.length(v) == t["end"] - t["start"])
         return F.transform(whole, lambda v: tested_as(v, t["b"]["encoding"]))
 
-    chosen = F.filter(tested, lambda t: F.pmod(F.xxhash64(t["start"]), F.size(tested)) < DRAWN)
+    chosen = tested if drawn is None else F.filter(tested, lambda t: F.pmod(F.xxhash64(t["start"]), F.size(tested)) < drawn)
     return F.flatten(F.transform(chosen, of_candidate))
 
 
-def candidates(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """keep, base spans, tested spans, and what the battery says of strings of prose, for each row of docs."""
+def candidates(docs: DataFrame, keep: tuple[str, ...], drawn: int | None = DRAWN) -> DataFrame:
+    """keep, base spans, tested spans, and what the battery says of strings of prose (see draws), for each row of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     patterns = {"assign": ASSIGN.replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]+"), "access": ACCESS, "hex": HEX, "random": CANDIDATE}
     # one marked copy of a text at a time
@@ -240,7 +240,7 @@ def candidates(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     runs = F.filter(F.flatten(F.transform("__random", lambda s: F.concat(F.array(s), outside(s, F.filter("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))))), lambda s: testable(s["value"]) & left_over(s, F.col("__base")))
     tested = F.transform(runs, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["value"]).alias("b")))
     found = spans.select(*keep, "__whole", base.alias("__base"), "__random").select(*keep, "__whole", F.col("__base").alias("base"), tested.alias("tested"))
-    return found.select(*keep, "base", "tested", draws(F.col("__whole"), F.col("tested")).alias("prose"))
+    return found.select(*keep, "base", "tested", draws(F.col("__whole"), F.col("tested"), drawn).alias("prose"))
 
 
 def stratum(b: Column) -> Column:
@@ -291,9 +291,9 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), q: float = 0.05)
     Null text counts as empty and has no spans; whole texts are read; repeated rows are each scanned; an empty table
     gives none. Offsets are code points, ends exclusive. Only `keep` and `text` of docs are read, so other
     columns may have any name. A candidate that base spans cover is not tested, as they stand for it; of one that they cover in part,
-    the whole and the parts that they leave over are tested. q is the part of the added spans that may be prose.
+    the whole and the parts that they leave over are tested. The null has strings of prose for every candidate. q is the part of the added spans that may be prose.
     """
-    found = materialise(candidates(docs, keep), "secrets")
+    found = materialise(candidates(docs, keep, None), "secrets")
     null = null_of_prose(found)
     cuts = {r.stratum: r.cut for r in thresholds(found, null, q).collect()}
     table = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]) if cuts else F.create_map().cast("map<string,int>")

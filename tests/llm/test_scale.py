@@ -29,3 +29,13 @@ def test_small_payloads_are_spread(spark):
     assert got == {("response", None): 2701, ("revisit", 2990): 299}
     plan = made._jdf.queryExecution().toString()
     assert "1048576" in plan
+
+
+def test_every_candidate_has_strings_in_the_null(spark, monkeypatch):
+    rng = random.Random(2)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    text = " ".join(w for _ in range(300) for w in [*(word("abcdefghijklmnopqrstuvwxyz", 6) for _ in range(18)), word("ABCDEFGHabcdefgh0123456789", 24)])
+    caught, null = [], secrets.null_of_prose
+    monkeypatch.setattr(secrets, "null_of_prose", lambda found: caught.append(found.select(F.size("tested"), F.size("prose")).first()) or null(found))
+    secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert caught[0][0] == 300 and caught[0][1] > 290 * secrets.DRAWS

@@ -182,6 +182,21 @@ def test_finish_equals_one_by_one():
     assert sorted(members(groups.values())) == sorted(members(themes.cluster(themes.similarity(x), 25, 25)))
 
 
+def test_rounds_look_again_only_for_what_a_merge_changed(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.abs(rng.normal(size=(60, 6))) * (rng.random((60, 6)) < 0.5)
+    x[:, 0] += 0.01
+    x[40:50] = x[:10]
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    points = spark.createDataFrame([("b", i, list(range(6)), r.tolist()) for i, r in enumerate(x)], "book_id string, id long, index array<int>, value array<double>")
+    seen, inner = [], linkage._partners
+    monkeypatch.setattr(linkage, "_partners", lambda *a: seen.append(a[4].count() if len(a) > 4 else a[0].count()) or inner(*a))
+    some = rows(linkage.merges(points, block=16, local=34, few=0).drop("similarity"))
+    asked, seen[:] = sum(seen), []
+    assert some == rows(linkage.merges(points, block=16, local=34, few=1000).drop("similarity")) and len(some) == 59
+    assert len(seen) > 1 and asked < sum(seen)
+
+
 def test_only_ends_of_lengths_that_the_other_side_has_are_made(spark):
     rng = random.Random(3)
     paths = ["", *("".join(rng.choices("a/b", k=rng.randint(1, 6))) for _ in range(60)), "x" * 400]

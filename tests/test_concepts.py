@@ -105,6 +105,27 @@ def contains_either(a, b):
     return a in b or b in a
 
 
+def test_sparse_cosine_of_blocks_shuffles_chapters_not_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    data = [(b, c, k, rng.choice([0.0, 1.0, 2.5])) for b in ("p", "q") for c in range(30) for k in rng.sample(range(9), 3)] + [("p", 1, 4, 1.5), ("p", 40, 99, 1.0), (None, 1, 1, 1.0)]
+    rows_of, norms = {}, {}
+    for b, c, k, x in data[:-1]:
+        own = rows_of.setdefault((b, c), {})
+        own[k] = own.get(k, 0) + x
+        norms[b, c] = norms.get((b, c), 0) + x * x
+    want = {}
+    for (b, c), x in rows_of.items():
+        for (d, e), y in rows_of.items():
+            if b == d and c != e and c % 3 == 0 and x.keys() & y.keys():
+                n = (norms[b, c] * norms[d, e]) ** 0.5
+                want[b, c, e] = round(sum(x[k] * y[k] for k in x.keys() & y.keys()) / n, 6) if n else 0.0
+    monkeypatch.setattr(vectors, "OTHERS", 1)
+    v = spark.createDataFrame(data, "book_id string, chapter_id long, index int, value double").repartition(3)
+    got = vectors.sparse_cosine(v, v.where("chapter_id % 3 = 0").select("book_id", "chapter_id"), block=4)
+    assert got.count() == len(want) and all(abs(want[r.book_id, r.a, r.b] - r.similarity) < 2e-6 for r in got.collect())
+    assert "keys: [book_id, a, b]" not in (plan := got._jdf.queryExecution().toString()) and "sum((x" not in plan
+
+
 def test_lookup_matches_both_ways(spark):
     e, t, v = concept_tables(spark)
     asked = ["ann", "who is ann lee at sea", "road", "nothing of it", "bob", "the ship"]

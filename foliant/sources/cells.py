@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.vectors import BLOCK, K
+from ..operators.vectors import BLOCK, ROWS, K
 from ..plans.scratch import written
 
 #: Rows that the centres are fitted on, the bytes they may take, and the rows of them that the recall is measured with.
@@ -236,7 +236,8 @@ class CellIndex:
                 least[query[place == k - 1]] = score[place == k - 1]
                 return query[place < k], score[place < k], keys[place < k]
 
-            for batch in batches:
+            # a batch is compared by a few rows at once, of which each query keeps no more than its k best before they are held
+            for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
                 cell, radius = batch["cell"].to_numpy(), batch["radius"].to_numpy()
                 keys = batch[key].to_numpy(zero_copy_only=False)
                 v = unit(batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dims))
@@ -251,6 +252,10 @@ class CellIndex:
                     fit = score >= least[asked, None]
                     if tags is not None:
                         fit &= np.array([[s is None or t in s for t in tags[at]] for s in (probe.scopes[i] for i in asked)], bool).reshape(fit.shape)
+                    if len(at) > k:
+                        # ties with the k-th best stay, their keys decide
+                        score[~fit] = -np.inf
+                        fit &= score >= np.partition(score, len(at) - k, axis=1)[:, len(at) - k, None]
                     i, j = np.nonzero(fit)
                     held.append((asked[i], score[i, j], keys[at[j]]))
                     size += len(i)

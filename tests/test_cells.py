@@ -46,6 +46,19 @@ def test_exact_search_equals_brute_force(made):
     assert rows(index.search(asked(v), 4, probes=1, scope="label", exact=True)) == rows(vectors.nearest(v, asked(v), 4, scope="label"))
 
 
+def test_rows_of_a_batch_are_compared_by_a_few_at_once(spark, made, monkeypatch):
+    v, index = made
+    assert vectors.ROWS * vectors.BLOCK <= 1 << 20
+    # many equal vectors: ties go to the smaller key across slices as well
+    same = table(spark, 60, seed=9).crossJoin(spark.range(20)).selectExpr("vec_id + id * 100 as vec_id", "embedding", "label").repartition(2)
+    q = same.where("vec_id % 7 = 0").selectExpr("vec_id query_id", "embedding", "label")
+    whole = rows(vectors.nearest(same, q))
+    some = CellIndex.build(same, str(index.path) + "-same", scopes=("label",))
+    monkeypatch.setattr(vectors, "ROWS", 16)
+    monkeypatch.setattr("foliant.sources.cells.ROWS", 16)
+    assert rows(vectors.nearest(same, q)) == whole == rows(some.search(q, exact=True))
+
+
 def test_few_cells_are_read(made):
     v, index = made
     q = asked(v).limit(1)

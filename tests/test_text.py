@@ -147,6 +147,20 @@ def test_cooccurrence_within_chapters_equals_the_range_join(spark):
     assert {tuple(r) for r in entities.cooccurrence_in(chapters, names, known, most=2).collect()} == want  # books in several passes
 
 
+def test_a_book_whose_names_fit_one_pass_is_not_cut_by_the_books_before_it(spark):
+    """The names of `a` leave two places of the first pass, `b` has three: its pairs must be of one pass."""
+    text = "ann met bob and cid by the sea"
+    chapters = spark.createDataFrame([(b, k, text) for k, b in enumerate("abc")], "book_id string, chapter_id long, text string")
+    listed = [("a", "ann"), ("a", "bob"), ("b", "ann"), ("b", "bob"), ("b", "cid"), *(("c", w) for w in ("ann", "bob", "cid", "sea"))]
+    names = spark.createDataFrame([(b, w, w) for b, w in listed], "book_id string, variation string, canonical string")
+    known = spark.createDataFrame([(b, f"entity_{w}") for b, w in listed], "book_id string, entity_id string")
+    want = {(b, f"entity_{x}", f"entity_{y}", 1) for b, x in listed for c, y in listed if b == c and x != y}
+    for most in (2, 3, 4, 5, 6, 9, 10):
+        assert {tuple(r) for r in entities.cooccurrence_in(chapters, names, known, most=most).collect()} == want, most
+    for _, held in entities._passes(chapters, names, 4):
+        assert sum(map(len, held.values())) <= 4
+
+
 def test_near_counts_in_small_blocks():
     import numpy as np
 

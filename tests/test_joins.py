@@ -1,5 +1,6 @@
 """Containment and similarity joins, and clustering in rounds, against all pairs."""
 
+import collections
 import random
 import time
 
@@ -93,6 +94,27 @@ def test_similar_pairs_equal_all_pairs(spark, cut):
         similar.similar_pairs(df, 0)
 
 
+@pytest.mark.parametrize(("block", "cells", "strip"), [(8192, 1 << 22, 1 << 21), (7, 1 << 22, 5), (16, 40, 9)])
+def test_similar_pairs_are_the_same_in_any_squares(spark, monkeypatch, block, cells, strip):
+    """Pairs come with the sizes of their classes, whatever block a class is in; no shuffle holds pairs."""
+    monkeypatch.setattr(similar, "CELLS", cells)
+    monkeypatch.setattr(similar, "STRIP", strip)
+    data = sparse(90, 8, copies=5)
+    member, distinct = similar.classes(spark.createDataFrame(data, "book_id string, chapter_id long, index int, value double"))
+    found = similar.sized_pairs(member, distinct, 0.3, block)
+    of = {(r.book_id, r.chapter_id): r.class_id for r in member.collect()}
+    size = collections.Counter((b, c) for (b, _), c in of.items())
+    want = {}
+    for (b, i, j), v in cosines(data).items():
+        x, y = sorted((of[b, i], of[b, j]))
+        if x != y and round(v, 6) >= 0.3:
+            want[b, x, y] = (pytest.approx(v, abs=2e-6), size[b, x], size[b, y])
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and {r[:3]: r[3:] for r in got} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
 def test_pairs_below_the_cut_are_not_made(spark):
     df = spark.createDataFrame(sparse(300, 6, terms=200), "book_id string, chapter_id long, index int, value double")
     _, distinct = similar.classes(df)

@@ -72,6 +72,95 @@ def _found(blocks: DataFrame, queries: list[tuple], limits: list[str], kind: dic
     return blocks.mapInPandas(run, ", ".join(f"{c} {kind.get(c, 'int')}" for c in names))
 
 
+#: Places that a task holds before it hands them on.
+HELD = 200_000
+
+
+def shown_of(blocks: DataFrame, queries: DataFrame, most: int = DISPLAY) -> DataFrame:
+    """(query_id, book_id, chapter_id, ordinal, rank, total, more): what `display` gives for the hits of `lexical_many`.
+
+    Queries of one text and one place are looked for once, and each task hands on the first hits of a query and how many there are, not all of them.
+    """
+    limits = [c for c in ("book_id", "chapter_id") if c in queries.columns]
+    kind = {c: blocks.schema[c].dataType.simpleString() for c in ("book_id", "chapter_id", "ordinal")}
+    asked = written(queries.where(F.length("query") > 0).select("query_id", F.lower("query").alias("q"), *limits), "asked")
+    groups = written(asked.select("q", *limits).distinct().withColumn("group", F.monotonically_increasing_id()), "groups")
+    lower = blocks.select("book_id", "chapter_id", "ordinal", F.lower("text").alias("t"))
+    ddl = ", ".join(["group long", *(f"{c} {k}" for c, k in kind.items()), "n long"])
+    part, held, size = None, [], 0
+    for row in [*groups.select("group", "q", *limits).toLocalIterator(), None]:
+        if row is not None:
+            held.append((*row, *[None] * (2 - len(limits))) if limits != ["chapter_id"] else (row[0], row[1], None, row[2]))
+            size += len(row[1]) + 50
+        if held and (row is None or size >= QUERY_CHARS):
+            found = _first_hits(lower, held, most, ddl)
+            part, held, size = found if part is None else part.unionByName(found), [], 0
+    if part is None:
+        part = blocks.sparkSession.createDataFrame([], ddl)
+    part = written(part, "first-hits")
+    rank = F.row_number().over(Window.partitionBy("group").orderBy("book_id", "chapter_id", "ordinal"))
+    first = part.withColumn("rank", rank).where(F.col("rank") <= most).drop("n").join(part.groupBy("group").agg(F.sum("n").alias("total")), "group")
+    alike = asked.alias("a").join(groups.alias("g"), (F.col("a.q") == F.col("g.q")) & _same(limits)).select("a.query_id", "g.group")
+    return alike.join(first, "group").select("query_id", "book_id", "chapter_id", "ordinal", "rank", "total", F.greatest(F.col("total") - most, F.lit(0)).alias("more"))
+
+
+def _same(columns: list[str]) -> Column:
+    """Whether columns of a and g are equal, or both null."""
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"g.{c}"))
+    return same
+
+
+def _first_hits(blocks: DataFrame, groups: list[tuple], most: int, ddl: str) -> DataFrame:
+    """(group, book_id, chapter_id, ordinal, n) of groups (group, text, book or none, chapter or none): a task's first hits of each, n of one of them being how many it stands for."""
+    shared, names = blocks.sparkSession.sparkContext.broadcast(groups), [c.split()[0] for c in ddl.split(", ")]
+    order = lambda place: [(x is not None and x == x, x if x is not None and x == x else 0) for x in place]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        machine, at, wanted = ahocorasick.Automaton(), {}, {}
+        for group, q, book, chapter in shared.value:
+            if q not in at:
+                machine.add_word(q, at.setdefault(q, len(at)))
+            wanted.setdefault((book, chapter), {}).setdefault(at[q], []).append(group)
+        machine.make_automaton()
+        found: dict[int, list] = {}  # of a group how many hits, and places among which the first are
+        size = 0
+
+        def told() -> Iterator[pd.DataFrame]:
+            rows = [(g, *place, n if k == 0 else 0) for g, (n, places) in found.items() for k, place in enumerate(sorted(places, key=order)[:most])]
+            found.clear()
+            if rows:
+                yield pd.DataFrame(rows, columns=names, dtype=object)
+
+        for frame in frames:
+            last, here = None, []
+            for book, chapter, ordinal, text in frame.itertuples(index=False, name=None):
+                if (book, chapter) != last:
+                    last = (book, chapter)
+                    here = [wanted[p] for p in {(book, chapter), (book, None), (None, chapter), (None, None)} if p in wanted]
+                if not here or not text:
+                    continue
+                for k in {k for _, k in machine.iter(text)}:
+                    for groups in here:
+                        for g in groups.get(k, ()):
+                            held = found.setdefault(g, [0, []])
+                            held[0] += 1
+                            held[1].append((book, chapter, ordinal))
+                            size += 1
+                            if len(held[1]) > 8 * most + 8:
+                                size -= len(held[1]) - most
+                                held[1] = sorted(held[1], key=order)[:most]
+            if size > HELD:
+                yield from told()
+                size = 0
+        yield from told()
+
+    return blocks.mapInPandas(run, ddl)
+
+
 def display(hits: DataFrame, most: int = DISPLAY) -> DataFrame:
     """The first hits of each query in book order, and how many more blocks hit."""
     w = Window.partitionBy("query_id")

@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paging import position_percent
+from ..plans.scratch import small, written
 from . import search, vectors
 
 SNIPPET = 300
+#: Places of blocks up to which they are broadcast, rather than all blocks shuffled.
+PLACES = 500_000
 
 
 def current_position(positions: DataFrame, sections: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -47,9 +50,10 @@ def lexical_search(blocks: DataFrame, requests: DataFrame, sections: DataFrame,
     limited = requests.withColumn("chapter_id", F.when(F.col("scope") == "full_book", F.lit(None)).otherwise(F.col("chapter_id")).cast(requests.schema["chapter_id"].dataType))
     # a request without a place has no scope to search
     placed = limited.where(F.col("book_id").isNotNull() & ((F.col("scope") == "full_book") | F.col("chapter_id").isNotNull()))
-    shown = search.display(search.lexical_many(blocks, placed), most)
+    shown = written(search.shown_of(blocks, placed, most), "shown")
     labels = sections.select("book_id", "chapter_id", "label")
-    texts = blocks.select("book_id", "chapter_id", "ordinal", "text")
+    # only places that are shown are looked up in the blocks
+    texts = blocks.select("book_id", "chapter_id", "ordinal", "text").join(small(shown.select("book_id", "chapter_id", "ordinal").distinct(), PLACES), ["book_id", "chapter_id", "ordinal"], "left_semi")
     named = shown.join(labels, ["book_id", "chapter_id"], "left").join(texts, ["book_id", "chapter_id", "ordinal"])
     return named.select("query_id", "rank", "book_id", "chapter_id", F.coalesce("label", F.col("chapter_id").cast("string")).alias("label"), "ordinal", "text", "total", "more")
 

@@ -172,6 +172,30 @@ def test_who_is_alice_is_about_the_book(spark):
 # lookups, places and stores
 
 
+@pytest.mark.parametrize(("held", "chars"), [(200_000, 4_000_000), (5, 100)])
+def test_what_is_shown_needs_the_first_hits_alone(spark, monkeypatch, held, chars):
+    """Equal to `display` of all hits; queries that are alike and hits beyond the first are not handed on."""
+    import random
+
+    rng, handed = random.Random(9), {}
+    monkeypatch.setattr(search, "HELD", held)
+    monkeypatch.setattr(search, "QUERY_CHARS", chars)
+    monkeypatch.setattr(search, "written", lambda df, name, real=search.written: handed.setdefault(name, real(df, name)))
+    rows = [(rng.choice("xy"), c, o, rng.choice([None, "", "The sea", "the Sand by the sea", "a"])) for c in range(30) for o in range(20)]
+    blocks = spark.createDataFrame(rows, "book_id string, chapter_id long, ordinal int, text string").repartition(3)
+    asked = [(k, rng.choice(["the", "SEA", "a", "", None, "none"]), rng.choice(["x", "y", None]), rng.choice([None, 3, 7, 29])) for k in range(120)]
+    queries = spark.createDataFrame(asked, "query_id int, query string, book_id string, chapter_id long")
+    for some in (["book_id", "chapter_id"], []):
+        handed.clear()
+        own = queries.select("query_id", "query", *some)
+        want = search.display(search.lexical_many(blocks, own), 3).drop("match_pos")
+        got = search.shown_of(blocks, own, 3)
+        assert want.count() and sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())), some
+        if held > 5:
+            # of each different query and task three places at most
+            assert handed["first-hits"].count() <= 3 * blocks.rdd.getNumPartitions() * handed["groups"].count()
+
+
 def test_lexical_search_against_all_blocks(spark):
     rng = random.Random(5)
     rows = [(b, c, o, "".join(rng.choices("abAB ", k=30))) for b in ("x", "y") for c in (1, 2) for o in range(15)] + [("x", 3, 0, None), ("x", 3, 1, "")]

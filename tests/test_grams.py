@@ -3,6 +3,7 @@
 import random
 
 from foliant.operators import search
+from foliant.sources import grams
 from foliant.sources.grams import GramIndex
 
 
@@ -31,3 +32,27 @@ def test_an_empty_collection_and_no_queries(spark, tmp_path):
     index = GramIndex.build(spark.createDataFrame([("b", 1, 1, "the sea")], kind), str(tmp_path / "g"))
     assert index.search(spark.createDataFrame([], "query_id long, query string")).collect() == []
     assert [tuple(r) for r in index.search(spark.createDataFrame([(1, "SEA")], "query_id long, query string")).collect()] == [(1, "b", 1, 1, 4)]
+
+
+def test_postings_are_packed(spark, tmp_path, monkeypatch):
+    """A run is one row for all blocks whose texts are packed together, with every block that has it once."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab😀\0é") for _ in range(rng.randrange(0, 40))) for _ in range(400)] + ["ab" * 900, "xyz", None, ""]
+    df = spark.createDataFrame([(f"b{i % 3}", i % 5, i, t) for i, t in enumerate(texts)], "book_id string, chapter_id long, ordinal int, text string")
+    for chars, least in ((1 << 22, 10), (700, 1)):
+        monkeypatch.setattr(grams, "CHARS", chars)
+        index = GramIndex.build(df, str(tmp_path / f"g{chars}"), parts=2, buckets=3)
+        ordinal = {r.block: r.ordinal for r in index.blocks().collect()}
+        want = sorted({(t[k : k + 3], i) for i, t in enumerate(texts) if t for k in range(len(t) - 2)})
+        got = sorted((r.gram, ordinal[r.block]) for r in grams.unpacked(index.postings().select("gram", "first", "width", "gaps")).collect())
+        assert got == want and sum(r.n for r in index.counts().collect()) == len(want)
+        assert index.postings().count() * least < len(want)
+
+
+def test_very_many_characters_are_told_apart():
+    many = [chr(k) for k in range(0x4E00, 0x4E00 + 20_000)] + [chr(k) for k in range(0x20000, 0x20000 + 40_000)]
+    rng = random.Random(3)
+    texts = ["".join(rng.sample(many, 20_000)) for _ in range(8)] + ["ab", *["abc"] * 30_000]
+    code, block = grams._postings(list(range(len(texts))), texts, 1 << 22)
+    want = sorted({(ord(t[k]) << 42 | ord(t[k + 1]) << 21 | ord(t[k + 2]), i) for i, t in enumerate(texts) for k in range(len(t) - 2)})
+    assert list(zip(code.tolist(), block.tolist(), strict=True)) == want

@@ -161,6 +161,24 @@ def test_a_book_whose_names_fit_one_pass_is_not_cut_by_the_books_before_it(spark
         assert sum(map(len, held.values())) <= 4
 
 
+def test_names_of_a_pass_are_small_in_a_worker():
+    """A worker's memory for the names of a pass, as they come from their broadcast."""
+    import pickle
+    import tracemalloc
+
+    from pyspark.sql import Row
+
+    held = {b: [(f"name {k}", Row(code=k, n_asked=9, n_all=5000)) for k in range(5000)] for b in "ab"}
+    sent = pickle.dumps(entities._tables(held), protocol=5)
+    tracemalloc.start()
+    got = pickle.loads(sent)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used < 40 * 10_000 and len(sent) < 40 * 10_000
+    names, codes, n_asked, n_all = got["b"]
+    assert (names[7].as_py(), codes[7], n_asked, n_all) == ("name 7", 7, 9, 5000)
+
+
 def test_near_counts_in_small_blocks():
     import numpy as np
 
